@@ -7,10 +7,8 @@ candidates. The registers of a candidate pair and the known set sizes give a joi
 likelihood of the similarity; pairs that the threshold cannot explain are dropped, the
 others are verified on their full shingle sets.
 
-A band's bucket is never expanded into pairs. Each document is first compared with one
-other of its buckets; then, as long as buckets hold several components, with a drawn
-member of each; what is left - different components that still share a bucket - is
-compared in blocks, where the likelihood leaves only the probable pairs.
+A band's bucket is never expanded into pairs (see groups.py): exact copies of a set are
+one class, and the likelihood leaves only the probable pairs of what stays unconnected.
 """
 
 from __future__ import annotations
@@ -23,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .groups import block_pairs, settle, shared_buckets
 from .shingles import Hasher
-from .util import components, cut, table
+from .util import cut, table
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 SPACING, RATE, TOP = 1.001, 20.0, 65534
 THRESHOLD = 85  # hundredths of the union
 LIKELIHOOD = 20.0  # natural-log units below the best similarity: about six deviations
-DRAWS = 3
-BLOCK = 512
 
 _n = np.arange(1, REGISTERS + 1, dtype=np.uint64)
 
@@ -144,47 +141,18 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Probable pairs of different components that share a bucket, compared in blocks.
+def _rest(reps: DataFrame):
+    """Probable pairs among what still shares a bucket; by their registers, in blocks."""
 
-    members: key, band, id, c. A bucket of more than BLOCK rows is dealt as pairs of
-    blocks, so no task gathers a whole bucket.
-    """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = members.join(sizes.select("key", blocks.alias("blocks")), "key").join(reps.select(F.col("doc_id").alias("id"), "n", "regs"), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    cells = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "x", "band", "id", "c", "n", "regs")
-
-    def cell(rows):
-        key, x1, x2, x, band, ids, c, n, regs = zip(*rows, strict=True)
-        x, ids, c, n = np.array(x), np.array(ids), np.array(c), np.array(n)
-        k = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
-        for i in range(len(ids) - 1):
-            other = np.arange(i + 1, len(ids))
-            other = other[(c[other] != c[i]) & (x1[0] == x2[0] or x[other] != x[i])]
-            if not len(other):
-                continue
-            alike = (k[other].reshape(-1, BANDS, ROWS) == k[i].reshape(BANDS, ROWS)).all(2)
-            other = other[alike.argmax(1) == band[0]]  # else another bucket has the pair
-            if len(other):
-                other = other[plausible(np.broadcast_to(k[i], (len(other), REGISTERS)), k[other], np.full(len(other), n[i]), n[other])]
-            for j in other:
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-    def run(batches):
-        held: list = []
-        for batch in batches:
-            for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    found = list(cell(held))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-                    held = []
-                held.append(row)
-        if held and (found := list(cell(held))):
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def compare(i, rows):
+        c, _, n, regs = rows
+        other = np.array([j for j in range(i + 1, len(c)) if c[j] != c[i]], int)
+        if len(other):
+            k = np.frombuffer(b"".join(regs[j] for j in other), np.uint16).reshape(-1, REGISTERS)
+            mine = np.broadcast_to(np.frombuffer(regs[i], np.uint16), k.shape)
+            yield from other[plausible(mine, k, np.full(len(other), n[i]), np.array(n)[other])]
 
-    return cells.repartition("key", "x1", "x2").sortWithinPartitions("key", "x1", "x2", "id").mapInArrow(run, "a long, b long").distinct()
+    return lambda members: block_pairs(members, reps.withColumnRenamed("doc_id", "id"), ["n", "regs"], compare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,33 +172,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     classes = s.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     reps = s.join(classes, "key").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "bands", "regs")
     reps = cut(reps, "classes")
-    buckets = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(buckets.join(hubs.select("key", "hub"), "key").select("key", "band", "id", "hub"), "buckets")
+    shared = shared_buckets(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "buckets")
     ids = shared.select("id").distinct()
     texts = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
     regs = reps.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "n", "regs")
 
-    first = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    tried = cut(first, "tried")
-    links = cut(_linked(_likely(tried, regs), texts), "links")
-    for draw in range(1, DRAWS + 2):
-        label = components(links).select("id", "component_id")
-        members = cut(shared.select("key", "band", "id").join(label, "id", "left").select("key", "band", "id", F.coalesce("component_id", "id").alias("c")), "members")
-        if draw <= DRAWS:
-            drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)), "id", "c")).alias("d"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key", F.col("d.id").alias("to"), F.col("d.c").alias("to_c"))
-            pairs = members.join(drawn, "key").where("c <> to_c").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
-        else:
-            pairs = _rest(members, regs)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        if pairs.isEmpty():
-            if draw <= DRAWS and not members.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).where("c1 <> c2 and n > 2").isEmpty():
-                continue
-            break
-        tried = tried.union(pairs)
-        found = cut(_linked(_likely(pairs, regs), texts), "links")
-        links = links.union(found)
-    label = components(links)
+    label = settle(shared, lambda pairs: _linked(_likely(pairs, regs), texts), _rest(regs))
     of = s.select("doc_id", "n", "key").join(classes, "key", "left").join(label, F.col("rep") == F.col("id"), "left")
     out = of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
