@@ -1,4 +1,399 @@
-"""The queries over the reference's operators, with their SQL."""
+"""The queries over the reference's operators on the driver's tables, with their SQL.
+
+A chunk is a document (paper = source, kind = lang), an element a line of a document or a
+turn of a conversation, a query a benchmark item, and a document is relevant to an item
+whose text it contains. Floats are rounded to 9 digits after ranking, on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import chunks as C
+from quillspark.operators import elements as E
+from quillspark.operators import evaluation as M
+from quillspark.operators import fusion as R
+from quillspark.operators import lexical as B
+from quillspark.operators import vectors as D
+from quillspark.operators import workflow as W
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Integers as bigint, as the SQL has them."""
+    return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def _round(c: str):
+    return F.round(c, 9).alias(c)
+
+
+# Tokens and BM25
+
+TOKENS = r"list_transform(regexp_extract_all(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\[A-Za-z]+|[A-Za-z][A-Za-z0-9_-]*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[\x{{4e00}}-\x{{9fff}}]'), lambda x: lower(x))"
+TOK = f"tok AS (SELECT doc_id, source, {TOKENS.format('text')} AS ts FROM documents)"
+TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY ALL)"
+BM = f"""{TOK}, {TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+st AS (SELECT count(*) AS n, coalesce(avg(len(ts)), 0) AS av FROM tok),
+q AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT item_id, {TOKENS.format('text')} AS ts FROM benchmark)),
+qt AS (SELECT item_id, term, min(pos) AS pos, count(*) AS qc FROM q GROUP BY ALL),
+sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, source, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / greatest(av, 1.0))) * qc ORDER BY pos)) AS score
+ FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY ALL)"""
+RANKED = "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0}) WHERE rank <= {1}"
+
+
+def _queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _chunks(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
+
+
+def _bm25(spark, sf, k=5, where=None):
+    return B.search(_queries(spark, sf), _chunks(spark, sf), F.col("text"), k, where=where)
+
+
+def _hits(df):
+    return _long(df.select("query_id", "chunk_id", _round("score"), "rank"))
+
+
+@query(f"WITH {TOK} SELECT doc_id, len(ts) AS n_tokens, len(list_distinct(ts)) AS n_terms FROM tok")
+def tokenize_counts(spark, sf):
+    t = B.tokens(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return _long(t.select("doc_id", F.size("tokens").alias("n_tokens"), F.size(F.array_distinct("tokens")).alias("n_terms")))
+
+
+_PAGE = "replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, len({TOKENS.format(_PAGE)}) AS n_tokens, sha256(array_to_string({TOKENS.format(_PAGE)}, ' ')) AS digest FROM pages")
+def tokenize_pages(spark, sf):
+    t = B.tokens(table(spark, sf, "pages"), "page_id", F.col("html"))
+    return _long(t.select("page_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("digest")))
+
+
+@query(f"WITH {TOK}, {TF} SELECT * FROM tf")
+def term_frequency(spark, sf):
+    return B.term_frequencies(B.tokens(table(spark, sf, "documents"), "doc_id", F.col("text")), "doc_id")
+
+
+@query(f"WITH {TOK}, {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
+def document_frequency(spark, sf):
+    return B.document_frequencies(B.term_frequencies(B.tokens(table(spark, sf, "documents"), "doc_id", F.col("text")), "doc_id"))
+
+
+@query(f"WITH {TOK} SELECT count(*) AS n_docs, round(avg(len(ts)), 9) AS avg_len FROM tok")
+def corpus_stats(spark, sf):
+    return B.corpus_stats(B.tokens(table(spark, sf, "documents"), "doc_id", F.col("text"))).select("n_docs", _round("avg_len"))
+
+
+@query(f"WITH {BM} {RANKED.format('sc', 5)}")
+def bm25_topk(spark, sf):
+    return _hits(_bm25(spark, sf))
+
+
+@query(f"WITH {BM} {RANKED.format('''(SELECT * FROM sc WHERE source = 'src3')''', 5)}")
+def bm25_filtered(spark, sf):
+    """Statistics stay those of all documents."""
+    return _hits(_bm25(spark, sf, where=F.col("source") == "src3"))
+
+
+# Dense retrieval
+
+COS = """cs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"""
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _vector_queries(spark, sf):
+    """The stated query set: every fiftieth vector, against all."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {COS} {RANKED.format('cs', 5)}")
+def cosine_topk(spark, sf):
+    return _hits(D.search(_vector_queries(spark, sf), _vectors(spark, sf)))
+
+
+@query(f"WITH {COS} {RANKED.format('(SELECT * FROM cs WHERE label = 3)', 5)}")
+def cosine_filtered(spark, sf):
+    return _hits(D.search(_vector_queries(spark, sf), _vectors(spark, sf), where=F.col("label") == 3))
+
+
+@query("SELECT vec_id AS query_id, -1::BIGINT AS chunk_id, 0.0::DOUBLE AS score, 1::BIGINT AS rank FROM embeddings WHERE vec_id % 50 = 0")
+def cosine_zero_norm(spark, sf):
+    zero = spark.range(1).select(F.lit(-1).cast("long").alias("chunk_id"), F.array_repeat(F.lit(0.0), 64).alias("vector"))
+    return _hits(D.search(_vector_queries(spark, sf), zero))
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END::BIGINT AS label FROM embeddings")
+def vector_upsert(spark, sf):
+    old = _vectors(spark, sf).select("chunk_id", "label", F.lit(0).alias("v"))
+    new = old.where("chunk_id % 3 = 0").select("chunk_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("v"))
+    return _long(D.keep_last(old.union(new), "chunk_id", "v").select("chunk_id", "label"))
+
+
+# Fusion and reranking. The second list ranks documents by a hash of query and document.
+
+DENSE = "dn AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id::VARCHAR || ':' || doc_id::VARCHAR), doc_id) AS rank FROM benchmark, documents QUALIFY rank <= 20)"
+SPARSE = "sp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20)"
+FUSED = f"{BM}, {SPARSE}, {DENSE}, fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, sp.rank AS sparse_rank, dn.rank AS dense_rank, coalesce(1.0::DOUBLE / (60 + sp.rank), 0) + coalesce(1.0::DOUBLE / (60 + dn.rank), 0) AS score FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id)"
+
+
+def _second(queries, top_k):
+    spark = queries.sparkSession
+    name = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+    rows = queries.select("query_id").crossJoin(_second.docs(spark)).withColumn("name", name)
+    return B.rank(rows, top_k, F.asc("name"), F.asc("chunk_id")).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
+
+
+def _hybrid(spark, sf, k):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
+    _second.docs = lambda _: docs
+    sparse = lambda q, n: B.search(q, _chunks(spark, sf), F.col("text"), n)
+    return R.hybrid_retriever(sparse, _second)(_queries(spark, sf), k)
+
+
+@query(f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM fu")
+def rrf_fusion(spark, sf):
+    sparse = _bm25(spark, sf, 20).select("query_id", F.lit(0).alias("list_id"), "rank", "chunk_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
+    _second.docs = lambda _: docs
+    dense = _second(_queries(spark, sf), 20).select("query_id", F.lit(1).alias("list_id"), "rank", "chunk_id")
+    return R.rrf(sparse.union(dense)).select("query_id", "chunk_id", _round("score"))
+
+
+@query(f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 9) AS score, sparse_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 5")
+def hybrid_topk(spark, sf):
+    return _long(_hybrid(spark, sf, 5).select("query_id", "chunk_id", _round("score"), "sparse_rank", "dense_rank", "rank"))
+
+
+@query(f"""WITH {FUSED}, ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM fu QUALIFY r <= 20)
+SELECT query_id, chunk_id, round(s, 9) AS score, round(score, 9) AS retrieval_score, r AS retrieval_rank, sparse_rank, dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS rank
+FROM (SELECT ca.*, length(text)::DOUBLE AS s FROM ca JOIN documents ON doc_id = chunk_id) QUALIFY rank <= 5""")
+def rerank_topk(spark, sf):
+    """With the length of the text in the place of a model's score."""
+    found = R.with_payload(_hybrid(spark, sf, 20), _chunks(spark, sf), ["text"])
+    out = R.rerank(found, F.length("text").cast("double"))
+    return _long(out.select("query_id", "chunk_id", _round("score"), _round("retrieval_score"), "retrieval_rank", "sparse_rank", "dense_rank", "rank"))
+
+
+# Evaluation and annotation
+
+CASES = "ca AS (SELECT item_id AS query_id, list(doc_id) AS rel, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id)"
+METRICS = f"""{BM}, {CASES}, hi AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5),
+me AS (SELECT ca.query_id, count(*) FILTER (g AND rank <= 1) / n AS recall_at_1, count(*) FILTER (g AND rank <= 5) / n AS recall_at_5, coalesce(1 / min(rank) FILTER (g), 0) AS reciprocal_rank,
+ coalesce(sum(1 / log2(rank + 1)) FILTER (g), 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda r: 1 / log2(r + 1))) AS ndcg_at_5
+ FROM (SELECT ca.*, rank, list_contains(rel, chunk_id) AS g FROM ca LEFT JOIN hi USING (query_id)) ca GROUP BY ca.query_id, n)"""
+
+
+def _cases(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    pairs = docs.join(items.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage")))
+    return pairs.groupBy(F.col("item_id").alias("query_id"), F.col("passage").alias("query")).agg(F.collect_list("doc_id").alias("relevant"))
+
+
+@query(f"WITH {METRICS} SELECT query_id, round(recall_at_1, 9) AS recall_at_1, round(recall_at_5, 9) AS recall_at_5, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg_at_5, 9) AS ndcg_at_5 FROM me")
+def case_metrics(spark, sf):
+    """Recall@1, Recall@5, reciprocal rank and nDCG@5 of BM25 for each case."""
+    per_case, _ = M.evaluate(_cases(spark, sf), lambda q, k: B.search(q, _chunks(spark, sf), F.col("text"), k))
+    return per_case.select("query_id", *(_round(c) for c in per_case.columns[1:]))
+
+
+@query(f"WITH {METRICS} SELECT round(avg(recall_at_1), 9) AS macro_recall_at_1, round(avg(recall_at_5), 9) AS macro_recall_at_5, round(avg(reciprocal_rank), 9) AS mean_reciprocal_rank, round(avg(ndcg_at_5), 9) AS mean_ndcg_at_5 FROM me")
+def macro_eval(spark, sf):
+    _, macro = M.evaluate(_cases(spark, sf), lambda q, k: B.search(q, _chunks(spark, sf), F.col("text"), k))
+    return macro.select(*map(_round, macro.columns))
+
+
+@query("""SELECT item_id, CASE WHEN s = '' THEN 'query' ELSE s END || '_' || left(sha256(chr(0) || text), 8) AS query_id
+FROM (SELECT *, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS s FROM benchmark)""")
+def query_id_slug(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.query_id(F.col("text"), F.lit(None).cast("string")).alias("query_id"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, '1,3,4,5'), (2, '2'), (3, '1,2,3'), (4, ''))  t(id, picked)")
+def selection_parse(spark, sf):
+    rows = spark.createDataFrame([(1, "1,3-5", 5), (2, "2,2, 2", 3), (3, "3,1-2,", 3), (4, "", 1)], "id long, value string, n int")
+    return rows.select("id", F.array_join(M.selection(F.col("value"), F.col("n")).cast("array<string>"), ",").alias("picked"))
+
+
+@query("SELECT 'query' AS rule, lower(trim(text)) AS key, count(*) AS n FROM conversations GROUP BY lower(trim(text)), conv_id::VARCHAR HAVING count(*) > 1 UNION ALL SELECT 'query_id', conv_id::VARCHAR || ':' || role, count(*) FROM conversations GROUP BY ALL HAVING count(*) > 1")
+def duplicate_cases(spark, sf):
+    c = table(spark, sf, "conversations")
+    cases = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("query_id"), F.col("text").alias("query"), F.col("conv_id").cast("string").alias("paper_id"))
+    return M.duplicate_cases(cases)
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def question_queue(spark, sf):
+    """Items without a relevant document: the queue minus what is answered."""
+    queue = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    return M.new_cases(queue, _cases(spark, sf)).select(F.col("query_id").alias("item_id"))
+
+
+# Elements
+
+@query("SELECT doc_id, 'elem_' || left(sha256(source || chr(0) || doc_id || chr(0) || '0' || chr(0) || 'text' || chr(0) || text), 24) AS element_id FROM documents")
+def element_ids(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.stable_id("elem", F.col("source"), F.col("doc_id").cast("string"), F.lit("0"), F.lit("text"), F.col("text")).alias("element_id"))
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER w AS prev_id, lead(turn) OVER w AS next_id FROM (SELECT DISTINCT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def adjacency_links(spark, sf):
+    return E.link(table(spark, sf, "conversations").select("conv_id", "turn").distinct(), "conv_id", "turn", "turn")
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[\t\f\v ]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("digest"))
+
+
+_ROWS = "(1::BIGINT, 1::BIGINT, 1::BIGINT, 'T'), (1, 2, NULL, 'a'), (1, 3, 2, 'M'), (1, 4, NULL, 'b'), (1, 5, 3, 'N'), (1, 6, NULL, 'c'), (1, 7, 2, 'R'), (1, 8, NULL, 'd'), (2, 1, NULL, 'x'), (2, 2, 3, 'Y'), (2, 3, 1, 'Z'), (2, 4, NULL, 'z')"
+
+
+@query(f"""WITH e(paper, seq, lvl, content) AS (VALUES {_ROWS}),
+h AS (SELECT a.paper, a.seq, a.lvl, a.content, (SELECT min(b.seq) FROM e b WHERE b.paper = a.paper AND b.seq > a.seq AND b.lvl <= a.lvl) AS stop FROM e a WHERE lvl IS NOT NULL)
+SELECT e.paper, e.seq, coalesce(string_agg(h.content, ' > ' ORDER BY h.lvl), '') AS path, arg_max(h.content, h.lvl) FILTER (h.seq < e.seq) AS parent
+FROM e LEFT JOIN h ON h.paper = e.paper AND h.seq <= e.seq AND (h.stop IS NULL OR e.seq < h.stop) GROUP BY ALL""")
+def section_paths(spark, sf):
+    rows = [(int(a), int(b), None if c == "NULL" else int(c), d) for a, b, c, d in (r.replace("::BIGINT", "").strip(" ()'").replace("'", "").split(", ") for r in _ROWS.split("), ("))]
+    e = spark.createDataFrame(rows, "paper_id long, seq long, text_level int, content string").withColumn("element_id", F.col("content"))
+    return E.sections(e).select(F.col("paper_id").alias("paper"), "seq", F.array_join("section_path", " > ").alias("path"), F.col("parent_id").alias("parent"))
+
+
+@query("SELECT event_type, 'paragraph' AS element_type, true AS unmapped, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT * FROM (VALUES ('chart', 'figure', false, 1::BIGINT), ('text', 'paragraph', false, 1), ('footer', 'paragraph', true, 1))")
+def type_map_filter(spark, sf):
+    raw = table(spark, sf, "events").select("event_type").union(spark.createDataFrame([("chart",), ("text",), ("footer",), ("header",), ("page_number",)], "event_type string"))
+    kept = raw.where(~F.col("event_type").isin(E.SKIPPED))
+    return kept.groupBy("event_type", E.element_type(F.col("event_type")).alias("element_type"), E.unmapped(F.col("event_type")).alias("unmapped")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Chunks. Lines are elements: paper = document, one section.
+
+def _lines(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "content"))
+    return d.where("content <> ''").select(F.col("doc_id").alias("paper_id"), "seq", "content", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string")).alias("element_id"), F.array().cast("array<string>").alias("section_path"), F.lit(1).alias("page"), F.lit("paragraph").alias("element_type"), F.lit(None).cast("int").alias("text_level"), F.lit(False).alias("retrieval_excluded"))
+
+
+LINES = "li AS (SELECT doc_id, i - 1 AS seq, p[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE p[i] <> '')"
+
+
+@query(f"WITH {LINES} SELECT doc_id, 'parent_' || left(sha256(doc_id::VARCHAR || chr(0) || 'root'), 24) AS parent_chunk_id, count(*) AS n, sha256(string_agg(content, chr(10) || chr(10) ORDER BY seq)) AS digest FROM li GROUP BY doc_id")
+def parent_chunks(spark, sf):
+    p = C.parents(_lines(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string")))
+    return p.select(F.col("paper_id").cast("long").alias("doc_id"), "parent_chunk_id", F.size("element_ids").cast("long").alias("n"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT lang AS kind, count(*) AS n FROM documents GROUP BY lang")
+def kind_histogram(spark, sf):
+    return C.kind_histogram(table(spark, sf, "documents").withColumnRenamed("lang", "kind"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, nu AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, seq, length(content) AS n FROM li),
+st AS (SELECT doc_id, 0::BIGINT AS i, []::STRUCT(s BIGINT, n BIGINT)[] AS buf, []::BIGINT[][] AS outs FROM nu WHERE i = 1
+UNION ALL SELECT st.doc_id, nu.i,
+ CASE WHEN nu.n > 600 THEN [] WHEN len(buf) > 0 AND list_sum(list_transform(buf, lambda b: b.n + 2)) + nu.n > 600 THEN
+   (CASE WHEN buf[-1].n + 2 + nu.n <= 600 THEN [buf[-1]] ELSE [] END) || [{{'s': nu.seq, 'n': nu.n}}] ELSE buf || [{{'s': nu.seq, 'n': nu.n}}] END,
+ CASE WHEN nu.n > 600 THEN outs || (CASE WHEN len(buf) > 0 THEN [list_transform(buf, lambda b: b.s)] ELSE [] END)
+   WHEN len(buf) > 0 AND list_sum(list_transform(buf, lambda b: b.n + 2)) + nu.n > 600 THEN outs || [list_transform(buf, lambda b: b.s)] ELSE outs END
+ FROM st JOIN nu ON nu.doc_id = st.doc_id AND nu.i = st.i + 1),
+la AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, array_to_string(list_transform(g, lambda x: x::VARCHAR), ',') AS lines FROM (SELECT doc_id, unnest(outs || CASE WHEN len(buf) > 0 THEN [list_transform(buf, lambda b: b.s)] ELSE [] END) AS g FROM la)""")
+def pack_text(spark, sf):
+    """Groups of lines up to 600 characters with one line of overlap; long lines stand apart."""
+    rows = _lines(spark, sf)
+    order = Window.partitionBy("paper_id").orderBy("seq")
+    long = F.length("content") > 600
+    marked = rows.withColumn("stretch", F.sum(F.when(long, 1).otherwise(0)).over(order)).where(~long)
+    groups = C.text_groups(marked, ["paper_id", "stretch"], 600, 1)
+    return groups.select(F.col("paper_id").alias("doc_id"), F.array_join(F.transform("members", lambda m: m["seq"].cast("string")), ",").alias("lines"))
+
+
+@query()
+def split_long_text(spark, sf):
+    """Chunks of whole documents as one-paragraph papers; the cut needs Python on both sides."""
+    d = table(spark, sf, "documents").where("text <> ''")
+    e = d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(1).alias("seq"), F.col("text").alias("content"), F.col("doc_id").cast("string").alias("element_id"), F.array().cast("array<string>").alias("section_path"), F.lit(1).alias("page"), F.lit("paragraph").alias("element_type"), F.lit(None).cast("int").alias("text_level"), F.lit(False).alias("retrieval_excluded"))
+    return C.chunk(e).select("paper_id", "chunk_id", "part_index", "part_count", "char_count", "oversized", "contains_inline_latex")
+
+
+@query()
+def parsed_chunks(spark, sf):
+    """The whole ingest of pages' headings and texts as parser items."""
+    p = table(spark, sf, "pages")
+    item = lambda **k: F.to_json(F.struct(*(v.alias(n) for n, v in k.items())))
+    items = F.array(item(type=F.lit("text"), text=F.regexp_extract("html", "<title>(.*?)</title>", 1), text_level=F.lit(1)), item(type=F.lit("header"), text=F.lit("skipped")), item(type=F.lit("text"), text=F.regexp_replace("html", "(?s)<(script|style).*?</\\1>|<[^>]+>", " "), page_idx=F.lit(0)), item(type=F.lit("interline_equation"), latex=F.lit("x = 1"), page_idx=F.lit(1)))
+    rows = p.select(F.col("page_id").cast("string").alias("paper_id"), F.posexplode(items).alias("source_index", "item"))
+    return C.chunk(E.parse(rows)).select("paper_id", "chunk_id", "parent_chunk_id", "kind", "part_index", "part_count", "char_count", F.length("context").alias("context_chars"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text END AS prose, text FROM (SELECT DISTINCT ON (conv_id, turn) * FROM conversations ORDER BY conv_id, turn, role, text))
+SELECT conv_id, turn, sha256(concat_ws(chr(10) || chr(10), last_value(prose IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(prose IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))) AS digest
+FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY role = 'assistant'""")
+def equation_context(spark, sf):
+    """Turns of the assistant as equations among the paragraphs of the others."""
+    c = table(spark, sf, "conversations")
+    c = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r")).select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("seq"), F.when(F.col("r.role") == "assistant", "equation").otherwise("paragraph").alias("element_type"), F.col("r.text").alias("content"), F.lit(None).cast("int").alias("text_level"), F.array().cast("array<string>").alias("section_path"))
+    out = C.equation_context(c).where("element_type = 'equation'")
+    return out.select(F.col("paper_id").alias("conv_id"), F.col("seq").alias("turn"), F.sha2("context", 256).alias("digest"))
+
+
+@query("SELECT rule, key FROM (VALUES ('x', 'y')) t(rule, key) WHERE false")
+def integrity_orphans(spark, sf):
+    """Chunks built from all lines break no rule."""
+    lines = _lines(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+    return M.integrity(C.chunk(lines), C.parents(lines), lines)
+
+
+@query("SELECT rule, key FROM (SELECT 'quality' AS rule, doc_id::VARCHAR AS key FROM labels WHERE NOT coalesce(quality = 1, false) UNION ALL SELECT 'toxic', doc_id::VARCHAR FROM labels WHERE NOT coalesce(toxic = 0, false))")
+def constraint_violations(spark, sf):
+    return M.violations(table(spark, sf, "labels"), "doc_id", {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 0})
+
+
+@query("SELECT * FROM (VALUES ('supported_needs_evidence', 'c2'), ('confidence_range', 'c3')) t(rule, key)")
+def finding_violations(spark, sf):
+    rows = [("c1", "supported", ["e"], 0.5), ("c2", "supported", [], 1.0), ("c3", "contradicted", [], 1.5)]
+    return M.violations(spark.createDataFrame(rows, "claim_id string, verdict string, evidence_ids array<string>, confidence double"), "claim_id", M.finding_rules())
+
+
+@query("SELECT * FROM (VALUES ('r2', 2::BIGINT, 'parsing', 'judging')) t(run_id, step, src, dst)")
+def workflow_trace_check(spark, sf):
+    good = ["init", "parsing", "indexing", "extracting_claims", "retrieving_evidence", "critiquing", "judging", "reporting", "finished"]
+    rows = [("r1", i, s) for i, s in enumerate(good)] + [("r2", 0, "init"), ("r2", 1, "parsing"), ("r2", 2, "judging")]
+    return W.illegal_moves(spark.createDataFrame(rows, "run_id string, step long, state string"), W.moves(spark))
+
+
+@query("SELECT conv_id AS run_id, max(turn) AS version, arg_max(role, turn) AS state FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def latest_checkpoint(spark, sf):
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("run_id"), F.col("turn").alias("version")).agg(F.min("role").alias("state"))
+    return W.latest(c)
+
+
+@query("SELECT doc_id, trim(left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 500)) AS snippet, CASE WHEN source <> '' THEN 'Section: ' || source || chr(10) || chr(10) END || lang AS embedding_text, contains(text, '$') OR contains(text, '\\begin{') OR contains(text, '\\[') AS latex FROM documents")
+def serialisations(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.trim(T.snippet(F.col("text"))).alias("snippet"), T.embedding_text(F.array("source"), F.lit(""), F.col("lang")).alias("embedding_text"), T.has_latex(F.col("text")).alias("latex"))
