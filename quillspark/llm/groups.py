@@ -3,8 +3,8 @@
 Used by the operators on near duplicates. Members of a bucket are compared with one
 other member first and then with drawn ones, as long as the bucket holds several
 components; what is left - members of different components that still share a bucket -
-is compared in blocks of bounded size. Nothing is capped: at the end every pair of
-members of one bucket has been compared, or is connected, or was ruled out by `rest`.
+is compared in blocks of bounded size. Nothing is capped: at the end any two members of
+one bucket have been compared or are connected.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .util import components, cut
 
-DRAWS = 3
+DRAWS = 2
 BLOCK = 512
 
 
@@ -35,8 +35,9 @@ def mixed(members: DataFrame) -> DataFrame:
 def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component_id) of all linked ids.
 
-    check keeps the pairs (a, b) that are links; rest turns members (key, id, c) of mixed
-    buckets into the pairs of different components still to check.
+    check keeps the pairs (a, b) that are links; rest finds links between different
+    components among members (key, id, c, size) of mixed buckets, at least one for any two
+    components that one part holds a link of.
     """
     tried = cut(shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "tried")
     links = cut(check(tried), "links")
@@ -49,42 +50,38 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
         if draw <= DRAWS:
             drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)), "id", "c")).alias("d")).select("key", F.col("d.id").alias("to"), F.col("d.c").alias("to_c"))
             pairs = members.join(drawn, "key").where("c <> to_c").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+            tried = tried.union(pairs)
+            found = cut(check(pairs), "links")
         else:
-            pairs = rest(members)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        if pairs.isEmpty():
-            if draw <= DRAWS and not members.where("size > 2").isEmpty():
-                continue
-            break
-        tried = tried.union(pairs)
-        found = cut(check(pairs), "links")
+            more = members.where("size > 2")  # the pair of a bucket of two has been tried
+            if more.isEmpty():
+                break
+            # Buckets that share members are one cluster: a pair meets once, not in each of them.
+            least = more.groupBy("key").agg(F.min("id").alias("b"))
+            cluster = components(more.select("key", F.col("id").alias("a")).join(least, "key").select("a", "b"))
+            found = cut(rest(more.select("id", "c").distinct().join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c")), "links")
         if not found.isEmpty():
             links = links.union(found)
             label = components(links)
     return label
 
 
-def block_pairs(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[[int, tuple], Iterator[int]]) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket that compare accepts.
+def block_links(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) between different components of one cluster.
 
-    members: key, id, c, size; facts: id and the columns. A bucket of more than BLOCK
-    rows is dealt as pairs of blocks, so that no task gathers a whole bucket.
-    compare(i, rows) gets the columns of a cell's rows as tuples - c, cell side, then
-    `columns` - and yields the j > i to pair with i.
+    members: key, id, c; facts: id and the columns. A cluster of more than BLOCK rows is
+    dealt as pairs of blocks, so that no task gathers a whole one. compare(c, *columns)
+    yields places (i, j) of linked rows with different c.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = members.select("key", "id", "c", blocks.alias("blocks")).join(facts.select("id", *columns), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = members.join(sizes, "key").join(facts.select("id", *columns), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
     y = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = rows.withColumn("y", y).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "id", "c", F.when(F.col("x") <= F.col("y"), 0).otherwise(1).alias("side"), *columns)
+    cells = rows.withColumn("y", y).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "id", "c", *columns)
 
     def cell(held):
-        found = []
-        apart = held[0][1] != held[0][2]
-        ids, rest_ = [r[3] for r in held], tuple(zip(*(r[4:] for r in held), strict=True))
-        for i in range(len(held) - 1):
-            for j in compare(i, rest_):
-                if not apart or rest_[1][i] != rest_[1][j]:
-                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        ids = [r[3] for r in held]
+        found = [(ids[i], ids[j]) for i, j in compare(*zip(*(r[4:] for r in held), strict=True))]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .groups import block_pairs, settle, shared_buckets
+from .groups import block_links, settle, shared_buckets
 from .shingles import Hasher
 from .util import cut, table
 
@@ -141,18 +141,27 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _rest(reps: DataFrame):
-    """Probable pairs among what still shares a bucket; by their registers, in blocks."""
+def _rest(texts: DataFrame):
+    """Links among what still shares a bucket: exact intersections by an inverted list
+    of the shingles of a part."""
 
-    def compare(i, rows):
-        c, _, n, regs = rows
-        other = np.array([j for j in range(i + 1, len(c)) if c[j] != c[i]], int)
-        if len(other):
-            k = np.frombuffer(b"".join(regs[j] for j in other), np.uint16).reshape(-1, REGISTERS)
-            mine = np.broadcast_to(np.frombuffer(regs[i], np.uint16), k.shape)
-            yield from other[plausible(mine, k, np.full(len(other), n[i]), np.array(n)[other])]
+    def compare(c, text):
+        hasher, c = Hasher(), np.array(c)
+        sets = [hasher.shingles(t) for t in text]
+        n = np.array([len(x) for x in sets])
+        names, of = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(of, kind="stable")
+        rows, ends = row[order], np.cumsum(np.bincount(of, minlength=len(names)))
+        starts, first = np.concatenate(([0], ends[:-1])), np.concatenate(([0], np.cumsum(n)))
+        common = np.bincount(c_ := np.unique(c, return_inverse=True)[1]).argmax()
+        for i in np.flatnonzero(c_ != common):  # two rows of the largest component need no test
+            mine = of[first[i] : first[i + 1]]
+            both = np.bincount(np.concatenate([rows[starts[k] : ends[k]] for k in mine]), minlength=len(sets))
+            linked = np.flatnonzero((both * 100 >= (n + n[i] - both) * THRESHOLD) & (c != c[i]))
+            yield from ((i, j) for j in linked[np.unique(c[linked], return_index=True)[1]])
 
-    return lambda members: block_pairs(members, reps.withColumnRenamed("doc_id", "id"), ["n", "regs"], compare)
+    return lambda members: block_links(members, texts.withColumnRenamed("doc_id", "id"), ["text"], compare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     texts = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
     regs = reps.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "n", "regs")
 
-    label = settle(shared, lambda pairs: _linked(_likely(pairs, regs), texts), _rest(regs))
+    label = settle(shared, lambda pairs: _linked(_likely(pairs, regs), texts), _rest(texts))
     of = s.select("doc_id", "n", "key").join(classes, "key", "left").join(label, F.col("rep") == F.col("id"), "left")
     out = of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
