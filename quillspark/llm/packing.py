@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import Codec, vocabulary
+from .tokens import codec, vocabulary
 from .util import table
 
 WINDOW = 2048
@@ -108,11 +108,11 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     path = path or vocabulary()
 
     def run(batches):
-        codec, packer = Codec(path), Packer(TaskContext.get().partitionId() << 33, window)
+        coder, packer = codec(path), Packer(TaskContext.get().partitionId() << 33, window)
         kind = [pa.int64()] * 7
 
         def shard(rows):
-            ids = [np.array(codec.encode(t) + [END], np.uint32) for _, t in rows]
+            ids = [np.append(coder.encode_array(t), np.uint32(END)) for _, t in rows]
             out = [(rows[d][0], s, n, crc, len(ids[d]), seq, at, *([ids[d][s : s + n].tolist()] if with_ids else ())) for d, pieces in order(ids, packer) for s, n, crc, seq, at in pieces]
             cols = list(zip(*out, strict=True))
             arrays = [pa.array(cols[0], keys), *(pa.array(c, k) for c, k in zip(cols[1:7], kind, strict=False)), *([pa.array(cols[7], pa.list_(pa.int32()))] if with_ids else [])]

@@ -12,9 +12,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +43,20 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def codec(path: str) -> Codec:
+    """The worker process's codec of a vocabulary: kept between its tasks."""
+    kept = sys.modules.setdefault("quillspark_worker", types.ModuleType("quillspark_worker")).__dict__
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file; made once per task."""
+    """Encoder and decoder of one vocabulary file, with a bounded cache of pieces."""
 
     def __init__(self, path: str, leaf: int = LEAF) -> None:
+        import public_tokenizers
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -61,26 +74,23 @@ class Codec:
             self.bytes[i] = token.encode() if token in self.special else bytes(back[c] for c in token)
         self.names = [str(i) for i in range(len(self.bytes))]
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # Texts of these characters alone are split by a plain expression; their letters and
-        # digits are the ranges below in every version of Unicode.
+        # Texts of these characters alone are of the same classes in every version of
+        # Unicode; without a long piece a faster library with the same merges takes them.
         self.plain = re.compile("[\t\n\r\x20-\x7e\xa0-±´-¸º»¿-ɏ]*")
-        letters = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-        self.pieces = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+")
+        self.long = re.compile(rf"(?<!\S)\S{{{leaf}}}|(?<!\s)\s{{{leaf}}}")
+        ranks = {b: i for i, b in enumerate(self.bytes) if i not in self.special.values()}
+        self.fast = Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.gap = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, list[int]] = {}
         self.mapped: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
-    def to_alphabet(self, text: str) -> str:
-        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-
-    def learn(self, cache: dict[str, list[int]], keys: list[str], pieces: list[str]) -> None:
-        short = [i for i, p in enumerate(pieces) if len(p) <= self.leaf]
-        for i, e in zip(short, self.merge.encode_batch_fast([pieces[i] for i in short]), strict=True):
-            cache[keys[i]] = e.ids
-        for k, p in zip(keys, pieces, strict=True):
+    def learn(self, pieces: set[str]) -> None:
+        short = [p for p in pieces if len(p) <= self.leaf]
+        for p, e in zip(short, self.merge.encode_batch_fast(short), strict=True):
+            self.mapped[p] = e.ids
+        for p in pieces:
             if len(p) > self.leaf:
-                cache[k] = self.encode_piece(p)
+                self.mapped[p] = self.encode_piece(p)
 
     def encode_piece(self, piece: str) -> list[int]:
         """A pre-token in the byte alphabet."""
@@ -119,28 +129,29 @@ class Codec:
         yield text[at:] if at else text
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > CACHED:
-            self.known.clear()
         if len(self.mapped) > CACHED:
             self.mapped.clear()
         if len(self.pairs) > CACHED:
             self.pairs.clear()
-        known, mapped, out = self.known, self.mapped, []
+        out: list[int] = []
         for part in self.special_at.split(text) if self.special_at else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
             for chunk in self.chunks(part):
-                if self.plain.fullmatch(chunk):
-                    pieces = self.pieces.findall(chunk)
-                    self.learn(known, new := [p for p in {*pieces} if p not in known], [self.to_alphabet(p) for p in new])
-                    out.extend(chain.from_iterable(map(known.__getitem__, pieces)))
+                if self.plain.fullmatch(chunk) and not self.long.search(chunk):
+                    out.extend(self.fast.encode_ordinary(chunk))
                 else:
                     pieces = [p for p, _ in self.split(chunk)]
-                    self.learn(mapped, new := [p for p in {*pieces} if p not in mapped], new)
-                    out.extend(chain.from_iterable(map(mapped.__getitem__, pieces)))
+                    self.learn({p for p in pieces if p not in self.mapped})
+                    out.extend(chain.from_iterable(map(self.mapped.__getitem__, pieces)))
         return out
 
+    def encode_array(self, text: str) -> np.ndarray:
+        if len(text) <= CHUNK and self.plain.fullmatch(text) and not self.long.search(text) and not (self.special_at and self.special_at.search(text)):
+            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        return np.array(self.encode(text), np.uint32)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -150,9 +161,9 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     path = path or vocabulary()
 
     def run(batches):
-        codec = Codec(path)
+        coder = codec(path)
         for batch in batches:
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _narrow(docs, id_col, text).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -172,15 +183,15 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     path = path or vocabulary()
 
     def run(batches):
-        codec = Codec(path)
+        coder = codec(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
-                ids = codec.encode(t.as_py() or "")
+                ids = coder.encode(t.as_py() or "")
                 n.append(len(ids))
-                a.append(sha(",".join(map(codec.names.__getitem__, ids)).encode()))
-                b.append(sha(codec.decode(ids).encode()))
+                a.append(sha(",".join(map(coder.names.__getitem__, ids)).encode()))
+                b.append(sha(coder.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _narrow(docs, id_col, text).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
