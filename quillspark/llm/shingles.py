@@ -50,15 +50,15 @@ class Hasher:
     def _words(self, data: bytes) -> np.ndarray:
         return self.words_at(np.frombuffer(data, np.uint8))[0]
 
-    def words_at(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes and first bytes of one buffer."""
+    def words_at(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes, first bytes and ends of one buffer."""
         edge = np.flatnonzero(np.diff(np.concatenate(([True], self.space[raw], [True])).view(np.int8)))
         if not len(edge):
-            return np.zeros(0, np.uint64), edge
+            return np.zeros(0, np.uint64), edge, edge
         self.powers(len(raw))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.bytes[raw] * self.up[: len(raw)])))
         first, last = edge[::2], edge[1::2]
-        return mix((total[last] - total[first]) * self.down[first]), first
+        return mix((total[last] - total[first]) * self.down[first]), first, last
 
     def shingles(self, text: str | None, words: int = WORDS) -> np.ndarray:
         """Sorted distinct hashes of the text's shingles: A-Z lower-cased, `words` words
