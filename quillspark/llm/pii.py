@@ -171,8 +171,8 @@ def estimate(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[int, dict]:
 def train(found: DataFrame) -> dict[int, dict]:
     """Count the vote patterns of all candidates of the corpus and fit the classifier."""
     marked = F.concat(F.transform("base", lambda s: F.struct(s["k"].alias("k"), votes(F.col("t"), s, True).alias("v"))), F.transform("other", lambda s: F.struct(s["k"].alias("k"), votes(F.col("t"), s, False).alias("v"))))
-    some = found.where((F.size("base") > 0) | (F.size("other") > 0))
-    counts = some.select(F.explode(marked).alias("c")).groupBy("c.k", "c.v").count().collect()
+    # explode_outer: with explode, a filter on the array would search every text twice.
+    counts = found.select(F.explode_outer(marked).alias("c")).where("c is not null").groupBy("c.k", "c.v").count().collect()
     return estimate(sorted((r["k"], tuple(r["v"]), r["count"]) for r in counts))
 
 
@@ -236,6 +236,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other = [c for c in docs.columns if c not in ("text", "n_chars")]
     packed = docs.select(F.struct("text", *other).alias("row"), "text")
     spans = find_spans(packed, "row", "text")
-    text = F.when(F.size("spans") > 0, redacted(F.col("t"), "spans")).otherwise(F.col("row.text"))
-    out = spans.select(*(F.col(f"row.{c}").alias(c) for c in other), text.alias("text"))
+    text = F.when(F.size("spans") > 0, redacted(F.col("t"), "spans")).otherwise(F.col("doc_id.text"))
+    out = spans.select(*(F.col(f"doc_id.{c}").alias(c) for c in other), text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

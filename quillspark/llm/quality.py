@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import table
+from .util import cut, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -94,7 +94,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits."""
-    verdicts = judge(docs).where("kept").select("doc_id", "frequent").withColumnRenamed("doc_id", "d2")
+    # Stored first: a filter on the verdict would be pushed into the measures and repeat them.
+    verdicts = cut(judge(docs).select("doc_id", "kept", "frequent"), "verdicts").where("kept").select(F.col("doc_id").alias("d2"), "frequent")
     verdicts = verdicts.groupBy("d2").agg(F.array_distinct(F.flatten(F.collect_list("frequent"))).alias("frequent"))
     joined = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("d2")))
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("frequent", _line_hash(x)))), "\n")
