@@ -85,7 +85,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     lost = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("frequent", x["h"]), x["n"]).otherwise(0))
     depleted = (F.size("frequent") > 0) & ((total - lost) < keep_share * total)
     kept = ~F.col("base_failed") & ~depleted
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "frequent")
+    # Stored: a caller's filter on a verdict would be pushed into the measures and repeat them.
+    return cut(joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "frequent"), "verdicts")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +95,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, without the lines above the limits."""
-    # Stored first: a filter on the verdict would be pushed into the measures and repeat them.
-    verdicts = cut(judge(docs).select("doc_id", "kept", "frequent"), "verdicts").where("kept").select(F.col("doc_id").alias("d2"), "frequent")
+    verdicts = judge(docs).where("kept").select(F.col("doc_id").alias("d2"), "frequent")
     verdicts = verdicts.groupBy("d2").agg(F.array_distinct(F.flatten(F.collect_list("frequent"))).alias("frequent"))
     joined = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("d2")))
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("frequent", _line_hash(x)))), "\n")
