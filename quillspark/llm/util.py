@@ -30,11 +30,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
 
 
+#: Spark then deletes the shuffle files of a query when it ends, not when the driver
+#: happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage of df by a Parquet table in the shared folder."""
+    """Cut the lineage of df by a Parquet table in the shared folder.
+
+    Once the table is written nothing needs the shuffles of the write any more; in
+    loops of many steps they would pile up.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
