@@ -316,3 +316,37 @@ def test_pipeline(spark, docs, tmp_path):
         if name in ("pii", "packing"):
             assert after.keys() == before.keys()
         now = new
+
+
+def near_lines(rng):
+    """Lines of many lengths with copies of up to a tenth of edits: words or single letters."""
+    out = []
+    for n in (3, 4, 5, 6, 8, 10, 15, 30, 60, 100):
+        for _ in range(12):
+            w = [rng.choice(WORDS) + rng.choice(WORDS) + chr(rng.randrange(97, 123)) for _ in range(n)]
+            out.append(" ".join(w))
+            w[rng.randrange(n)] = rng.choice(WORDS) + "qz"
+            out.append(" ".join(w))
+            x = list(" ".join(w))
+            x[rng.randrange(len(x))] = "k"
+            out.append("".join(x))
+    return out
+
+
+def test_line_recall(spark):
+    """Against edit similarity alone: no SimHash, no keys."""
+    lines = near_lines(random.Random(12)) + ["ab " * 90 + "one", "ab " * 90 + "two q"]
+    names = [line_dedup.normalised(x) for x in lines]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if line_dedup.similar(names[i], names[j])]
+    want = grouped(range(len(names)), pairs)
+    gone = {i for i, g in want.items() if i != g}
+    got = {r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got <= gone and len(gone) > 150 and len(got) >= 0.98 * len(gone)
+    short = [i for i, x in enumerate(names) if 16 <= len(x) < line_dedup.EXACT]
+    assert {i for i in gone & set(short) if want[i] in short} <= got  # exact there
+
+
+def test_line_signs(spark):
+    rows = [(1, "It’s “quoted” – with ٣ signs here"), (2, "it's 'quoted' - with 3 signs here!"), (3, "Другая строка, с буквами")]
+    got = [r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [2]
