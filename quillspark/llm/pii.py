@@ -35,7 +35,7 @@ MORE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
 }
-MORE_NEEDS = {"email": r"[\[({ ](?:dot|DOT|\.)[\])} ]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
+MORE_NEEDS = {"email": r"(?:[\[({] ?(?:at|AT|@) ?[\])}] ?| at )[A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}]| dot |\.)", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "phone": r"[0-9]{3}[ .-][0-9]{4}"}
 ENDINGS = "com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|uk|eu|us|ca|ch|at|be|mx|br|jp|cn|in|au|ru|pl|se|no|dk|fi|pt"
 CUES = {
     "email": r"e-?mail|mail|contact|write|correo|courriel|adresse|kontakt",

@@ -350,3 +350,13 @@ def test_line_signs(spark):
     rows = [(1, "It’s “quoted” – with ٣ signs here"), (2, "it's 'quoted' - with 3 signs here!"), (3, "Другая строка, с буквами")]
     got = [r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [2]
+
+
+def test_pii_disguised(spark):
+    """Each form of the pattern, alone in its text."""
+    forms = ["jane [at] example.com", "jane(at)example.com", "jane {AT} example.com", "jane[@]example.co.uk", "jane (at) example [dot] com", "jane at example dot com", "jane at example.com"]
+    rows = [(i, f"so {t} now") for i, t in enumerate(forms)] + [(50, "it is sold at noon. That is all")]
+    rows += [(100 + i, f"mail me{i}@corp.com or call +1 (415) 555-{1000 + i}") for i in range(30)]
+    got = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed("spans").alias("spans")).collect()}
+    assert [got[i] for i in range(len(forms))] == [f"email:3:{3 + len(t)}" for t in forms]
+    assert got[50] == ""
