@@ -24,7 +24,6 @@ WINDOW = 2048
 END = 1
 SHARD_CHARS, SHARD_DOCS = 4 << 20, 2048
 K1, B = 1.5, 0.75
-TERMS, NEIGHBOURS = 16, 24
 
 
 class Index:
@@ -36,28 +35,28 @@ class Index:
         terms, tfs = zip(*(np.unique(x[:-1], return_counts=True) for x in ids), strict=True)
         sizes = np.array([len(x) for x in ids], float)
         doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
-        self.terms, term, tf = terms, np.concatenate(terms), np.concatenate(tfs)
-        order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.names, self.start, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.end = self.start + df
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        names, term, df = np.unique(np.concatenate(terms), return_inverse=True, return_counts=True)
         norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1.0))
-        self.gain = tf[order] * (K1 + 1) / (tf[order] + norm[self.doc]) * np.repeat(self.idf, df)
+        tf = np.concatenate(tfs)
+        gain = tf * (K1 + 1) / (tf + norm[doc]) * np.log1p((self.n - df + 0.5) / (df + 0.5))[term]
+        shared = df[term] > 1  # a term of one document brings no neighbour
+        self.doc, self.term, self.gain = doc[shared], term[shared], gain[shared]
+        ends = np.searchsorted(self.doc, np.arange(self.n + 1))
+        self.asked = [self.term[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.wanted, self.held = np.zeros(len(names), bool), self.n
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents by falling score, ties in order of place."""
-        at = np.searchsorted(self.names, self.terms[seed])
-        at = at[self.end[at] - self.start[at] > 1]
-        at = at[np.argsort(-self.idf[at], kind="stable")[:TERMS]]
-        if not len(at):
-            return at
-        spans = [slice(self.start[i], self.end[i]) for i in at]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.gain[s] for s in spans]), self.n)
+        """Unused documents by falling score over all terms of the seed, ties in order of place."""
+        if 4 * (left := int(self.free.sum())) < 3 * self.held:  # forget what is taken
+            kept = self.free[self.doc]
+            self.doc, self.term, self.gain, self.held = self.doc[kept], self.term[kept], self.gain[kept], left
+        self.wanted[self.asked[seed]] = True
+        hit = np.flatnonzero(self.wanted[self.term])
+        self.wanted[self.asked[seed]] = False
+        score = np.bincount(self.doc[hit], self.gain[hit], self.n)
         score[~self.free] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        best = np.flatnonzero(score > 0)
+        return best[np.argsort(-score[best], kind="stable")]
 
 
 class Packer:
@@ -80,18 +79,16 @@ class Packer:
 def order(ids: list[np.ndarray], packer: Packer):
     """(document, its pieces) in the order of retrieval."""
     index, following = Index(ids), iter(range(len(ids)))
-    seed = -1
+    near = iter(())
     for _ in range(len(ids)):
-        if seed < 0 or not (near := [x for x in near if index.free[x]]):  # noqa: F821
+        new = next((x for x in near if index.free[x]), None)
+        if opens := new is None:
             new = next(x for x in following if index.free[x])
-        else:
-            new = near[0]
         index.free[new] = False
         before = packer.sequence
         yield new, list(packer.place(ids[new]))
-        if seed < 0 or packer.sequence != before or not near:
-            seed = new  # it opens the window
-            near = list(index.neighbours(seed))
+        if opens or packer.sequence != before:
+            near = iter(index.neighbours(new))  # it opens the window
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -360,3 +360,19 @@ def test_pii_disguised(spark):
     got = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed("spans").alias("spans")).collect()}
     assert [got[i] for i in range(len(forms))] == [f"email:3:{3 + len(t)}" for t in forms]
     assert got[50] == ""
+
+
+def test_packing_order():
+    """All terms and all neighbours count: one window, so the first document orders the rest."""
+    rng = np.random.default_rng(5)
+    ids = [np.append(rng.integers(10, 90, rng.integers(20, 60)), 1).astype(np.uint32) for _ in range(120)]
+    ids[0] = np.append(np.arange(10, 80), 1).astype(np.uint32)
+    got = [d for d, _ in packing.order(ids, packing.Packer(0, 1 << 20))]
+    bags, mean = [Counter(x[:-1].tolist()) for x in ids], sum(map(len, ids)) / len(ids)
+    df = Counter(t for b in bags for t in b)
+
+    def score(d):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids[d]) / mean)
+        return sum(np.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * (packing.K1 + 1) / (bags[d][t] + norm) for t in bags[0])
+
+    assert got == [0, *sorted(range(1, 120), key=lambda d: (-score(d), d))]
