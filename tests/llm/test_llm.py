@@ -376,3 +376,14 @@ def test_packing_order():
         return sum(np.log1p((120 - df[t] + 0.5) / (df[t] + 0.5)) * bags[d][t] * (packing.K1 + 1) / (bags[d][t] + norm) for t in bags[0])
 
     assert got == [0, *sorted(range(1, 120), key=lambda d: (-score(d), d))]
+
+
+def test_line_stage(spark):
+    """Lines go, documents only when no word is left."""
+    rng = random.Random(9)
+    shared = [prose(rng, 40) for _ in range(6)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join([*shared, prose(rng, 8)])), (3, "\n".join(shared)), (4, None), (5, shared[0] + "\n \n"), (6, "ok\n" + shared[1])]
+    now = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(spark, now, "").collect()}
+    unique = rows[1][1].split("\n")[-1]
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (unique, len(unique)), 4: (None, None), 6: ("ok", 2)}
