@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import components, cut
+from .util import components, cut, drop
 
 DRAWS = 2
 BLOCK = 512
@@ -36,8 +36,9 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
     """(id, component_id) of all linked ids.
 
     check keeps the pairs (a, b) that are links; rest finds links between different
-    components among members (key, id, c, size) of mixed buckets, at least one for any two
-    components that one part holds a link of.
+    components among members (key, id, c, keys) of mixed buckets: key names a cluster of
+    buckets, keys are the member's own ones. It finds at least one link for any two
+    components that one cluster holds a link of between members that share a bucket.
     """
     tried = cut(shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "tried")
     links = cut(check(tried), "links")
@@ -46,6 +47,7 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
         members = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
         members = cut(members.join(mixed(members).select("key", "size"), "key"), "members")
         if members.isEmpty():
+            drop(members)
             break
         if draw <= DRAWS:
             drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)), "id", "c")).alias("d")).select("key", F.col("d.id").alias("to"), F.col("d.c").alias("to_c"))
@@ -60,7 +62,9 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
             # Buckets that share members are one cluster: a pair meets once, not in each of them.
             least = more.groupBy("key").agg(F.min("id").alias("b"))
             cluster = components(more.select("key", F.col("id").alias("a")).join(least, "key").select("a", "b"))
-            found = cut(rest(more.select("id", "c").distinct().join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c")), "links")
+            met = more.groupBy("id", "c").agg(F.collect_set("key").alias("keys"))
+            found = cut(rest(met.join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c", "keys")), "links")
+        drop(members)
         if not found.isEmpty():
             links = links.union(found)
             label = components(links)
@@ -70,14 +74,14 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
 def block_links(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
     """Links (a, b) between different components of one cluster.
 
-    members: key, id, c; facts: id and the columns. A cluster of more than BLOCK rows is
-    dealt as pairs of blocks, so that no task gathers a whole one. compare(c, *columns)
-    yields places (i, j) of linked rows with different c.
+    members: key, id, c, keys; facts: id and the columns. A cluster of more than BLOCK rows
+    is dealt as pairs of blocks, so that no task gathers a whole one. compare(c, keys,
+    *columns) yields places (i, j) of linked rows with different c.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = members.join(sizes, "key").join(facts.select("id", *columns), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
     y = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = rows.withColumn("y", y).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "id", "c", *columns)
+    cells = rows.withColumn("y", y).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "id", "c", "keys", *columns)
 
     def cell(held):
         ids = [r[3] for r in held]

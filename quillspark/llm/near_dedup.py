@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .groups import block_links, settle, shared_buckets
-from .shingles import Hasher
-from .util import cut, table
+from .shingles import Hasher, mix
+from .util import cut, fresh, stored, table
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
@@ -35,8 +35,6 @@ _n = np.arange(1, REGISTERS + 1, dtype=np.uint64)
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
-    from .shingles import mix
-
     return (mix(_n) >> np.uint64(32)).astype(np.uint32)[:, None], (mix(_n + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
@@ -52,8 +50,6 @@ def registers(hashes: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.nda
 
 def band_keys(k: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band's registers."""
-    from .shingles import mix
-
     total = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         total = mix(total * np.uint64(0x9FB21C651E98DF25) + k.reshape(BANDS, ROWS)[:, i].astype(np.uint64))
@@ -145,7 +141,7 @@ def _rest(texts: DataFrame):
     """Links among what still shares a bucket: exact intersections by an inverted list
     of the shingles of a part."""
 
-    def compare(c, text):
+    def compare(c, keys, text):
         hasher, c = Hasher(), np.array(c)
         sets = [hasher.shingles(t) for t in text]
         n = np.array([len(x) for x in sets])
@@ -164,6 +160,7 @@ def _rest(texts: DataFrame):
     return lambda members: block_links(members, texts.withColumnRenamed("doc_id", "id"), ["text"], compare)
 
 
+@stored
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -171,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     5-word shingles (A-Z lower-cased; shorter texts are one shingle). Null, empty and
     blank texts have the empty set and are linked with nothing; equal sets are one class,
     so copies are never compared; an id may repeat only with equal text; other columns
-    are ignored; ids are long. A pair at the threshold misses all bands with probability
+    are ignored; ids are long; a null id is kept and links no other id. A pair at the threshold misses all bands with probability
     (1 - 0.85 ** 5) ** 24 < 1e-6.
 
     Scale: texts move once (only what shares a bucket is stored), the rest are ids,
@@ -197,6 +194,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    """The smallest id of each group stays, with all rows that repeat it; null ids stay.
+
+    Texts without words are in no group and stay. All columns of docs are kept.
+    """
+    name = fresh(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)

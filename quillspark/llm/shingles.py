@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -19,6 +21,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def worker() -> dict:
+    """What a worker process keeps between its tasks; functions come anew with each task."""
+    return sys.modules.setdefault("quillspark_worker", types.ModuleType("quillspark_worker")).__dict__
+
+
 class Hasher:
     """Hashes of words; powers are kept for the longest segment seen in the task."""
 

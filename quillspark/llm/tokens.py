@@ -12,8 +12,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import sys
-import types
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shingles import worker
 from .util import table
 
 LEAF = 2048  # bytes; longer pieces are encoded as a tree
@@ -45,7 +44,7 @@ def byte_alphabet() -> list[str]:
 
 def codec(path: str) -> Codec:
     """The worker process's codec of a vocabulary: kept between its tasks."""
-    kept = sys.modules.setdefault("quillspark_worker", types.ModuleType("quillspark_worker")).__dict__
+    kept = worker()
     if path not in kept:
         kept[path] = Codec(path)
     return kept[path]

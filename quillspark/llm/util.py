@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for tables between jobs: below spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set once for the session.
+    Where the session names none, a temporary folder is set once, but only where driver
+    and executors are one process; a cluster must name a folder that all of them see.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
             found = context._jsc.sc().getCheckpointDir()
         base = found.get()
@@ -33,6 +39,17 @@ def scratch(spark: SparkSession) -> str:
 #: Spark then deletes the shuffle files of a query when it ends, not when the driver
 #: happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing, _before, _lock = 0, "false", threading.Lock()
+
+
+def _cleanup(spark: SparkSession, by: int) -> None:
+    """The setting holds while any write runs; the last one puts the old value back."""
+    global _writing, _before
+    with _lock:
+        if not _writing:
+            _before = spark.conf.get(CLEANUP, "false")
+        _writing += by
+        spark.conf.set(CLEANUP, "true" if _writing else _before)
 
 
 def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -43,17 +60,26 @@ def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    _cleanup(spark, 1)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
+        _cleanup(spark, -1)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out, path
+
+
+#: The tables that the running operator has written.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    return write_out(df, name)[0]
+    out, path = write_out(df, name)
+    held = _held.get()
+    if held is not None:
+        held.append(path)
+    return out
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -62,6 +88,46 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() before their operator ends: nothing reads them any more."""
+    for t in tables:
+        forget(t.sparkSession, t.scratch_path)
+
+
+def stored(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Store the operator's result and delete every other table that it has written."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        token = _held.set([])
+        try:
+            result, path = write_out(operator(docs, *args, **kwargs), operator.__name__)
+            for p in _held.get():
+                forget(docs.sparkSession, p)
+        finally:
+            _held.reset(token)
+        if (outer := _held.get()) is not None:
+            outer.append(path)
+        return result
+
+    return run
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def counted(new: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs; n_chars, if docs has it, is that of the new text."""
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return new.select(*docs.columns)
+
+
 def lower_az(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,7 +145,7 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges, path = write_out(edges, name)
-    total = None
+    total, held = None, _held.get()
     for _ in range(rounds):
         # Large star: each neighbour above the node is linked with the node's smallest neighbour.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -98,5 +164,7 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         total = (state.n, state.h)
     else:
         raise RuntimeError("connected components did not settle")
+    if held is not None:
+        held.append(path)
     roots = edges.select(F.col("b").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(roots)

@@ -154,20 +154,27 @@ def test_packing(docs, local, codec):
 
 
 def test_line_dedup(docs, local):
-    hasher, rows, sims = line_dedup.Hasher(), [], {}
-    for d in sorted(local):
-        for at, x in enumerate(local[d].split("\n")):
-            n = line_dedup.normalised(x)
-            if len(n.encode()) >= line_dedup.SHORTEST:
-                rows.append((d, at, n))
-                sims.setdefault(n, int(line_dedup.line_facts([x], hasher)[3][0]) & (1 << 64) - 1)
-    names = sorted(sims)
-    want = grouped(range(len(names)), [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if (sims[names[i]] ^ sims[names[j]]).bit_count() <= 2 and line_dedup.similar(names[i], names[j])])
+    """Against edit similarity alone over all pairs of lines."""
+    rows = [(d, at, line_dedup.normalised(x)) for d in sorted(local) for at, x in enumerate(local[d].split("\n"))]
+    rows = [r for r in rows if r[2]]
+    names = sorted({n for _, _, n in rows if len(n) >= line_dedup.SHORTEST})
+    want = grouped(range(len(names)), [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if line_dedup.similar(names[i], names[j])])
     of = {n: want[i] for i, n in enumerate(names)}
     first: dict = {}
-    gone = {(d, at) for d, at, n in rows if first.setdefault(of[n], (d, at)) != (d, at)}
+    gone = {(d, at) for d, at, n in rows if first.setdefault(of.get(n, n), (d, at)) != (d, at)}
     got = {(r.doc_id, a) for r in line_dedup.repeated_lines(docs).collect() for a in r.gone}
-    assert got == gone and gone
+    assert got <= gone and len(got) >= 0.98 * len(gone) > 60
+
+
+def test_line_edges(spark):
+    """Null ids, one id with two texts, repeated rows, short and blank lines."""
+    line = "a line that is held by several rows of this table"
+    rows = [(None, f"{line}\nok"), (5, f"{line} \nother words"), (5, f"x\n{line}s"), (7, None), (8, ""), (9, "--\n--"), (9, "--\n--"), (10, "ok"), (11, "ok\nOK"), (12, "it stays"), (12, "it stays")]
+    got = {(r.doc_id, r.th, tuple(r.gone)) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(d, g) for d, _, g in got} == {(5, (0,)), (5, (1,)), (10, (0,)), (11, (0, 1))} and len(got) == 4
+    wide = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, gone int, id int, th int, kept_id int")
+    out = line_dedup.stage(spark, wide, "")
+    assert out.columns == wide.columns and out.count() == 9
 
 
 def test_edits():
@@ -342,8 +349,19 @@ def test_line_recall(spark):
     gone = {i for i, g in want.items() if i != g}
     got = {r.doc_id for r in line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert got <= gone and len(gone) > 150 and len(got) >= 0.98 * len(gone)
-    short = [i for i, x in enumerate(names) if 16 <= len(x) < line_dedup.EXACT]
-    assert {i for i in gone & set(short) if want[i] in short} <= got  # exact there
+
+
+def test_line_gaps():
+    """Any one stretch of edits of up to a tenth in a short line leaves a common key."""
+    rng, hasher = random.Random(3), line_dedup.Hasher()
+    for n in range(16, line_dedup.GAP):
+        for _ in range(12):
+            x = "".join(rng.choice("abcdefghij") for _ in range(n))
+            at, k = rng.randrange(n), max(1, n // 10)
+            y = (x[:at] + "".join(rng.choice("klm") for _ in range(rng.randint(0, k))) + x[at + rng.randint(0, k) :]).strip()
+            if x != y and line_dedup.similar(x, y):
+                _, _, _, of, keys = line_dedup.line_facts([x, y], hasher)
+                assert set(keys[of == 0]) & set(keys[of == 1]), (x, y)
 
 
 def test_line_signs(spark):
