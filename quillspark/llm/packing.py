@@ -27,7 +27,11 @@ K1, B = 1.5, 0.75
 
 
 class Index:
-    """BM25 over the documents of one shard; what is taken out is not found again."""
+    """BM25 over the documents of one shard; what is taken out is not found again.
+
+    An inverted index: the postings (document, gain) of a term lie together, so a seed reads
+    only the postings of its own terms - of all of them.
+    """
 
     def __init__(self, ids: list[np.ndarray]) -> None:
         self.n = len(ids)
@@ -40,20 +44,24 @@ class Index:
         tf = np.concatenate(tfs)
         gain = tf * (K1 + 1) / (tf + norm[doc]) * np.log1p((self.n - df + 0.5) / (df + 0.5))[term]
         shared = df[term] > 1  # a term of one document brings no neighbour
-        self.doc, self.term, self.gain = doc[shared], term[shared], gain[shared]
-        ends = np.searchsorted(self.doc, np.arange(self.n + 1))
-        self.asked = [self.term[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.wanted, self.held = np.zeros(len(names), bool), self.n
+        self.asked = np.split(term[shared], np.searchsorted(doc[shared], np.arange(1, self.n)))
+        order = np.argsort(term[shared], kind="stable")
+        self.doc, self.term, self.gain = doc[shared][order], term[shared][order], gain[shared][order]
+        self.names, self.held = len(names), self.n
+        self._ends()
+
+    def _ends(self) -> None:
+        self.first = np.searchsorted(self.term, np.arange(self.names + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents by falling score over all terms of the seed, ties in order of place."""
         if 4 * (left := int(self.free.sum())) < 3 * self.held:  # forget what is taken
             kept = self.free[self.doc]
             self.doc, self.term, self.gain, self.held = self.doc[kept], self.term[kept], self.gain[kept], left
-        self.wanted[self.asked[seed]] = True
-        hit = np.flatnonzero(self.wanted[self.term])
-        self.wanted[self.asked[seed]] = False
-        score = np.bincount(self.doc[hit], self.gain[hit], self.n)
+            self._ends()
+        first, size = self.first[self.asked[seed]], np.diff(self.first)[self.asked[seed]]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], self.gain[at], self.n)
         score[~self.free] = 0
         best = np.flatnonzero(score > 0)
         return best[np.argsort(-score[best], kind="stable")]
@@ -100,7 +108,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
 
     Scale: one shuffle of the texts, by their smallest word hash; partitions that one
     key makes large are split by the REBALANCE hint, and a task holds one shard of
-    bounded size at a time. Sequence numbers are unique: task number and place.
+    bounded size at a time. Sequence numbers are unique: task number and place. Within a
+    task the rows are in order of key, id and text, so a task that runs again after a
+    lost executor places them alike; ids may be null or of any type.
     """
     path = path or vocabulary()
 
@@ -131,7 +141,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     key = F.coalesce(F.array_min(F.transform(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda w: F.xxhash64(w))), F.lit(0))
-    dealt = rows.withColumn("near", key).hint("rebalance", "near").sortWithinPartitions("near", "doc_id")
+    dealt = rows.withColumn("near", key).hint("rebalance", "near").sortWithinPartitions("near", "doc_id", F.xxhash64("text"))
     return dealt.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -140,4 +150,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; see pack for nulls, ties and repeated rows."""
     return pack(docs)
