@@ -15,4 +15,9 @@ QUERIES = {
     "op10_nearest": ann.op10_nearest,
 }
 
-ORACLES = {"op6_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op1_near_duplicates": near_dedup.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
+    "op8_shards": sharding.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
+}

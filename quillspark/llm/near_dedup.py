@@ -201,3 +201,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     name = fresh(docs, "kept_id")
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sn AS (SELECT doc_id, hash(s) AS s FROM sh),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ev AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM sn a JOIN sn b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+li AS (SELECT a, b FROM ev JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * n_both >= 85 * (na.n + nb.n - n_both)),
+re AS (SELECT a AS doc_id, a AS other FROM li UNION SELECT re.doc_id, li.b FROM re JOIN li ON li.a = re.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM re GROUP BY doc_id) c USING (doc_id)
+"""

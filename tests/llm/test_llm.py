@@ -248,26 +248,61 @@ def test_repeats(docs, local):
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b), int(mark.sum()), n, hashlib.sha256(rest).hexdigest())
 
 
-def test_sharding(docs):
+def jump(key, shards):
+    """The published loop, with the operator's draws."""
+    b, j, step = -1, 0, 1
+    while j < shards:
+        b = j
+        draw = int(hashlib.md5(f"{step}:{key}".encode()).hexdigest()[:8], 16) >> 1
+        j, step = int((b + 1) * float(1 << 31) / (draw + 1)), step + 1
+    return b
+
+
+def test_sharding(docs, local):
     a = sharding.assign(docs, 40).collect()
-    assert len(a) == docs.count() and all(r.grown_shard in (r.shard, 40) for r in a)
+    assert len(a) == docs.count()
+    for r in a:
+        t = local[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.shard, r.grown_shard) == (len(t) + 16, zlib.crc32(t), jump(r.doc_id, 40), jump(r.doc_id, 41))
+        assert r.grown_shard in (r.shard, 40)
     for s in {r.shard for r in a}:
         assert sorted(r.slot for r in a if r.shard == s) == list(range(sum(r.shard == s for r in a)))
     many = docs.sparkSession.range(20000).selectExpr("id AS doc_id", "CAST(null AS string) AS text")
     sizes = Counter(r.shard for r in sharding.assign(many, 40).collect())
     assert len(sizes) == 40 and max(sizes.values()) < 650 and min(sizes.values()) > 380
+    odd = docs.sparkSession.createDataFrame([(None, "x"), ("a", None), ("a", "y")], "doc_id string, text string")
+    assert Counter(r.doc_id for r in sharding.assign(odd).collect()) == {None: 1, "a": 2}
+
+
+def line_name(x):
+    return re.sub(r"[^\w]+", " ", re.sub(r"\d", "0", x.lower())).replace("_", " ").strip()
 
 
 def test_quality(docs, local):
+    rows = {r.doc_id: (r.text or "", r.source) for r in docs.collect()}
+    held, hosts = defaultdict(dict), defaultdict(set)
+    for d, (t, h) in rows.items():
+        hosts[h].add(t)
+        for x in t.split("\n"):
+            if x.strip():
+                held[h, line_name(x)].setdefault(t, []).append(d)
+    often = {k: min(map(min, v.values())) for k, v in held.items() if len(v) > max(quality.LEAST, quality.SHARE * len(hosts[k[0]]))}
+    touched = 0
     for r in quality.judge(docs).collect():
-        t = local[r.doc_id]
+        t, h = rows[r.doc_id]
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
         twice = Counter(windows)
-        held = {p for i, x in enumerate(windows) if twice[x] > 1 for p in range(i, i + 8)}
+        repeated = {p for i, x in enumerate(windows) if twice[x] > 1 for p in range(i, i + 8)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(held))
-        assert r.base_failed == (len(w) < 20 or 100 * len(held) > 30 * len(w))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(repeated))
+        assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
+        gone = [x for x in lines if often.get((h, line_name(x)), r.doc_id) != r.doc_id]
+        total, lost = sum(map(len, lines)), sum(map(len, gone))
+        touched += bool(gone)
+        assert len(r.frequent) == len({line_name(x) for x in gone})
+        assert r.kept == (not r.base_failed and not (gone and total - lost < quality.KEEP * total))
+    assert touched > 5
     rng = random.Random(1)
     common = prose(rng, 40)
     rows = [(i, f"{prose(rng, 25 if i % 2 else 200)}\n{common}\n{common}", "s") for i in range(80)]
@@ -275,6 +310,19 @@ def test_quality(docs, local):
     assert out[0] == (True, 0) and out[2] == (True, 1) and out[3] == (False, 1)
 
 
+def test_quality_stage(spark):
+    """Rows of one id with two texts, repeated rows, null ids and hosts, clashing columns."""
+    rng = random.Random(2)
+    menu = "the menu line that all pages of one host carry along " * 3
+    rows = [(i, f"{prose(rng, 30)}\n{menu}", "s") for i in range(6)] + [(7, f"x y\n{menu}", "s"), (8, prose(rng, 30), None), (None, prose(rng, 30), None), (8, "short", None), (9, None, "s"), (0, f"{prose(rng, 30)}\n{menu}", "s")]
+    rows.append(rows[8])
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, d2 int, frequent int, id int, th int")
+    out = quality.stage(spark, docs, "")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, "menu" in r.text) for r in out.collect()))
+    assert out.columns == docs.columns
+    assert got == [(False, 0, True), (False, 0, True), (False, 1, False), (False, 2, False), (False, 3, False), (False, 4, False), (False, 5, False), (False, 8, False), (True, 0, False), (True, 0, False)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)]
