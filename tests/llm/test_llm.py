@@ -313,7 +313,7 @@ def test_quality(docs, local):
 def test_quality_stage(spark):
     """Rows of one id with two texts, repeated rows, null ids and hosts, clashing columns."""
     rng = random.Random(2)
-    menu = "the menu line that all pages of one host carry along " * 3
+    menu = "menu " + prose(rng, 24)
     rows = [(i, f"{prose(rng, 30)}\n{menu}", "s") for i in range(6)] + [(7, f"x y\n{menu}", "s"), (8, prose(rng, 30), None), (None, prose(rng, 30), None), (8, "short", None), (9, None, "s"), (0, f"{prose(rng, 30)}\n{menu}", "s")]
     rows.append(rows[8])
     docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, d2 int, frequent int, id int, th int")
