@@ -18,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_near_duplicates": near_dedup.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op7_repeats": repeats.ORACLE,
     "op8_shards": sharding.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

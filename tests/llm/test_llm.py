@@ -233,21 +233,55 @@ def test_url_filter(spark):
         assert (out[i].host, out[i].path, out[i].rule, out[i].verdict) == (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "allow")
 
 
-def test_repeats(docs, local):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen = Counter(b[i : i + 400] for _, b in rows for i in range(len(b) - 399))
-    got = {r.doc_id: r for r in repeats.removed(docs).collect()}
-    for d, b in rows:
-        mark = np.zeros(len(b) + 1, bool)
+def marked(texts_, seen_first):
+    """For each text the bytes that a 400-byte string of another place covers - with
+    seen_first, of an earlier place only."""
+    places = defaultdict(list)
+    for d, b in enumerate(texts_):
         for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                mark[i : i + 400] = True
-        mark = mark[: len(b)]
+            places[b[i : i + 400]].append((d, i))
+    marks = [np.zeros(len(b), bool) for b in texts_]
+    for found in places.values():
+        for d, i in found[seen_first:] if len(found) > 1 else []:
+            marks[d][i : i + 400] = True
+    return marks
+
+
+@pytest.mark.parametrize("crowd", [1, repeats.CROWD])
+@pytest.mark.parametrize("first", [False, True])
+def test_repeats(docs, first, crowd):
+    rows = sorted((r.doc_id, (r.text or "").encode()) for r in docs.dropDuplicates(["doc_id"]).collect())
+    got = {r.doc_id: r for r in repeats.removed(docs.dropDuplicates(["doc_id"]), first=first, crowd=crowd).collect()}
+    for (d, b), mark in zip(rows, marked([b for _, b in rows], first), strict=True):
         n = int((mark & ~np.concatenate(([False], mark[:-1]))).sum()) if len(b) else 0
         rest = bytes(np.frombuffer(b, np.uint8)[~mark])
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b), int(mark.sum()), n, hashlib.sha256(rest).hexdigest())
 
 
+def test_repeats_edges(spark):
+    """Null ids, string ids, one id with two texts, repeated rows."""
+    rng = random.Random(5)
+    passage, one = prose(rng, 80), prose(rng, 90)
+    rows = [(None, one), ("a", one), ("b", prose(rng, 10) + passage), ("b", passage + prose(rng, 10)), ("c", passage), ("c", passage), ("d", None), (None, "short")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.removed(docs).collect())
+    want = Counter((d, len((t or "").encode()), int(m.sum())) for (d, t), m in zip(rows, marked([(t or "").encode() for _, t in rows], False), strict=True))
+    assert got == want and sum(m for (_, _, m), _ in got.items()) > 2000
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 2), (300, 2), (500, 1), (400, 4)):
+        raw = rng.integers(0, k, n).astype(np.uint8)
+        order = repeats.suffix_order(raw, 64).tolist()
+        names = [raw[i : i + 64].tobytes() for i in order]
+        assert names == sorted(names) and sorted(order) == list(range(n))
+        assert repeats.suffix_order(raw, n).tolist() == sorted(range(n), key=lambda i: raw[i:].tobytes())
+        w = np.array([hash(raw[i : i + 9].tobytes()) for i in order])[None]
+        seen = repeats.matched(np.array(order)[None], np.zeros((1, n), int), w, True)[0]
+        assert all(seen[k] == any(raw[j : j + 9].tobytes() == raw[i : i + 9].tobytes() for j in range(i)) for k, i in enumerate(order))
+
+
 def jump(key, shards):
     """The published loop, with the operator's draws."""
     b, j, step = -1, 0, 1
