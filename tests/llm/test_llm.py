@@ -357,23 +357,44 @@ def test_quality_stage(spark):
     assert got == [(False, 0, True), (False, 0, True), (False, 1, False), (False, 2, False), (False, 3, False), (False, 4, False), (False, 5, False), (False, 8, False), (True, 0, False), (True, 0, False)]
 
 
-def test_nearest(spark):
+def nearest(rows, every=20, k=20):
+    """Exact lists of all queries, by numpy."""
+    out = {}
+    good = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    for q, x in good:
+        if q % every == 0:
+            out[q] = sorted((-float(v @ x), i) for i, v in good if i != q and len(v) == len(x))[:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest(spark, kind):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16)) + 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 3000)]
+    x = rng.normal(size=(1500, 16)) + 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)]
     x[100:140] = x[99]
-    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0])]
+    as_kind = np.float32 if kind == "float" else np.float64
+    rows = [(i, [float(as_kind(v)) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0]), (5061, [-2.0]), (5080, []), (5100, [None] * 16)]
+    rows += [(6000 + i, [float(as_kind(v)) for v in rng.normal(size=3)]) for i in range(90)]
     got = defaultdict(list)
-    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    x = x.astype(np.float32).astype(np.float64)
-    assert sorted(got) == list(range(0, 3000, 20))
-    hits = 0
+    for r in ann.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+        assert r.rank == len(got[r.query_id])
+    want = nearest(rows)
+    assert sorted(got) == sorted(want) and len(got[5060]) == 1
+    hits = total = 0
     for q, found in got.items():
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len({i for i, _ in found} & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
-        assert len(found) == 20 and np.allclose([v for _, v in found], s[[i for i, _ in found]]) and found == sorted(found, key=lambda f: (-f[1], f[0]))
-    assert hits >= 0.9 * 20 * len(got)
+        exact = dict((i, s) for s, i in nearest([r for r in rows if r[0] == q or r[0] in {i for _, i in found}])[q])
+        assert found == sorted(found) and len(found) == len(want[q]) and all(s == pytest.approx(exact[i], abs=1e-12) for s, i in found)
+        hits += len({i for _, i in found} & {i for _, i in want[q]})
+        total += len(want[q])
+    assert hits >= 0.95 * total
+
+
+def test_nearest_small(spark):
+    """Repeated ids, ties to the smaller id, fewer candidates than asked for."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [9.0, 9.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank", "vec_id").collect()]
+    assert sorted(got) == sorted([(0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 1, 2, 0.0), (0, 2, 3, 0.0)])
 
 
 def test_empty_tables(docs):
