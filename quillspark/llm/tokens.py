@@ -5,6 +5,10 @@ merged once per task. A long piece that the pre-tokenizer leaves unsplit is enco
 tree concatenation: its halves are encoded apart, and around each join a growing window
 is encoded again until the pairs at both of its edges are pairs that BPE itself would
 leave apart, which makes the whole sequence the encoding of the joined text.
+
+Texts over SPREAD characters leave their task: their parts, and the slices of an unsplit
+piece, are rows of their own that tasks encode in parallel, and the joins of the tree are
+made where the parts of a text meet again.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import worker
-from .util import table
+from .util import cut, table
 
 LEAF = 2048  # bytes; longer pieces are encoded as a tree
 CHUNK = 1 << 16  # characters split at once
+SPREAD = 1 << 18  # characters; the parts of longer texts are encoded in parallel
+SLICE = 1 << 16  # bytes of an unsplit piece in one such part
 CACHED = 400_000  # distinct pieces kept per task
 
 
@@ -96,7 +102,10 @@ class Codec:
         if len(piece) <= self.leaf:
             return self.merge.encode(piece).ids
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        level = [e.ids for e in self.merge.encode_batch_fast(leaves)]
+        return self.tree([e.ids for e in self.merge.encode_batch_fast(leaves)])
+
+    def tree(self, level: list[list[int]]) -> list[int]:
+        """The encoding of a piece from those of its slices in order."""
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
@@ -118,11 +127,11 @@ class Codec:
                 return left[:i] + middle + right[j:]
             width *= 2
 
-    def chunks(self, text: str) -> Iterator[str]:
+    def chunks(self, text: str, size: int = CHUNK) -> Iterator[str]:
         """Parts cut before single spaces between other characters, where the
         pre-tokenizer always cuts."""
         at = 0
-        while len(text) - at > CHUNK and (m := self.gap.search(text, at + CHUNK)):
+        while len(text) - at > size and (m := self.gap.search(text, at + size)):
             yield text[at : m.start()]
             at = m.start()
         yield text[at:] if at else text
@@ -146,6 +155,57 @@ class Codec:
                     out.extend(chain.from_iterable(map(self.mapped.__getitem__, pieces)))
         return out
 
+    def parts(self, text: str, width: int, chunk: int) -> Iterator[tuple[str, str]]:
+        """(sort, text) of the parts of a text whose encodings follow one another.
+
+        "text" is encoded as a text of its own, "special" is an added token, "pieces" are
+        pieces in the byte alphabet, one a line; "slice" begins an unsplit piece of more than
+        `width` bytes, and each "more" is the next slice of it.
+        """
+        for part in self.special_at.split(text) if self.special_at else [text]:
+            if part in self.special:
+                yield "special", part
+                continue
+            for piece in self.chunks(part, chunk):
+                if len(piece) <= width:
+                    yield "text", piece
+                    continue
+                short: list[str] = []
+                for name in [p for p, _ in self.split(piece)]:
+                    if len(name) <= width:
+                        short.append(name)
+                        continue
+                    if short:
+                        yield "pieces", "\n".join(short)
+                        short = []
+                    for i in range(0, len(name), width):
+                        yield "more" if i else "slice", name[i : i + width]
+                if short:
+                    yield "pieces", "\n".join(short)
+
+    def encode_part(self, sort: str, text: str) -> list[int]:
+        if sort == "special":
+            return [self.special[text]]
+        if sort == "text":
+            return self.encode(text)
+        if sort == "pieces":
+            pieces = text.split("\n")
+            self.learn({p for p in pieces if p not in self.mapped})
+            return list(chain.from_iterable(map(self.mapped.__getitem__, pieces)))
+        return self.encode_piece(text)
+
+    def joined(self, sorts: list[str], ids: list[list[int]]) -> list[int]:
+        """The encoding of a text from those of its parts."""
+        out: list[int] = []
+        at = 0
+        while at < len(sorts):
+            end = at + 1
+            while end < len(sorts) and sorts[end] == "more":
+                end += 1
+            out += self.tree(ids[at:end])
+            at = end
+        return out
+
     def encode_array(self, text: str) -> np.ndarray:
         if len(text) <= CHUNK and self.plain.fullmatch(text) and not self.long.search(text) and not (self.special_at and self.special_at.search(text)):
             return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
@@ -155,45 +215,70 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>); null text counts as empty and has no ids."""
+def _encoded(docs: DataFrame, path: str | None, id_col: str, text: str, schema: str, finish: Callable[[Codec, list[list[int]]], list[pa.Array]], spread: int, width: int) -> DataFrame:
+    """doc_id and the columns of schema, which finish makes of the ids of a batch."""
     path = path or vocabulary()
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
-    def run(batches):
+    def whole(batches):
         coder = codec(path)
         for batch in batches:
-            ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *finish(coder, [coder.encode(t.as_py()) for t in batch.column(1)])], names)
 
-    return _narrow(docs, id_col, text).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    def split(batches):
+        coder = codec(path)
+        for batch in batches:
+            for i, t in enumerate(batch.column(2)):
+                sorts, texts = zip(*coder.parts(t.as_py(), width, width), strict=True)
+                same = pa.array([i] * len(sorts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(range(len(sorts)), pa.int32()), pa.array(sorts), pa.array(texts)], ["doc_id", "uid", "part", "sort", "text"])
 
+    def encode(batches):
+        coder = codec(path)
+        for batch in batches:
+            ids = [coder.encode_part(s, t) for s, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "uid", "part", "sort", "ids"])
+
+    def meet(batches):
+        coder = codec(path)
+        for batch in batches:
+            ids = [coder.joined([p["sort"] for p in parts.as_py()], [p["ids"] for p in parts.as_py()]) for parts in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *finish(coder, ids)], names)
+
+    out = f"doc_id {kind}, {schema}"
+    short = rows.where(F.length("text") <= spread).mapInArrow(whole, out)
+    long = rows.where(F.length("text") > spread)
+    if long.isEmpty():
+        return short
+    # Stored, so that the numbers of the rows stay what they are.
+    parts = cut(long.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(split, f"doc_id {kind}, uid long, part int, sort string, text string"), "parts")
+    done = parts.repartition("uid", "part").mapInArrow(encode, f"doc_id {kind}, uid long, part int, sort string, ids array<int>")
+    texts = done.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "sort", "ids"))).alias("parts"))
+    return short.unionByName(texts.select("doc_id", "parts").mapInArrow(meet, out))
 
-def _narrow(docs, id_col, text):
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
 
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text", spread: int = SPREAD, width: int = SLICE) -> DataFrame:
+    """(doc_id, ids array<int>); null text counts as empty and has no ids. See round_trip."""
+    return _encoded(docs, path, id_col, text, "ids array<int>", lambda _, ids: [pa.array(ids, pa.list_(pa.int32()))], spread, width)
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text", spread: int = SPREAD, width: int = SLICE) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null text counts as empty: no tokens, digests of the empty string. Repeated rows stay
-    repeated; other columns are ignored. No shuffle; memory is that of one Arrow batch of
-    texts and a bounded cache.
+    repeated, ids may be null or of any type; other columns are ignored. Memory is that of
+    one Arrow batch of texts and a bounded cache. Only texts over `spread` characters are
+    shuffled, in parts of `width`; the ids of one text meet in one task.
     """
-    path = path or vocabulary()
 
-    def run(batches):
-        coder = codec(path)
+    def finish(coder, found):
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            n, a, b = [], [], []
-            for t in batch.column(1):
-                ids = coder.encode(t.as_py() or "")
-                n.append(len(ids))
-                a.append(sha(",".join(map(coder.names.__getitem__, ids)).encode()))
-                b.append(sha(coder.decode(ids).encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _narrow(docs, id_col, text).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids = [sha(",".join(map(coder.names.__getitem__, x)).encode()) for x in found]
+        return [pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.string()), pa.array([sha(coder.decode(x).encode()) for x in found], pa.string())]
+
+    return _encoded(docs, path, id_col, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish, spread, width)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

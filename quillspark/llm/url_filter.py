@@ -29,7 +29,7 @@ def _key(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow", salts: int = 16) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id", default: str = "allow", part: int = 100_000) -> DataFrame:
     """One row per page: id, host, path, rule (null: none fits), verdict.
 
     rules has host, path, verdict. Null urls and urls without "://" get an empty host
@@ -37,14 +37,17 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "p
     wins. Repeated pages stay repeated; other columns of pages are ignored; an empty
     table gives an empty table.
 
-    Scale: only distinct hosts are swept. Sweeps are dealt by the two top labels and a
-    salt, and the rules of a domain are copied to its salts; a rule of one label goes
-    to the domains below it that occur. No side is broadcast by this code.
+    Scale: only distinct hosts are swept. Sweeps are dealt by the two top labels; a domain
+    of more than `part` hosts is cut into as many sweeps as it needs, and its rules are
+    copied to them; a rule of one label goes to the domains below it that occur. The rules
+    of one host, and those above it, are one array. No side is broadcast by this code.
     """
     host, path = parse(F.col(url))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     p2 = F.substring_index("key", ".", 2)
-    hosts = urls.groupBy("host").agg(F.lit(1).alias("one")).select("host", _key(F.col("host")).alias("key"), F.pmod(F.xxhash64("host"), F.lit(salts)).alias("salt")).withColumn("p2", p2)
+    hosts = urls.groupBy("host").agg(F.lit(1).alias("one")).select("host", _key(F.col("host")).alias("key")).withColumn("p2", p2)
+    sweeps = hosts.groupBy("p2").agg(F.ceil(F.count(F.lit(1)) / part).alias("sweeps"))
+    hosts = hosts.join(sweeps, "p2").select("host", "key", "p2", F.pmod(F.xxhash64("host"), F.col("sweeps")).alias("salt"))
 
     r = rules.select(lower_az(F.col("host")).alias("rhost"), F.coalesce(F.col("path"), F.lit("")).alias("rpath"), F.col("verdict").alias("rverdict")).where("rhost is not null and rverdict is not null").distinct()
     r = r.select(_key(F.col("rhost")).alias("rkey"), F.struct(_key(F.col("rhost")).alias("rkey"), "rpath", "rverdict", F.concat("rhost", "rpath").alias("rule")).alias("r"))
@@ -70,7 +73,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "p
 
 
 def rules_frame(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    """The rules as a table without Python rows."""
+    names = ("host", "path", "verdict")
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True))) for r in rules))))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,16 @@ def test_round_trip(docs, local, codec):
     assert tokens.encoded(docs).count() == docs.count()
 
 
+def test_spread(spark, codec):
+    """Parts of long texts in parallel give what one task gives."""
+    rng = random.Random(7)
+    odd = ["a" * 3000, "the" * 900 + " x " + "ab" * 700, prose(rng, 200), "日本" * 500, " " * 900 + "x" * 900, "<|endoftext|>" * 60 + "y" * 500, "", None, "short", "".join(rng.choice(["the", "ing", "er", "tion", "q"]) for _ in range(3000))]
+    rows = [(None if i == 2 else "same", t) for i, t in enumerate(odd + odd)]
+    want = Counter((d, tuple(codec.encode(t or ""))) for d, t in rows)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in tokens.encoded(spark.createDataFrame(rows, "doc_id string, text string"), spread=300, width=64).collect())
+    assert got == want
+
+
 def test_packing(docs, local, codec):
     p = packing.pack(docs.dropDuplicates(["doc_id"])).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -402,6 +412,9 @@ def test_empty_tables(docs):
     assert near_dedup.near_duplicates(none).count() == 0 and line_dedup.repeated_lines(none).count() == 0
     assert repeats.removed(none).count() == 0 and pii.find_spans(none).count() == 0 and quality.judge(none).count() == 0
     assert tokens.round_trip(none).count() == 0 and sharding.assign(none).count() == 0
+    assert url_filter.judge(none.selectExpr("doc_id AS page_id", "text AS url"), url_filter.rules_frame(none.sparkSession)).count() == 0
+    for stage in (quality.stage, line_dedup.stage, near_dedup.stage, pii.stage, packing.stage):
+        assert stage(none.sparkSession, none.withColumn("n_chars", none.n), "").count() == 0
     assert ann.search(none.selectExpr("doc_id AS vec_id", "CAST(null AS array<float>) AS embedding")).count() == 0
 
 
