@@ -22,8 +22,8 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 def unescape(c: Column) -> Column:
     """HTML entities as characters. The only rule here that needs Python: its table has
-    over two thousand names."""
-    return _unescape(c)
+    over two thousand names; texts without & are not sent to it."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def strip(c: Column) -> Column:

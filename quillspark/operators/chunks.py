@@ -33,7 +33,7 @@ def parents(elements: DataFrame) -> DataFrame:
     body = eligible(elements).where("text_level is null")
     rows = F.array_sort(F.collect_list(F.struct("seq", "element_id", "content")))
     grouped = body.groupBy("paper_id", "section_path").agg(rows.alias("r"), F.sort_array(F.collect_set("page")).alias("pages"), F.min("seq").alias("position"))
-    return grouped.select("paper_id", "section_path", stable_id("parent", F.col("paper_id"), _section(F.col("section_path"))).alias("parent_chunk_id"), F.array_join(F.transform("r", lambda x: x["content"]), "\n\n").alias("content"), F.transform("r", lambda x: x["element_id"]).alias("element_ids"), "pages", "position")
+    return grouped.select("paper_id", "section_path", parent_id(F.col("paper_id"), F.col("section_path")).alias("parent_chunk_id"), F.array_join(F.transform("r", lambda x: x["content"]), "\n\n").alias("content"), F.transform("r", lambda x: x["element_id"]).alias("element_ids"), "pages", "position")
 
 
 def pack(rows: Column, max_chars: int, overlap: int) -> Column:
@@ -57,9 +57,9 @@ def pack(rows: Column, max_chars: int, overlap: int) -> Column:
     return F.aggregate(places, zero, add, lambda s: F.concat(s["out"], F.array(s["buf"])))
 
 
-def text_groups(rows: DataFrame, keys: list[str], max_chars: int, overlap: int) -> DataFrame:
-    """keys, members: arrays of rows (seq, element_id, page, content, section_path)."""
-    item = F.struct("seq", "element_id", "page", "content", "section_path", F.length("content").alias("n"), F.col("section_path").alias("section"))
+def text_groups(rows: DataFrame, keys: list[str], max_chars: int, overlap: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """keys, members: arrays of rows (seq, element_id, page, content, section_path, more)."""
+    item = F.struct("seq", "element_id", "page", "content", "section_path", *more, F.length("content").alias("n"), F.col("section_path").alias("section"))
     lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("rows"))
     groups = lists.select(*keys, "rows", F.explode(pack(F.col("rows"), max_chars, overlap)).alias("g"))
     return groups.select(*keys, F.transform("g", lambda i: F.get("rows", i)).alias("members"))
@@ -77,56 +77,50 @@ def equation_context(elements: DataFrame) -> DataFrame:
     return rows.withColumn("context", F.when(F.col("element_type") == "equation", F.concat_ws("\n\n", before, after)).otherwise("")).drop("_run", "_prose")
 
 
+def parent_id(paper_id: Column, section_path: Column) -> Column:
+    return stable_id("parent", paper_id, _section(section_path))
+
+
 def chunk(elements: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Retrieval chunks of elements (see elements.parse for their columns).
 
     chunk_id, parent_chunk_id, paper_id, kind, content, context, element_ids, pages,
     section_path, char_count, contains_inline_latex, oversized, part_index, part_count.
-    One shuffle by paper for the order, one by the stretches of prose between headings
-    and other elements, and the join with the sections.
+    The elements are read once: one shuffle by paper for the order and one by the
+    stretches between headings and other elements. An element that is no short prose is a
+    stretch of its own; one UDF splits those that are long paragraphs or tables.
     """
     check(max_chars, overlap)
     rows = equation_context(eligible(elements)).where("text_level is null or text_level >= 1")
     order = Window.partitionBy("paper_id").orderBy("seq")
-    heading = F.col("text_level").isNotNull()
-    long = (F.col("element_type") == "paragraph") & (F.length("content") > max_chars)
-    prose = ~heading & (F.col("element_type") == "paragraph") & ~long
-    marked = rows.withColumn("prose", prose).withColumn("stretch", F.sum(F.when(prose, 0).otherwise(1)).over(order))
-    single = F.array(F.struct("seq", "element_id", "page", "content", "section_path"))
-
-    packed = text_groups(marked.where("prose"), ["paper_id", "stretch"], max_chars, overlap)
-    texts = packed.select("paper_id", F.lit("text").alias("kind"), F.transform("members", lambda m: F.struct(m["seq"], m["element_id"], m["page"], m["content"], m["section_path"])).alias("members"), F.lit("").alias("context"), F.array_join(F.transform("members", lambda m: m["content"]), "\n\n").alias("content"), F.lit(0).alias("part_index"), F.lit(1).alias("part_count"))
-    other = marked.where(~F.col("prose") & F.col("text_level").isNull())
-
-    def split(frame, table):
-        pieces = frame.withColumn("pieces", parts(F.col("content"), max_chars, table))
-        return pieces.select("*", F.size("pieces").alias("part_count"), F.posexplode("pieces").alias("part_index", "piece"))
-
-    whole = other.where(~F.col("element_type").isin("paragraph", "table")).select("*", F.lit(1).alias("part_count"), F.lit(0).alias("part_index"), F.col("content").alias("piece"))
-    cut = split(other.where("element_type = 'paragraph'"), False).drop("pieces").unionByName(split(other.where("element_type = 'table'"), True).drop("pieces")).unionByName(whole)
+    prose = F.col("text_level").isNull() & (F.col("element_type") == "paragraph") & (F.length("content") <= max_chars)
+    marked = rows.withColumn("prose", prose).withColumn("stretch", F.sum(F.when(prose, 0).otherwise(1)).over(order)).where("text_level is null")
+    groups = text_groups(marked, ["paper_id", "stretch", "prose"], max_chars, overlap, ("element_type", "context"))
+    first = F.get("members", F.lit(0))
+    groups = groups.select("paper_id", "prose", "members", first["element_type"].alias("type"), F.when(F.col("prose"), "").otherwise(first["context"]).alias("context"), F.array_join(F.transform("members", lambda m: m["content"]), "\n\n").alias("whole"))
+    long, table = ~F.col("prose") & (F.col("type") == "paragraph"), F.col("type") == "table"
+    pieces = F.coalesce(parts(F.when(long | table, F.col("whole")), max_chars, table), F.array("whole"))
+    cut = groups.withColumn("pieces", pieces).select("*", F.size("pieces").alias("part_count"), F.posexplode("pieces").alias("part_index", "content"))
+
+    ids, section = F.transform("members", lambda m: m["element_id"]), first["section_path"]
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
-    others = cut.select("paper_id", F.element_at(kinds, F.col("element_type")).alias("kind"), single.alias("members"), "context", F.col("piece").alias("content"), "part_index", "part_count")
-    return _assembled(texts.unionByName(others), parents(elements), max_chars)
-
-
-def _assembled(rows: DataFrame, sections: DataFrame, max_chars: int) -> DataFrame:
-    ids = F.transform("members", lambda m: m["element_id"])
-    made = rows.select(
+    kind = F.element_at(kinds, F.col("type"))
+    return cut.select(
         "paper_id",
-        F.get("members", F.lit(0))["section_path"].alias("section_path"),
-        stable_id("child", F.col("paper_id"), F.col("kind"), ids, F.left(F.sha2("content", 256), F.lit(16))).alias("chunk_id"),
-        "kind",
+        section.alias("section_path"),
+        stable_id("child", F.col("paper_id"), kind, ids, F.left(F.sha2("content", 256), F.lit(16))).alias("chunk_id"),
+        kind.alias("kind"),
         "content",
         "context",
         ids.alias("element_ids"),
         F.array_sort(F.array_distinct(F.transform("members", lambda m: m["page"]))).alias("pages"),
         F.length("content").alias("char_count"),
-        ((F.col("kind") == "text") & has_latex(F.col("content"))).alias("contains_inline_latex"),
+        ((kind == "text") & has_latex(F.col("content"))).alias("contains_inline_latex"),
         (F.length("content") > max_chars).alias("oversized"),
         "part_index",
         "part_count",
+        parent_id(F.col("paper_id"), section).alias("parent_chunk_id"),
     )
-    return made.join(sections.select("paper_id", "section_path", "parent_chunk_id"), ["paper_id", "section_path"])
 
 
 def kind_histogram(chunks: DataFrame) -> DataFrame:

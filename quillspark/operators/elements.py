@@ -103,6 +103,11 @@ def parse(items: DataFrame) -> DataFrame:
     rows = rows.withColumn("bbox", F.when(~fine, F.raise_error(F.lit("invalid bbox")).cast("struct<x1:double,y1:double,x2:double,y2:double>")).when(has_box, F.struct(*(box[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))))
     level = F.when((_type("text_level") == "BIGINT") & (_get("text_level", "int") >= 1), _get("text_level", "int"))
     metadata = F.map_filter(F.col("v").cast("map<string,variant>"), lambda k, x: ~k.isin(OWN_KEYS))
+    flag = lambda name, value, on: F.when(on, F.struct(F.lit(name).alias("k"), value.cast("variant").alias("v")))
+    always, raw = F.lit(True), F.col("raw_type")
+    flags = F.array_compact(F.array(flag("mineru_type", raw, always), flag("source_index", F.col("source_index"), always), flag("retrieval_excluded", always, raw == EXCLUDED), flag("unmapped_type", always, unmapped(raw))))
+    kept = F.map_filter(metadata, lambda k, x: ~F.exists(flags, lambda f: f["k"] == k))
+    told = F.to_json(F.map_concat(kept, F.map_from_entries(flags)))
     rows = rows.select(
         "paper_id",
         "source_index",
@@ -115,23 +120,33 @@ def parse(items: DataFrame) -> DataFrame:
         level.alias("text_level"),
         (F.col("raw_type") == EXCLUDED).alias("retrieval_excluded"),
         unmapped(F.col("raw_type")).alias("unmapped_type"),
-        F.to_json(F.transform_values(metadata, lambda _, x: F.to_json(x))).alias("metadata"),
+        told.alias("metadata"),
     )
     return link(sections(rows), "paper_id", "seq", "element_id")
 
 
 def sections(elements: DataFrame) -> DataFrame:
     """Add section_path and parent_id. A heading of level L is in force until the next
-    heading of level L or less; the path lists the headings in force by level."""
-    h = elements.where("text_level is not null").select(F.col("paper_id").alias("hp"), F.col("seq").alias("hs"), F.col("text_level").alias("hl"), F.col("content").alias("text"), F.col("element_id").alias("hid"))
-    later = h.select(F.col("hp").alias("lp"), F.col("hs").alias("ls"), F.col("hl").alias("ll"))
-    spans = h.join(later, (F.col("hp") == F.col("lp")) & (F.col("ls") > F.col("hs")) & (F.col("ll") <= F.col("hl")), "left").groupBy("hp", "hs", "hl", "text", "hid").agg(F.min("ls").alias("end"))
-    inside = (F.col("paper_id") == F.col("hp")) & (F.col("hs") <= F.col("seq")) & (F.col("end").isNull() | (F.col("seq") < F.col("end")))
-    stack = elements.select("paper_id", "seq").join(spans, inside).groupBy("paper_id", "seq").agg(F.array_sort(F.collect_list(F.struct("hl", "hs", "text", "hid"))).alias("stack"))
-    above = F.filter("stack", lambda x: x["hs"] < F.col("seq"))
-    joined = elements.join(stack, ["paper_id", "seq"], "left")
+    heading of level L or less; the path lists the headings in force by level.
+
+    The headings of a paper are folded to the stack that each of them leaves; an element
+    has that of the last heading up to it.
+    """
+    stack = "array<struct<level:int,seq:long,text:string,id:string>>"
+    head = F.struct(F.col("seq").cast("long").alias("seq"), F.col("text_level").cast("int").alias("level"), F.col("content").alias("text"), F.col("element_id").alias("id"))
+
+    def add(s, h):
+        now = F.concat(F.filter(s["now"], lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["seq"].alias("seq"), h["text"].alias("text"), h["id"].alias("id"))))
+        return F.struct(now.alias("now"), F.concat(s["all"], F.array(now)).alias("all"))
+
+    zero = F.struct(F.array().cast(stack).alias("now"), F.array().cast(f"array<{stack}>").alias("all"))
+    found = elements.where("text_level is not null").groupBy(F.col("paper_id").alias("hp")).agg(F.array_sort(F.collect_list(head)).alias("heads"))
+    left = found.select("hp", F.explode(F.aggregate("heads", zero, add)["all"]).alias("stack")).withColumn("hs", F.element_at("stack", -1)["seq"])
+    last = F.last(F.when(F.col("text_level").isNotNull(), F.col("seq").cast("long")), ignorenulls=True).over(Window.partitionBy("paper_id").orderBy("seq"))
+    joined = elements.withColumn("_last", last).join(left, (F.col("paper_id") == F.col("hp")) & (F.col("_last") == F.col("hs")), "left")
     path = F.coalesce(F.transform("stack", lambda x: x["text"]), F.array().cast("array<string>"))
-    return joined.withColumn("section_path", path).withColumn("parent_id", F.try_element_at(above, F.lit(-1))["hid"]).drop("stack")
+    above = F.filter("stack", lambda x: x["seq"] < F.col("seq"))
+    return joined.withColumn("section_path", path).withColumn("parent_id", F.try_element_at(above, F.lit(-1))["id"]).drop("stack", "hp", "hs", "_last")
 
 
 def link(rows: DataFrame, group: str, order: str, id_col: str) -> DataFrame:

@@ -83,6 +83,12 @@ def chunk_rules() -> dict[str, Column]:
     return {"content": F.length("content") > 0, "element_ids": F.size("element_ids") > 0, "pages": (F.size("pages") > 0) & F.forall("pages", lambda p: p >= 1)}
 
 
+def score_rules() -> dict[str, Column]:
+    """Bounds of the scores of hits that say which retriever found them."""
+    of = lambda name, fine: (F.col("retriever") != name) | fine
+    return {"dense": of("dense", F.col("score").between(-1, 1)), "sparse": of("sparse", F.col("score") >= 0), "hybrid": of("hybrid", F.col("score") > 0)}
+
+
 def integrity(chunks: DataFrame, parents: DataFrame, elements: DataFrame) -> DataFrame:
     """(rule, key): chunks without a parent, element ids that do not resolve, repeated
     chunk ids and equations without context."""

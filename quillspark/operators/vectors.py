@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lexical import check, rank
@@ -94,13 +94,13 @@ class VectorTable:
         v = self.versions()
         return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
 
-    def upsert(self, rows: DataFrame, key: str = "chunk_id", batch: int = 32) -> int:
-        """rows has a vector column; of equal keys the new row stays. Returns their number."""
-        if batch < 1:
-            raise ValueError("batch must be at least 1")
-        new = rows.withColumn("vector", checked(F.col("vector"), self.dimension)).withColumn("_v", F.lit(1))
+    def upsert(self, rows: DataFrame, key: str = "chunk_id") -> int:
+        """rows has a vector column; of equal keys the new row stays. Returns their number,
+        which is counted while the rows are written."""
+        seen = Observation()
+        new = rows.withColumn("vector", checked(F.col("vector"), self.dimension)).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_v", F.lit(1))
         old = self.read()
         both = new if old is None else new.unionByName(old.withColumn("_v", F.lit(0)))
         v = self.versions()
         keep_last(both, key, "_v").drop("_v").write.parquet(f"{self.path}/v{v[-1] + 1 if v else 1}")
-        return rows.count()
+        return seen.get["n"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import splits as S
 from quillspark.functions import text as T
 from quillspark.operators import chunks as C
 from quillspark.operators import elements as E
@@ -162,26 +163,26 @@ SPARSE = "sp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY quer
 FUSED = f"{BM}, {SPARSE}, {DENSE}, fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, sp.rank AS sparse_rank, dn.rank AS dense_rank, coalesce(1.0::DOUBLE / (60 + sp.rank), 0) + coalesce(1.0::DOUBLE / (60 + dn.rank), 0) AS score FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id)"
 
 
-def _second(queries, top_k):
-    spark = queries.sparkSession
-    name = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
-    rows = queries.select("query_id").crossJoin(_second.docs(spark)).withColumn("name", name)
-    return B.rank(rows, top_k, F.asc("name"), F.asc("chunk_id")).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
+def _second(docs):
+    """A retriever that ranks docs (chunk_id) by a hash of query and document."""
+
+    def run(queries, top_k):
+        name = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
+        rows = queries.select("query_id").crossJoin(docs).withColumn("name", name)
+        return B.rank(rows, top_k, F.asc("name"), F.asc("chunk_id")).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
+
+    return run
 
 
 def _hybrid(spark, sf, k):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
-    _second.docs = lambda _: docs
     sparse = lambda q, n: B.search(q, _chunks(spark, sf), F.col("text"), n)
-    return R.hybrid_retriever(sparse, _second)(_queries(spark, sf), k)
+    return R.hybrid_retriever(sparse, _second(_chunks(spark, sf).select("chunk_id")))(_queries(spark, sf), k)
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM fu")
 def rrf_fusion(spark, sf):
     sparse = _bm25(spark, sf, 20).select("query_id", F.lit(0).alias("list_id"), "rank", "chunk_id")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"))
-    _second.docs = lambda _: docs
-    dense = _second(_queries(spark, sf), 20).select("query_id", F.lit(1).alias("list_id"), "rank", "chunk_id")
+    dense = _second(_chunks(spark, sf).select("chunk_id"))(_queries(spark, sf), 20).select("query_id", F.lit(1).alias("list_id"), "rank", "chunk_id")
     return R.rrf(sparse.union(dense)).select("query_id", "chunk_id", _round("score"))
 
 
@@ -362,11 +363,58 @@ def equation_context(spark, sf):
     return out.select(F.col("paper_id").alias("conv_id"), F.col("seq").alias("turn"), F.sha2("context", 256).alias("digest"))
 
 
-@query("SELECT rule, key FROM (VALUES ('x', 'y')) t(rule, key) WHERE false")
+_TABLE = "'Customers of nation ' || k || chr(10) || chr(10) || '<table><tr><th>key</th><th>name</th></tr>'"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, '<tr><td>' || c_custkey || '</td><td>' || c_name || '</td></tr>' AS tr FROM customer),
+g AS (SELECT k, i, tr, 0::BIGINT AS part, length(tr) AS used FROM r WHERE i = 1 UNION ALL
+ SELECT r.k, r.i, r.tr, CASE WHEN over THEN part + 1 ELSE part END, CASE WHEN over THEN length(r.tr) ELSE used + length(r.tr) END
+ FROM (SELECT g.k, g.i, g.part, g.used, r.tr AS next, length({_TABLE.replace("k ", "g.k ")}) + 8 + used + length(r.tr) > 400 AS over FROM g JOIN r ON r.k = g.k AND r.i = g.i + 1) g JOIN r ON r.k = g.k AND r.i = g.i + 1)
+SELECT k AS nation, part AS part_index, count(*) AS n_rows, sha256({_TABLE} || string_agg(tr, '' ORDER BY i) || '</table>') AS digest FROM g GROUP BY k, part""")
+def split_table(spark, sf):
+    """The customers of each nation as one table, cut into parts of 400 characters."""
+    c = table(spark, sf, "customer")
+    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td>"), F.col("c_name"), F.lit("</td></tr>"))
+    rows = c.groupBy(F.col("c_nationkey").cast("long").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("tr")))).alias("rows"))
+    text = F.concat(F.lit("Customers of nation "), F.col("nation").cast("string"), F.lit("\n<table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform("rows", lambda x: x["tr"]), ""), F.lit("</table>"))
+    parts = rows.select("nation", F.posexplode(S.parts(text, 400, F.lit(True))).alias("part_index", "part"))
+    return parts.select("nation", F.col("part_index").cast("long").alias("part_index"), (F.regexp_count("part", F.lit("<tr>")) - 1).cast("long").alias("n_rows"), F.sha2("part", 256).alias("digest"))
+
+
+@query("""WITH ch AS (SELECT doc_id, 'c' || n_chars AS id, source, lang, coalesce(n_chars % 3, 0) AS bare FROM documents)
+SELECT 'parent' AS rule, id AS key FROM ch WHERE source IS NULL OR source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND source IS NOT NULL) OR source = 'src1'
+UNION ALL SELECT 'element', id FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
+UNION ALL SELECT 'duplicate', id FROM ch GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'context', id FROM ch WHERE lang = 'de' AND bare = 0""")
 def integrity_orphans(spark, sf):
-    """Chunks built from all lines break no rule."""
-    lines = _lines(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
-    return M.integrity(C.chunk(lines), C.parents(lines), lines)
+    """Documents as chunks with planted faults: repeated ids, sections without a parent,
+    elements that only labelled documents have, and equations without context."""
+    d = table(spark, sf, "documents")
+    chunks = d.select(F.concat(F.lit("c"), F.col("n_chars").cast("string")).alias("chunk_id"), F.col("source").alias("parent_chunk_id"), F.array(F.col("doc_id").cast("string")).alias("element_ids"), F.when(F.col("lang") == "de", "equation").otherwise("text").alias("kind"), F.when(F.col("n_chars") % 3 == 0, "").otherwise("x").alias("context"))
+    parents = d.where("lang = 'de' AND source <> 'src1'").select(F.col("source").alias("parent_chunk_id")).distinct()
+    return M.integrity(chunks, parents, table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("element_id")).distinct())
+
+
+@query("""SELECT rule, doc_id::VARCHAR AS key FROM (SELECT 'content' AS rule, doc_id FROM documents WHERE coalesce(length(text), 0) < 40
+UNION ALL SELECT 'element_ids', doc_id FROM documents WHERE lang = 'fr' UNION ALL SELECT 'pages', doc_id FROM documents WHERE n_chars % 4 = 0)""")
+def chunk_violations(spark, sf):
+    """Documents as chunks: short texts are cut to nothing, French ones have no elements,
+    and a page is the number of characters modulo 4."""
+    d = table(spark, sf, "documents")
+    text = F.substring("text", 40, 10)
+    ids = F.when(F.col("lang") == "fr", F.array().cast("array<long>")).otherwise(F.array("doc_id"))
+    return M.violations(d.select("doc_id", text.alias("content"), ids.alias("element_ids"), F.array((F.col("n_chars") % 4).cast("int")).alias("pages")), "doc_id", M.chunk_rules())
+
+
+@query("""SELECT rule, key FROM (SELECT l_returnflag AS f, l_orderkey || ':' || l_linenumber AS key, (l_tax - 0.04) * 30 AS s FROM lineitem),
+(VALUES ('A', 'dense'), ('N', 'sparse'), ('R', 'hybrid')) t(flag, rule) WHERE f = flag AND CASE rule WHEN 'dense' THEN s > 1.0000001 OR s < -1.0000001 WHEN 'sparse' THEN round(s, 6) < 0 ELSE round(s, 6) <= 0 END""")
+def score_violations(spark, sf):
+    """Taxes as scores of three retrievers, by return flag."""
+    i = table(spark, sf, "lineitem")
+    name = F.when(F.col("l_returnflag") == "A", "dense").when(F.col("l_returnflag") == "N", "sparse").otherwise("hybrid")
+    score = F.round((F.col("l_tax").cast("double") - 0.04) * 30, 6)
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return M.violations(i.select(key.alias("key"), name.alias("retriever"), score.alias("score")), "key", M.score_rules())
 
 
 @query("SELECT rule, key FROM (SELECT 'quality' AS rule, doc_id::VARCHAR AS key FROM labels WHERE NOT coalesce(quality = 1, false) UNION ALL SELECT 'toxic', doc_id::VARCHAR FROM labels WHERE NOT coalesce(toxic = 0, false))")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-ELEMENT = "struct<element_id:string,paper_id:string,page:int,bbox:array<double>,section_path:array<string>,element_type:string,content:string,parent_id:string,prev_id:string,next_id:string,parser_version:string,metadata:map<string,string>>"
+ELEMENT = "element_id string, seq int, page int, bbox array<double>, section_path array<string>, element_type string, content string, parent_id string, prev_id string, next_id string, text_level int, retrieval_excluded boolean, unmapped_type boolean, parser_version string, metadata string"
+PAPER = f"paper_id string, title string, source_path string, sha256 string, elements array<struct<{ELEMENT.replace(' ', ':').replace(',:', ',')}>>"
+INNER = ["char_count", "contains_inline_latex", "oversized", "part_index", "part_count"]
 CHUNK = "chunk_id string, parent_chunk_id string, paper_id string, kind string, content string, context string, element_ids array<string>, pages array<int>, section_path array<string>, metadata struct<char_count:int,contains_inline_latex:boolean,oversized:boolean,part_index:int,part_count:int>"
-PARENT = "parent_chunk_id string, paper_id string, section_path array<string>, content string, element_ids array<string>, pages array<int>"
+PARENT = "parent_chunk_id string, paper_id string, section_path array<string>, content string, element_ids array<string>, pages array<int>, position int"
 CASE = "query_id string, query string, relevant_chunk_ids array<string>, paper_id string, kind string, category string, annotator string, expected_answer string, notes string"
 
 
@@ -48,32 +51,64 @@ def parser_items(spark: SparkSession, path: str, paper_id: str) -> DataFrame:
     return text.select(F.lit(paper_id).alias("paper_id"), F.posexplode(items).alias("source_index", "item")).withColumn("item", F.to_json("item"))
 
 
-def write_papers(elements: DataFrame, path: str) -> None:
-    """Elements nested by paper, as JSON below paper_id=... folders."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", *[c for c in elements.columns if c not in ("seq", "paper_id")])))
-    elements.groupBy("paper_id").agg(rows.alias("elements")).write.mode("overwrite").partitionBy("paper_id").json(path)
+def _json(spark: SparkSession, path: str, schema, name: str | None = None) -> DataFrame:
+    """Rows of JSON files: one object a line, or a whole file as one object or array of
+    them. The first line that is not blank tells which; a malformed file fails."""
+
+    def files(reader):
+        return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name) if name else reader
+
+    first = files(spark.read).text(path).where(F.trim("value") != "").first()
+    try:
+        lines = first is None or isinstance(json.loads(first.value), dict)
+    except ValueError:
+        lines = False
+    return files(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines)).json(path)
+
+
+def _as_json(columns: dict[str, str], present: list[str]) -> list[Column]:
+    return [(F.col(c) if c in present else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+
+
+def _columns(ddl: str) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(ddl)}
+
+
+def write_papers(elements: DataFrame, path: str, papers: DataFrame | None = None) -> None:
+    """One JSON line per paper: its id, its columns in `papers` (title, source_path,
+    sha256) and its elements in order of seq, a box as four numbers."""
+    box = elements.withColumn("bbox", F.when(F.col("bbox").isNotNull(), F.array(*(f"bbox.{c}" for c in ("x1", "y1", "x2", "y2")))))
+    item = F.struct("seq", F.struct(*_as_json(_columns(ELEMENT), box.columns)).alias("e"))
+    nested = box.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.to_json(item).alias("e")))), lambda x: F.from_json(x["e"], f"e struct<{ELEMENT.replace(' ', ':').replace(',:', ',')}>")["e"]).alias("elements"))
+    about = elements.select("paper_id").distinct() if papers is None else papers
+    nested.join(about.select("paper_id", *_as_json({c: "string" for c in ("title", "source_path", "sha256")}, about.columns)), "paper_id", "full").write.mode("overwrite").json(path)
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"paper_id string, title string, source_path string, sha256 string, elements array<{ELEMENT}>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
+    """(paper_id, title, source_path, sha256, elements) of a file or a folder of files."""
+    return _json(spark, path, PAPER, "*.json")
+
+
+def elements_of(papers: DataFrame) -> DataFrame:
+    """The elements of papers, one a row; those without a seq are numbered in order."""
+    rows = papers.select("paper_id", F.posexplode("elements").alias("at", "e")).select("paper_id", "at", "e.*")
+    box = F.when(F.col("bbox").isNotNull(), F.struct(*(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2")))))
+    return rows.withColumns({"bbox": box, "seq": F.coalesce("seq", F.col("at") + 1)}).drop("at")
 
 
 def write_bundles(chunks: DataFrame, parents: DataFrame, path: str) -> None:
-    """One JSON row per paper with its parents and children."""
-    nest = lambda df, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*[c for c in df.columns])).alias(name))
-    nest(chunks, "children").join(nest(parents, "parents"), "paper_id", "full").write.mode("overwrite").json(path)
+    """One JSON line per paper with its parents and children."""
+    flat = chunks if "metadata" in chunks.columns else chunks.withColumn("metadata", F.struct(*_as_json(_columns(CHUNK.split("struct<")[1][:-1].replace(":", " ")), chunks.columns)))
+    nest = lambda df, ddl, name: df.groupBy("paper_id").agg(F.collect_list(F.struct(*_as_json(_columns(ddl), df.columns))).alias(name))
+    nest(flat, CHUNK, "children").join(nest(parents, PARENT, "parents"), "paper_id", "full").write.mode("overwrite").json(path)
 
 
-def read_bundles(spark: SparkSession, root: str, pattern: str = "chunks.json") -> DataFrame:
+def read_bundles(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(paper_id, parents, children) of a file, or of all files of that name below a folder."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         raise FileNotFoundError(root)
-    reader = spark.read.schema(_bundle()).option("multiLine", True).option("mode", "FAILFAST")
-    if not fs.getFileStatus(p).isFile():
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    bundles = reader.json(root)
+    bundles = _json(spark, root, _bundle(), None if fs.getFileStatus(p).isFile() else pattern)
     if bundles.isEmpty():
         raise FileNotFoundError(f"no {pattern} below {root}")
     return bundles
@@ -84,26 +119,37 @@ def _bundle():
 
 
 def chunks_of(bundles: DataFrame) -> DataFrame:
-    return bundles.select(F.inline("children"))
+    """The chunks of bundles with the columns that chunks.chunk() gives them."""
+    return bundles.select(F.inline("children")).select(*(c for c in _columns(CHUNK) if c != "metadata"), *(F.col(f"metadata.{c}").alias(c) for c in INNER))
+
+
+def parents_of(bundles: DataFrame) -> DataFrame:
+    return bundles.select(F.inline("parents"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases; a missing file is an empty table."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], CASE)
-    return spark.read.schema(CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return _json(spark, path, CASE) if exists(spark, path) else spark.createDataFrame([], CASE)
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """Write beside the target and rename over it, so readers see the old or the new cases."""
+    """One file of JSON lines. It is written beside the target and then takes its place in
+    one step, so a reader sees the old cases or the new ones. Cases are made by hand, so
+    one file holds them."""
     spark = cases.sparkSession
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    cases.coalesce(1).write.json(tmp)
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_fs(spark, tmp)[1], target):
-        raise OSError(f"could not rename {tmp}")
+    cases.select(*_as_json(_columns(CASE), cases.columns)).coalesce(1).write.json(tmp)
+    fs, folder = _fs(spark, tmp)
+    written = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    if not written:  # no case at all
+        written = [hadoop.Path(f"{tmp}/none")]
+        fs.create(written[0]).close()
+    how = spark.sparkContext._gateway.new_array(getattr(hadoop.Options, "Rename"), 1)
+    how[0] = getattr(hadoop.Options, "Rename").OVERWRITE
+    target = fs.makeQualified(_fs(spark, path)[1])
+    hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(written[0]), target, how)
+    fs.delete(folder, True)
 
 
 def write_report(per_case: DataFrame, macro: DataFrame, path: str) -> None:

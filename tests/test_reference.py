@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import sys
 
 import pytest
@@ -68,19 +69,19 @@ class Fake:
     model_name, dimension = "fake", 2
 
     def encode_documents(self, texts):
-        return [[1.0, 0.0] if "vision" in t else [0.0, 1.0] for t in texts]
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
 
     encode_queries = encode_documents
 
 
 def test_encoder_and_vector_table(spark, tmp_path):
-    c = chunks(spark, [("a", "p", "text", "vision model"), ("b", "p", "text", "other")])
+    c = chunks(spark, [("a", "p", "text", "two words"), ("b", "p", "text", "one")])
     v = D.encode(c, F.col("text"), Fake())
     table = D.VectorTable(spark, str(tmp_path / "v"), "fake", 2)
     assert table.read() is None
     assert table.upsert(v) == 2
     assert table.upsert(v.where("chunk_id = 'a'").withColumn("text", F.lit("new"))) == 1
-    assert {(r.chunk_id, r.text) for r in table.read().collect()} == {("a", "new"), ("b", "other")}
+    assert {(r.chunk_id, r.text) for r in table.read().collect()} == {("a", "new"), ("b", "one")}
     with pytest.raises(ValueError):
         D.VectorTable(spark, str(tmp_path / "v"), "fake", 3)
     three = Fake()
@@ -96,15 +97,15 @@ def ranked(spark, *names):
 def test_fusion(spark):
     lists = ranked(spark, "a", "b").withColumn("list_id", F.lit(0)).unionByName(ranked(spark, "b", "c").withColumn("list_id", F.lit(1)))
     assert R.rrf(lists).orderBy(F.desc("score"), "chunk_id").first().chunk_id == "b"
-    first = R.hybrid(ranked(spark, "sparse", "shared"), ranked(spark, "dense", "shared")).orderBy("rank").first()
-    assert (first.chunk_id, first.sparse_rank, first.dense_rank) == ("shared", 2, 2)
+    both = R.hybrid(ranked(spark, "k3", "k1", "k9"), ranked(spark, "k7", "k8", "k1")).orderBy("rank").collect()
+    assert [(h.chunk_id, h.sparse_rank, h.dense_rank) for h in both] == [("k1", 2, 3), ("k3", 1, None), ("k7", None, 1), ("k8", None, 2), ("k9", 3, None)]
     one = R.hybrid(ranked(spark, "a"), ranked(spark, "b")).orderBy("rank").collect()
     assert [(h.chunk_id, h.sparse_rank, h.dense_rank) for h in one] == [("a", 1, None), ("b", None, 1)]
 
 
 def test_rerank(spark):
-    rows = ranked(spark, "a", "b", "c").withColumn("text", F.when(F.col("chunk_id") == "c", "target").otherwise("noise")).withColumn("query", F.lit("q"))
-    good = R.scorer(lambda q, docs: [1.0 if "target" in d else 0.0 for d in docs])
+    rows = ranked(spark, "a", "b", "c").withColumn("text", F.repeat("chunk_id", F.when(F.col("chunk_id") == "c", 9).otherwise(4))).withColumn("query", F.lit("q"))
+    good = R.scorer(lambda q, docs: [float(len(d)) for d in docs])
     out = R.rerank(rows, good(F.col("query"), F.col("text"))).orderBy("rank").collect()
     assert [(h.chunk_id, h.retrieval_rank) for h in out] == [("c", 3), ("a", 1), ("b", 2)]
     with pytest.raises(Exception, match="one score per candidate"):
@@ -241,21 +242,79 @@ def test_findings_and_duplicates(spark):
     assert {(r.rule, r.key) for r in M.duplicate_cases(cases).collect()} == {("query_id", "a"), ("query", "why?")}
 
 
-def test_files(spark, tmp_path):
-    assert io.read_cases(spark, str(tmp_path / "none.json")).count() == 0
-    cases = spark.createDataFrame([("q", "t", ["c"], None, None, "x", "", "", "")], io.CASE)
-    for _ in range(2):
-        io.write_cases(cases, str(tmp_path / "cases"))
-    assert io.read_cases(spark, str(tmp_path / "cases")).count() == 1
+def test_splits_random():
+    """The rule, looked up anew for each part of random texts."""
+
+    def slow(text, limit):
+        text = text.strip()
+        if len(text) <= limit:
+            return [text] if text else []
+        head = text[: limit + 1]
+        fine = [limit]
+        for kind in (splits.BLANK, splits.SENTENCE, splits.CLAUSE):
+            for m in re.finditer(kind, head):
+                signs = len(re.findall(r"(?<!\\)\$", head[: m.end()]))
+                if m.end() >= limit // 2 and signs % 2 == 0:
+                    fine.append(m.end())
+        at = max(fine[1:], default=limit)
+        return [text[:at].strip(), *slow(text[at:], limit)]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b c", ".", " ", "; ", "\n", "\n\n", "$", "\\$", "? ", "\\", "  "]) for _ in range(rng.randint(0, 50)))
+        limit = rng.randint(2, 25)
+        assert splits.prose_parts(text, limit) == slow(text, limit)
+
+
+def rows_of(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def test_cases(spark, tmp_path):
+    path = str(tmp_path / "cases.json")
+    assert io.read_cases(spark, path).count() == 0
+    cases = spark.createDataFrame([(f"q{i}", f"t\n{i}", [f"c{i}", "d"], None if i % 2 else "p", None, "x", "", "", "") for i in range(5)], io.CASE)
+    for some in (cases.limit(0), cases, cases.where("query_id <> 'q3'"), cases):
+        io.write_cases(some, path)
+        assert rows_of(io.read_cases(spark, path)) == rows_of(some)
+    assert [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["cases.json"]
+    (tmp_path / "array.json").write_text(json.dumps([r.asDict() for r in cases.collect()], indent=2))
+    assert rows_of(io.read_cases(spark, str(tmp_path / "array.json"))) == rows_of(cases)
+
+
+def test_papers_and_bundles(spark, tmp_path):
+    more = items(spark, ITEMS).unionByName(items(spark, ITEMS[:5]).withColumn("paper_id", F.lit("p2")))
+    e = E.parse(more)
+    path, about = str(tmp_path / "papers"), spark.createDataFrame([("p", "T", "a.pdf", "00"), ("p2", None, None, None)], "paper_id string, title string, source_path string, sha256 string")
+    io.write_papers(e, path, about)
+    papers = io.read_papers(spark, path)
+    assert {(r.paper_id, r.title, len(r.elements)) for r in papers.collect()} == {("p", "T", 7), ("p2", None, 5)}
+    back = io.elements_of(papers)
+    assert rows_of(back.select(*[c for c in e.columns if c != "source_index"])) == rows_of(e.drop("source_index"))
+    chunks_, parents = C.chunk(e), C.parents(e)
+    io.write_bundles(chunks_, parents, str(tmp_path / "chunks"))
+    bundles = io.read_bundles(spark, str(tmp_path / "chunks"))
+    assert rows_of(io.chunks_of(bundles).select(*chunks_.columns)) == rows_of(chunks_) and chunks_.count() > 6
+    assert rows_of(io.parents_of(bundles).select(*parents.columns)) == rows_of(parents)
     with pytest.raises(FileNotFoundError):
         io.read_bundles(spark, str(tmp_path / "nothing"))
     (tmp_path / "p").mkdir()
-    (tmp_path / "p" / "chunks.json").write_text(json.dumps({"paper_id": "p", "parents": [], "children": [{"chunk_id": "c", "content": "x"}]}))
-    assert io.chunks_of(io.read_bundles(spark, str(tmp_path / "p"))).first().chunk_id == "c"
+    (tmp_path / "p" / "chunks.json").write_text(json.dumps({"paper_id": "p", "parents": [], "children": [{"chunk_id": "c", "content": "x"}]}, indent=1))
+    assert io.chunks_of(io.read_bundles(spark, str(tmp_path / "p"), "chunks.json")).first().chunk_id == "c"
     (tmp_path / "a.pdf").write_bytes(b"%PDF")
     assert io.pdf_papers(spark, str(tmp_path / "a.pdf")).first().paper_id.startswith("paper_")
 
 
+def test_metadata(spark):
+    rows = [{"type": "text", "text": "x", "score": 0.5, "tags": ["a"], "source_index": 9}, {"type": "page_footnote", "text": "y"}, {"type": "odd", "text": "z"}]
+    got = [json.loads(r.metadata) for r in E.parse(items(spark, rows)).orderBy("seq").collect()]
+    assert got == [
+        {"type": "text", "score": 0.5, "tags": ["a"], "mineru_type": "text", "source_index": 0},
+        {"type": "page_footnote", "mineru_type": "page_footnote", "source_index": 1, "retrieval_excluded": True},
+        {"type": "odd", "mineru_type": "odd", "source_index": 2, "unmapped_type": True},
+    ]
+
+
 class Step:
     def __init__(self, state, to, fails=0):
         self.state, self.to, self.fails = state, to, fails
