@@ -52,18 +52,26 @@ def search(queries: DataFrame, chunks: DataFrame, text: Column, top_k: int = 5,
 
     `where` filters what is returned, never the statistics. Scores add the terms in
     query order; ties go to the smaller id. Only postings of query terms are shuffled:
-    the terms of the batch meet the exploded tokens before anything is grouped.
+    the terms of the batch meet the exploded tokens before anything is grouped. Frequencies,
+    lengths and scores come from the same postings, so texts are read once (twice with a
+    filter, which goes to the scan).
     """
     check(top_k, k1, b)
-    tokenized = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(text, entities).alias("tokens"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("shown"))
+    shown = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    tokenized = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(text, entities).alias("tokens"), shown.alias("shown"))
     terms = query_terms(queries, entities)
-    wanted = terms.select("term").distinct()
-    # Equal ids stay apart, as rows of their own.
+    # Equal ids stay apart, as rows of their own. Each row also has the empty term, which no
+    # token is: it tells the length of rows without any term of the queries.
     numbered = tokenized.select("*", F.monotonically_increasing_id().alias("row"), F.size("tokens").alias("len"))
-    found = numbered.select("chunk_id", "shown", "len", "row", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    wanted = terms.select("term").distinct().union(chunks.sparkSession.range(1).select(F.lit("").alias("term")))
+    found = numbered.select("chunk_id", "shown", "len", "row", F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
+    # All below read one exchange: every use asks for tf, so that the plans are the same.
     postings = found.groupBy("row", "chunk_id", "shown", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = postings.where("shown").join(terms.join(df, "term"), "term").crossJoin(corpus_stats(tokenized))
+    one = F.signum("tf").cast("long")
+    df = postings.groupBy("term").agg(F.sum(one).alias("df"))
+    own = F.col("term") == ""
+    stats = postings.agg(F.coalesce(F.sum(F.when(own, one)), F.lit(0)).alias("n_docs"), F.coalesce(F.avg(F.when(own & (F.col("tf") > 0), F.col("len"))), F.lit(0.0)).alias("avg_len"))
+    joined = postings.where("shown").join(terms.join(df, "term"), "term").crossJoin(stats)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg_len", F.lit(1.0)))
     part = joined.select("query_id", "chunk_id", "row", "pos", (idf * F.col("tf") * (k1 + 1) / norm * F.col("qc")).alias("x"))
