@@ -19,8 +19,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: SQL expresses neither the SimHash groups nor the tokenizer; the tests hold every stage
-#: against a brute-force version.
+#: SQL expresses neither the linked lines nor the tokenizer. The tests hold the operator of
+#: each stage against a brute-force version, and the stages against their operators.
 ORACLE_SQL = None
 
 
