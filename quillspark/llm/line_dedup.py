@@ -18,7 +18,6 @@ Of each connected group the first occurrence stays.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +100,15 @@ def _gaps(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(1)
 def _all_gaps() -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """For each length the number and the first place of its gaps; and all gaps: prefix,
     suffix, and a number that names prefix and class."""
-    plans = [_gaps(n) for n in range(GAP * 10 // 9 + 2)]
-    count = np.array([len(x) for x in plans])
-    before, behind, name = np.array([g for x in plans for g in x], np.int64).T
-    return count, np.cumsum(count) - count, (before, behind, mix((before * 256 + name).astype(np.uint64)))
+    if (kept := worker().get("gaps")) is None:
+        plans = [_gaps(n) for n in range(GAP * 10 // 9 + 2)]
+        count = np.array([len(x) for x in plans])
+        before, behind, name = np.array([g for x in plans for g in x], np.int64).T
+        kept = worker()["gaps"] = count, np.cumsum(count) - count, (before, behind, mix((before * 256 + name).astype(np.uint64)))
+    return kept
 
 
 _TIMES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
