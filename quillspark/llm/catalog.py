@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import ann, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter
+from . import ann, decontamination, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_shards": sharding.op8_shards,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_nearest": ann.op10_nearest,
+    "op11_decontamination": decontamination.op11_decontamination,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_repeats": repeats.ORACLE,
     "op8_shards": sharding.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
 }
