@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import ann, decontamination, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter
+from . import alignment, ann, decontamination, hard_negatives, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter
 
 QUERIES = {
     "op1_near_duplicates": near_dedup.op1_near_duplicates,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_nearest": ann.op10_nearest,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -23,4 +25,5 @@ ORACLES = {
     "op8_shards": sharding.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
