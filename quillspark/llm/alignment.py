@@ -25,7 +25,7 @@ PIECES = "piece_bpe_32k.model"
 GROUP = 1 << 19  # characters tokenised at once
 PAIRS = 1 << 19  # pairs of ids that are broadcast; more are joined by a shuffle
 SALTS = 16
-TOKENS = "a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+TOKENS = "a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>"
 
 
 class Pieces:
@@ -71,14 +71,14 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a_pat
             ids = ids if isinstance(ids, np.ndarray) else np.array(ids, np.int64)
             if b"".join(map(parts.__getitem__, ids.tolist())) != whole:
                 return None
-            out += [ids.astype(np.int32), np.cumsum(size[ids]).astype(np.int32)]
+            out += [ids.astype(np.int32), np.cumsum(size[ids])]
         return out
 
     def rows(ids, found):
-        none = np.zeros(0, np.int32)
+        none = [np.zeros(0, t) for t in (np.int32, np.int64)] * 2
         columns = []
         for k in range(4):
-            flat = [none if x is None else x[k] for x in found]
+            flat = [none[k] if x is None else x[k] for x in found]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in flat]))).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat))))
         return pa.RecordBatch.from_arrays([ids, *columns], names)
@@ -97,50 +97,78 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a_pat
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, {TOKENS}")
 
 
-def _long(c: Column) -> Column:
-    return c.cast("long")
+LOW, SIDE = (1 << 31) - 1, 1 << 31
+ONE = (1 << 32) + 1  # one place further on both sides
 
 
-def _cuts(ends: str) -> Column:
-    """How many of the ends lie at or before each common end: both in one sorted array,
-    doubled, so that an end stands before its equal common end."""
-    both = F.sort_array(F.concat(F.transform(ends, lambda e: _long(e) * 2), F.transform("common", lambda c: _long(c) * 2 + 1)))
-    places = F.filter(F.transform(both, lambda x, p: F.when(x % 2 == 1, p)), lambda p: p.isNotNull())
-    return F.transform(places, lambda p, k: p - k)
+def _high(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
+
+
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(LOW)).cast("int")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens with groups, array<struct<a, b>> of the ids between common ends, and links,
-    array<struct<a_at, b_at>> of the places of all overlapping tokens in order of bytes.
+    """tokens with n_groups, cuts and links.
 
-    Rows without tokens have empty arrays.
+    cuts: for each common end the places of the tokens of a and b that end there; links: the
+    places of the overlapping tokens, in order of bytes. Both are places (a, b) in one number,
+    a * 2^32 + b; see place_pairs() and groups(). Rows without tokens have empty arrays.
     """
-    low = (1 << 31) - 1
-    # end, side and place in one number; of equal ends that of a comes first.
-    events = F.sort_array(F.concat(F.transform("a_ends", lambda e, i: F.shiftleft(_long(e), 32) + i), F.transform("b_ends", lambda e, j: F.shiftleft(_long(e), 32) + (low + 1) + j)))
+    # End, side and place in one number; of equal ends that of a comes first.
+    events = F.sort_array(F.concat(F.transform("a_ends", lambda e, i: F.shiftleft(e, 32) + i), F.transform("b_ends", lambda e, j: F.shiftleft(e, 32) + (j + F.lit(SIDE)))))
+    found = tokens.withColumns({"n_groups": F.size(F.array_intersect("a_ends", "b_ends")), "events": events})
 
     def link(x: Column, p: Column) -> Column:
-        at = x.bitwiseAND(F.lit(low)).cast("int")
-        pair = lambda a, b: F.struct(a.alias("a_at"), b.alias("b_at"))
-        same = F.get(F.col("a_ends"), p - at - 1).eqNullSafe(F.shiftright(x, 32).cast("int"))
-        return F.when(x.bitwiseAND(F.lit(low + 1)) == 0, pair(at, p - at)).when(~same, pair(p - at, at))
+        at = _low(x)
+        same = F.get(F.col("a_ends"), p - at - 1).eqNullSafe(F.shiftright(x, 32))
+        return F.when(x.bitwiseAND(F.lit(SIDE)) == 0, F.shiftleft(x.bitwiseAND(F.lit(LOW)), 32) + (p - at)).when(~same, F.shiftleft((p - at).cast("long"), 32) + at)
+
+    def cut_at(x: Column, p: Column) -> Column:
+        at = _low(x)
+        return F.when((x.bitwiseAND(F.lit(SIDE)) == 0) & (F.get(F.col("b_ends"), p - at) == F.shiftright(x, 32)), F.shiftleft(x.bitwiseAND(F.lit(LOW)), 32) + (p - at))
+
+    some = lambda f: F.array_compact(F.transform("events", f))
+    return found.withColumns({"links": some(link), "cuts": some(cut_at)}).drop("events")
+
+
+def place_pairs(places: str) -> Column:
+    """Places in one number as array<struct<a_at, b_at>>."""
+    return F.transform(places, lambda x: F.struct(_high(x).alias("a_at"), _low(x).alias("b_at")))
+
+
+def _run(ids: str, last: Column, before: Column) -> Column:
+    return F.transform(F.sequence(before + 1, last), lambda i: F.get(F.col(ids), i))
+
+
+def _before(k: Column) -> tuple[Column, Column]:
+    """The places of the last tokens before the k-th group."""
+    x = F.get(F.col("cuts"), k - 1)
+    return tuple(F.coalesce(side(x), F.lit(-1)) for side in (_high, _low))
+
+
+def groups() -> Column:
+    """The groups of an aligned row: array<struct<a, b>> of the ids between common ends."""
+    return F.transform("cuts", lambda x, k: F.struct(_run("a_ids", _high(x), _before(k)[0]).alias("a"), _run("b_ids", _low(x), _before(k)[1]).alias("b")))
+
 
-    found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    found = found.withColumns({"cut_a": _cuts("a_ends"), "cut_b": _cuts("b_ends"), "links": F.filter(F.transform(events, link), lambda x: x.isNotNull())})
+def groups_text() -> Column:
+    """`a1,a2|b1;a3|b2,b3`: the ids of both sides, group by group."""
+    name = lambda run: F.array_join(run.cast("array<string>"), ",")
+    id_at = lambda ids, at: F.get(F.col(ids), at).cast("string")
 
-    def part(ids: str, cuts: str, k: Column) -> Column:
-        begin = F.coalesce(F.get(F.col(cuts), k - 1), F.lit(0))
-        return F.slice(ids, begin + 1, F.get(F.col(cuts), k) - begin)
+    def text(x: Column, k: Column) -> Column:
+        single = x - F.coalesce(F.get(F.col("cuts"), k - 1), F.lit(-ONE)) == ONE
+        one = F.concat(id_at("a_ids", _high(x)), F.lit("|"), id_at("b_ids", _low(x)))
+        return F.when(single, one).otherwise(F.concat(name(_run("a_ids", _high(x), _before(k)[0])), F.lit("|"), name(_run("b_ids", _low(x), _before(k)[1]))))
 
-    n = F.size("common")
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(part("a_ids", "cut_a", k).alias("a"), part("b_ids", "cut_b", k).alias("b")))
-    groups = F.when(n > 0, each).otherwise(F.array().cast("array<struct<a: array<int>, b: array<int>>>"))
-    return found.withColumn("groups", groups).drop("common", "cut_a", "cut_b")
+    return F.array_join(F.transform("cuts", text), ";")
 
 
 def linked_ids() -> Column:
     """The pairs of ids of an aligned row's links, as a * 2^32 + b."""
-    return F.transform("links", lambda x: F.shiftleft(_long(F.get(F.col("a_ids"), x["a_at"])), 32) + F.get(F.col("b_ids"), x["b_at"]))
+    return F.transform("links", lambda x: F.shiftleft(F.get(F.col("a_ids"), _high(x)).cast("long"), 32) + F.get(F.col("b_ids"), _low(x)))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -168,11 +196,9 @@ def link_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a_p
     task that holds it.
     """
     found = aligned(tokenised(docs, id_col, text, a_path, b_path))
-    name = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    groups = F.array_join(F.transform("groups", lambda g: F.concat(name(g["a"]), F.lit("|"), name(g["b"]))), ";")
     size = lambda c: F.size(c).cast("long")
-    digest = F.when(F.size("groups") > 0, F.sha2(groups, 256)).otherwise("")
-    rows = cut(found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("groups").alias("n_groups"), size("links").alias("n_links"), digest.alias("groups_sha256"), linked_ids().alias("pairs")), "links")
+    digest = F.when(F.size("cuts") > 0, F.sha2(groups_text(), 256)).otherwise("")
+    rows = cut(found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), size("links").alias("n_links"), digest.alias("groups_sha256"), linked_ids().alias("pairs")), "links")
     counts = pair_counts(rows)
     links = rows.select("uid", F.explode("pairs").alias("pair"))
     if counts.count() <= bound:
