@@ -110,32 +110,43 @@ def _low(x: Column) -> Column:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens with n_groups, cuts and links.
+    """tokens with n_groups, events and cuts.
 
-    cuts: for each common end the places of the tokens of a and b that end there; links: the
-    places of the overlapping tokens, in order of bytes. Both are places (a, b) in one number,
-    a * 2^32 + b; see place_pairs() and groups(). Rows without tokens have empty arrays.
+    events: all ends in order, as end, side and place in one number; of equal ends that of a
+    comes first. cuts: for each common end the places of the tokens of a and b that end there,
+    as a * 2^32 + b. See links(), linked_ids() and groups(), which read them. Rows without tokens
+    have empty arrays.
     """
-    # End, side and place in one number; of equal ends that of a comes first.
     events = F.sort_array(F.concat(F.transform("a_ends", lambda e, i: F.shiftleft(e, 32) + i), F.transform("b_ends", lambda e, j: F.shiftleft(e, 32) + (j + F.lit(SIDE)))))
     found = tokens.withColumns({"n_groups": F.size(F.array_intersect("a_ends", "b_ends")), "events": events})
 
+    def cut_at(x: Column, p: Column) -> Column:
+        at = x.bitwiseAND(F.lit(LOW))
+        ends = (x.bitwiseAND(F.lit(SIDE)) == 0) & (F.get(F.col("b_ends"), p - at.cast("int")) == F.shiftright(x, 32))
+        return F.when(ends, F.shiftleft(at, 32) + (p - at))
+
+    return found.withColumn("cuts", F.array_compact(F.transform("events", cut_at)))
+
+
+def _overlaps(pair: Callable[[Column, Column], Column]) -> Column:
+    """pair(place in a, place in b) of every end; an end of b that is one of a, too, is the same."""
+
     def link(x: Column, p: Column) -> Column:
         at = _low(x)
         same = F.get(F.col("a_ends"), p - at - 1).eqNullSafe(F.shiftright(x, 32))
-        return F.when(x.bitwiseAND(F.lit(SIDE)) == 0, F.shiftleft(x.bitwiseAND(F.lit(LOW)), 32) + (p - at)).when(~same, F.shiftleft((p - at).cast("long"), 32) + at)
+        return F.when(x.bitwiseAND(F.lit(SIDE)) == 0, pair(at, p - at)).when(~same, pair(p - at, at))
 
-    def cut_at(x: Column, p: Column) -> Column:
-        at = _low(x)
-        return F.when((x.bitwiseAND(F.lit(SIDE)) == 0) & (F.get(F.col("b_ends"), p - at) == F.shiftright(x, 32)), F.shiftleft(x.bitwiseAND(F.lit(LOW)), 32) + (p - at))
+    return F.array_compact(F.transform("events", link))
 
-    some = lambda f: F.array_compact(F.transform("events", f))
-    return found.withColumns({"links": some(link), "cuts": some(cut_at)}).drop("events")
 
+def links() -> Column:
+    """The places of all overlapping tokens of an aligned row, in order of bytes."""
+    return _overlaps(lambda a, b: F.struct(a.alias("a_at"), b.alias("b_at")))
 
-def place_pairs(places: str) -> Column:
-    """Places in one number as array<struct<a_at, b_at>>."""
-    return F.transform(places, lambda x: F.struct(_high(x).alias("a_at"), _low(x).alias("b_at")))
+
+def linked_ids() -> Column:
+    """The pairs of ids of an aligned row's links, as a * 2^32 + b."""
+    return _overlaps(lambda a, b: F.shiftleft(F.get(F.col("a_ids"), a).cast("long"), 32) + F.get(F.col("b_ids"), b))
 
 
 def _run(ids: str, last: Column, before: Column) -> Column:
@@ -166,11 +177,6 @@ def groups_text() -> Column:
     return F.array_join(F.transform("cuts", text), ";")
 
 
-def linked_ids() -> Column:
-    """The pairs of ids of an aligned row's links, as a * 2^32 + b."""
-    return F.transform("links", lambda x: F.shiftleft(F.get(F.col("a_ids"), _high(x)).cast("long"), 32) + F.get(F.col("b_ids"), _low(x)))
-
-
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """(pair, n, best) of rows with an array pairs: how many links hold a pair of ids, and
     whether no other pair of the same b has more. Counted map-side before the shuffle."""
@@ -198,7 +204,7 @@ def link_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", a_p
     found = aligned(tokenised(docs, id_col, text, a_path, b_path))
     size = lambda c: F.size(c).cast("long")
     digest = F.when(F.size("cuts") > 0, F.sha2(groups_text(), 256)).otherwise("")
-    rows = cut(found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), size("links").alias("n_links"), digest.alias("groups_sha256"), linked_ids().alias("pairs")), "links")
+    rows = cut(found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"), digest.alias("groups_sha256"), linked_ids().alias("pairs")).withColumn("n_links", size("pairs")), "links")
     counts = pair_counts(rows)
     links = rows.select("uid", F.explode("pairs").alias("pair"))
     if counts.count() <= bound:

@@ -6,7 +6,7 @@ vectors stand together. A task builds ball trees over its candidates, batch by b
 over the queries. The inner products of a node of queries with a node of candidates lie in
 an interval around that of their centres; where it misses what every query of the node
 still asks for, both nodes are pruned at once. Pairs of leaves that remain are scored
-exactly, the most promising leaf of each group of queries first, since it raises what the
+exactly, the most promising leaves of each group of queries first, since they raise what the
 others have to reach. The search runs twice: for positives the queries are the anchors, for
 negatives they are the bands of scores around the positives.
 """
@@ -115,15 +115,18 @@ class Asked:
             begin = a[0][:-1]
             alive &= (most >= np.minimum.reduceat(need, begin)[:, None]) & (least <= np.maximum.reduceat(high, begin)[:, None])
         edges = theirs[-1][0]
-        first = np.where(alive, most, -np.inf).argmax(1)
         for g in np.flatnonzero(alive.any(1)):
             rows = np.arange(mine[-1][0][g], mine[-1][0][g + 1])
-            best = first[g]
-            self.score_leaves(rows, edges, [best], x, label, ids, same)
-            rest = alive[g] & (most[g] >= self.need()[rows].min())
-            rest[best] = False
-            if rest.any():
-                self.score_leaves(rows, edges, np.flatnonzero(rest), x, label, ids, same)
+            leaves = np.flatnonzero(alive[g])
+            leaves = leaves[np.argsort(-most[g][leaves], kind="stable")]
+            done, width = 0, 1
+            while done < len(leaves):
+                some = leaves[done : done + width]
+                some = some[most[g][some] >= self.need()[rows].min()]
+                if not len(some):  # the bounds of all others are lower
+                    break
+                self.score_leaves(rows, edges, some, x, label, ids, same)
+                done, width = done + width, 2 * width
 
     def score_leaves(self, rows, edges, leaves, x, label, ids, same) -> None:
         at = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in leaves])

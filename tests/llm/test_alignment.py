@@ -104,11 +104,11 @@ def test_scores_equal_brute_force(spark, coders, bound):
 
 def test_links_in_order_and_groups_whole(spark, coders):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    rows = A.aligned(A.tokenised(df)).select("*", A.groups().alias("groups"), A.place_pairs("links").alias("pairs"))
+    rows = A.aligned(A.tokenised(df)).select("*", A.groups().alias("groups"), A.links().alias("links"))
     for r in rows.collect():
         left, right = (list(zip(ids, [0, *ends], ends, strict=False)) for ids, ends in ((r.a_ids, r.a_ends), (r.b_ids, r.b_ends)))
         expected = [(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[1] < y[2] and y[1] < x[2]]
-        assert [tuple(x) for x in r.pairs] == expected and r.n_groups == len(r.groups)
+        assert [tuple(x) for x in r.links] == expected and r.n_groups == len(r.groups)
         assert [i for g in r.groups for i in g.a] == r.a_ids and [i for g in r.groups for i in g.b] == r.b_ids
         assert all(g.a and g.b for g in r.groups)
 
@@ -134,3 +134,11 @@ def test_array_functions_alone_after_tokenising(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     plan = A.aligned(A.tokenised(df)).select(A.groups(), A.groups_text(), A.linked_ids())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Python" not in plan.replace("MapInArrow", "").replace("pythonUDF", "")
+
+
+def test_ids_are_those_of_the_libraries(spark, coders):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in A.tokenised(docs).collect():
+        left, right = tokens(coders, texts[r.doc_id])
+        assert r.a_ids == [x for x, _ in left] and r.b_ids == [x for x, _ in right]

@@ -101,7 +101,7 @@ def test_clusters_are_pruned(monkeypatch):
     rng = np.random.default_rng(5)
     centres = 4000 * rng.normal(size=(16, 8))
     x = (np.repeat(centres, 256, 0) + rng.normal(size=(4096, 8)) * 60).astype(np.int64)
-    q = x[::16]
+    q = x[::4]
     asked = H.Asked(np.arange(len(q)), q, np.zeros(len(q), object), np.full(len(q), H.LEAST + 1), np.full(len(q), H.MOST), 5)
     scored, real = [], H.products
     monkeypatch.setattr(H, "products", lambda a, b: scored.append(len(a) * len(b)) or real(a, b))
