@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .index import InvertedIndex
+
 
 def case_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """Per case: recall_at_1, recall_at_5, reciprocal_rank, ndcg_at_5.
@@ -37,7 +39,35 @@ def evaluate(cases: DataFrame, retriever, top_k: int = 5) -> tuple[DataFrame, Da
     return per_case, macro(per_case)
 
 
-evaluate_bm25 = evaluate
+def evaluate_bm25(cases: DataFrame, chunks: DataFrame, text: str = "text", top_k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(per case, macro) of BM25 over an index of chunks; cases has query_id, query, relevant."""
+    return evaluate(cases, InvertedIndex.build(chunks, text).search, top_k)
+
+
+def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs joined with the passages (query_id, passage) that their text contains.
+
+    A contained passage shares all pairs of neighbouring words, but for its first and last word,
+    which may be parts of longer ones. Its rarest pair among the docs is its anchor: only docs
+    with that pair are compared with it. A passage of fewer than four words between spaces has no
+    pair inside it; those few are compared with every text. Null texts and passages match
+    nothing; an empty passage is in every text.
+    """
+    words = F.split("passage", " ", -1)
+    some = passages.where("passage is not null").withColumn("words", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(F.col(c), i), F.lit(" "), F.get(F.col(c), i + 1)))
+    long = some.where("size(words) >= 2").withColumn("pair", F.explode(F.array_distinct(pairs("words")))).drop("words")
+    told = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("_doc"), F.split(text, " ", -1).alias("words")).where("size(words) >= 2")
+    held = told.select("_doc", F.explode(F.array_distinct(pairs("words"))).alias("pair")).join(long.select("pair").distinct(), "pair", "left_semi")
+    df = held.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    # A pair that no text has rules its passage out.
+    rarest = long.join(df, "pair", "left").groupBy("query_id", "passage").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pair")).alias("m")).select("query_id", "passage", F.col("m.pair").alias("pair")).where("m.df > 0")
+    near = held.join(rarest, "pair").select("_doc", "query_id", "passage").distinct()
+    found = docs.join(near, F.col(id_col).eqNullSafe(F.col("_doc"))).drop("_doc").where(F.col(text).contains(F.col("passage")))
+    short = some.where("size(words) < 2").select("query_id", "passage")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(short, F.col(text).contains(F.col("passage"))))
 
 
 def selection(value: Column, count: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexical import check, rank
+from .vectors import held
 
 
 class Retriever(Protocol):
@@ -73,6 +75,42 @@ def scorer(score: Callable[[str, list[str]], list[float]]) -> Callable[[Column,
     return column
 
 
+class PairScorer:
+    """A model of (query, document) pairs, loaded on executors once a worker.
+
+    load() gives a function (pairs, max_length) -> scores, a number or a list of one each. Pairs
+    of an Arrow batch, of any queries, are put in order of length and scored batch_size at a
+    time, so that a batch pads little; a pair's score does not depend on its batch.
+    """
+
+    def __init__(self, load: Callable[[], Callable], model_name: str, batch_size: int = 8, max_length: int = 2048) -> None:
+        if batch_size < 1 or max_length < 1:
+            raise ValueError("batch_size and max_length must be at least 1")
+        self.load, self.model_name, self.batch_size, self.max_length = load, model_name, batch_size, max_length
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        order = sorted(range(len(pairs)), key=lambda i: sum(map(len, pairs[i])))
+        out = [0.0] * len(pairs)
+        for i in range(0, len(order), self.batch_size):
+            part = order[i : i + self.batch_size]
+            found = list(held(("pairs", self.model_name), self.load)([pairs[j] for j in part], self.max_length))
+            if len(found) != len(part):
+                raise ValueError("the reranker must return exactly one score per candidate")
+            for j, x in zip(part, found, strict=True):
+                out[j] = float(x[0] if hasattr(x, "__len__") else x)
+        return out
+
+    def __call__(self, query: Column, document: Column) -> Column:
+        me = self
+
+        @F.pandas_udf("double")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for q, d in batches:
+                yield pd.Series(me.score(list(zip(q, d, strict=True))), dtype="float64")
+
+        return run(query, document)
+
+
 def rerank(candidates: DataFrame, score: Column, top_k: int = 5) -> DataFrame:
     """Candidates (query_id, chunk_id, score, rank, ...) by a new score, ties by old rank.
 

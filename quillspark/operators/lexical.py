@@ -51,14 +51,14 @@ def search(queries: DataFrame, chunks: DataFrame, text: Column, top_k: int = 5,
     """(query_id, chunk_id, score, rank) for queries (query_id, query).
 
     `where` filters what is returned, never the statistics. Scores add the terms in
-    query order; ties go to the smaller id. Only postings of query terms are shuffled:
+    query order; ties go to the smaller id; null texts count as empty. Only postings of query terms are shuffled:
     the terms of the batch meet the exploded tokens before anything is grouped. Frequencies,
     lengths and scores come from the same postings, so texts are read once (twice with a
     filter, which goes to the scan).
     """
     check(top_k, k1, b)
     shown = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tokenized = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(text, entities).alias("tokens"), shown.alias("shown"))
+    tokenized = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.coalesce(text, F.lit("")), entities).alias("tokens"), shown.alias("shown"))
     terms = query_terms(queries, entities)
     # Equal ids stay apart, as rows of their own. Each row also has the empty term, which no
     # token is: it tells the length of rows without any term of the queries.

@@ -1,17 +1,30 @@
-"""Dense retrieval by cosine, and a table of vectors with keep-last upserts."""
+"""Dense retrieval by cosine: exact, by matrix products over blocks of queries and rows."""
 
 from __future__ import annotations
 
-from typing import Protocol
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import sys
+import types
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import Any, Protocol
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quillspark.sources.scratch import Kept
 
 from .lexical import check, rank
 
+BLOCK = 1 << 22  # components of queries that are broadcast at once (32 MB)
+
 
 class Encoder(Protocol):
-    """Texts to vectors of one dimension; called in Arrow batches."""
+    """Texts to vectors of one dimension; called in batches on executors."""
 
     model_name: str
     dimension: int
@@ -20,17 +33,57 @@ class Encoder(Protocol):
     def encode_queries(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def encode(rows: DataFrame, text: Column, encoder: Encoder, queries: bool = False) -> DataFrame:
-    """Add vector; fails when the encoder returns another number or size of vectors."""
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker process makes once and keeps between its tasks."""
+    kept = sys.modules.setdefault("quillspark_held", types.ModuleType("quillspark_held")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
-    @F.pandas_udf("array<double>")
-    def run(s):
-        import pandas as pd
 
-        out = (encoder.encode_queries if queries else encoder.encode_documents)(s.tolist()) if len(s) else []
-        if len(out) != len(s):
-            raise ValueError("the encoder returned a different number of vectors than texts")
-        return pd.Series(out, dtype=object)
+class ModelEncoder:
+    """An encoder whose model is loaded on executors, once a worker and when first needed.
+
+    load() gives a function (texts, max_length) -> vectors; it must be picklable, the model need
+    not be. Vectors become unit vectors of 32-bit floats; queries get no prefix. Models of one
+    name are one model: a worker keeps the first that it loaded.
+    """
+
+    def __init__(self, load: Callable[[], Callable], model_name: str, dimension: int, batch_size: int = 16, max_length: int = 8192) -> None:
+        if batch_size < 1 or max_length < 1:
+            raise ValueError("batch_size and max_length must be at least 1")
+        self.load, self.model_name, self.dimension = load, model_name, dimension
+        self.batch_size, self.max_length = batch_size, max_length
+
+    def encode_documents(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch_size):
+            part = texts[i : i + self.batch_size]
+            x = np.asarray(held(("encoder", self.model_name), self.load)(part, self.max_length), np.float64).reshape(len(part), -1)
+            size = np.sqrt((x * x).sum(1))
+            out += (x / np.where(size > 0, size, 1)[:, None]).astype(np.float32).tolist()
+        return out
+
+    encode_queries = encode_documents
+
+
+def encode(rows: DataFrame, text: Column, encoder: Encoder, queries: bool = False, batch_size: int | None = None) -> DataFrame:
+    """Add vector; fails when the encoder returns another number or size of vectors. The
+    encoder gets batch_size texts at a time, or those of an Arrow batch."""
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        work = encoder.encode_queries if queries else encoder.encode_documents
+        for s in batches:
+            texts, out = s.tolist(), []
+            size = batch_size or max(1, len(texts))
+            for i in range(0, len(texts), size):
+                out += work(texts[i : i + size])
+            if len(out) != len(texts):
+                raise ValueError("the encoder returned a different number of vectors than texts")
+            yield pd.Series(out, dtype=object)
 
     return rows.withColumn("vector", checked(run(text), encoder.dimension))
 
@@ -40,67 +93,132 @@ def checked(vector: Column, dimension: int) -> Column:
     return F.when(F.size(vector) == dimension, vector).otherwise(F.raise_error(wrong).cast("array<double>"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+class Asked:
+    """A block of queries as executors get it: ids, and by length the places, matrix and norms."""
+
+    def __init__(self, ids: list, vectors: list, kind: pa.DataType) -> None:
+        self.ids, self.by_length = pa.array(ids, kind), {}
+        size = np.array([len(v) for v in vectors], np.int64)
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            q = np.array([vectors[i] for i in at], np.float64).reshape(len(at), d)
+            self.by_length[d] = at, q, folded(q, q)
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added in order of the components: equal rows have equal ones."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x * y
+    return out
+
+
+def _cosines(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """From products and squared norms; a zero vector scores 0."""
+    size = np.sqrt(a) * np.sqrt(b)
+    return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+
+
+def nearest_in(batch: pa.RecordBatch, asked: Asked, floor: np.ndarray, k: int, probing: dict[int, np.ndarray] | None = None) -> pa.Table | None:
+    """(query, id, score): the k best rows of a batch (id, vector[, list]) for each query.
+
+    One matrix product picks the rows that can be among them; their scores are then added in
+    order, so that equal vectors tie. floor holds for each query a score that k rows reach.
+    """
+    column = batch.column(1)
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    lists = batch.column(2).to_numpy(zero_copy_only=False) if probing is not None else np.zeros(len(size), np.int64)
+    found = []
+    for d, (places, q, qn) in asked.by_length.items():
+        rows = np.flatnonzero(size == d)
+        x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)
+        fine = np.isfinite(x).all(1)
+        rows, x = rows[fine], x[fine]
+        xn = folded(x, x)
+        for one in np.unique(lists[rows]).tolist():
+            at = np.flatnonzero(lists[rows] == one)
+            mine = np.arange(len(places)) if probing is None else np.flatnonzero(np.isin(places, probing.get(one, [])))
+            if not len(mine) or not len(at):
+                continue
+            score = _cosines(q[mine] @ x[at].T, qn[mine][:, None], xn[at])
+            need = floor[places[mine]]
+            if len(at) > k:
+                need = np.maximum(need, np.partition(score, len(at) - k, 1)[:, -k])
+            i, j = np.nonzero(score >= need[:, None] - 1e-9)
+            i, j = mine[i], at[j]
+            found.append((places[i], rows[j], _cosines(folded(q[i], x[j]), qn[i], xn[j])))
+    if not found:
+        return None
+    query, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    t = pa.table({"query": query, "id": batch.column(0).take(pa.array(row)), "score": score}).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = t["query"].to_numpy()
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    t = t.filter(pa.array(place < k))
+    last = t.filter(pa.array(place[place < k] == k - 1))
+    at = last["query"].to_numpy()
+    floor[at] = np.maximum(floor[at], last["score"].to_numpy())
+    return t
+
+
+def query_blocks(queries: DataFrame, bound: int = BLOCK) -> Iterator[tuple[list, list]]:
+    """(ids, vectors) of queries (query_id, vector) in blocks of about `bound` components, one
+    at a time; null vectors ask nothing."""
+    with Kept(queries.sparkSession, "queries") as scratch:
+        q = scratch.keep(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")))
+        count = max(1, -(-2 * q.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] // bound))
+        for b in range(count):
+            rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).collect()
+            if rows:
+                yield [r.query_id for r in rows], [r.vector for r in rows]
+
+
+def blocked(queries: DataFrame, rows: DataFrame, top_k: int, probed: Callable | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank), scores not clamped. rows: chunk_id, vector[, list].
+
+    Queries are broadcast in blocks of BLOCK components; rows stay where they are, and each task
+    keeps of each batch what can still be among the best. probed(ids, vectors), if given, names
+    for each list the places of the queries that look into it.
+    """
+    kinds = queries.schema["query_id"].dataType, rows.schema["chunk_id"].dataType
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    arrow, parts = to_arrow_type(kinds[0]), []
+    for ids, vectors in query_blocks(queries):
+        probing = probed(vectors) if probed else None
+        sent = queries.sparkSession.sparkContext.broadcast((Asked(ids, vectors, arrow), probing))
+
+        def run(batches, sent=sent):
+            asked, probing = sent.value
+            floor = np.full(len(asked.ids), -np.inf)
+            for batch in batches:
+                t = nearest_in(batch, asked, floor, top_k, probing)
+                if t is not None:
+                    t = t.set_column(0, "query_id", asked.ids.take(t["query"].combine_chunks())).rename_columns(["query_id", "chunk_id", "score"])
+                    yield from t.to_batches()
+
+        some = rows if probing is None else rows.where(F.col("list").isin(sorted(probing)))
+        parts.append(some.mapInArrow(run, schema))
+    if not parts:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    return rank(reduce(DataFrame.union, parts), top_k, F.desc("score"), F.asc("chunk_id"))
+
+
+def clamped(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
 
 
 def search(queries: DataFrame, rows: DataFrame, top_k: int = 5, where: Column | None = None, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, chunk_id, score, rank) by exact cosine; queries has query_id, vector.
 
-    A zero vector scores 0; ties go to the smaller id and are judged before scores are
-    clamped to [-1, 1]. Norms are computed once for each row, and Spark chooses how the
-    two sides meet by their sizes.
+    A zero vector scores 0; ties go to the smaller id and are judged before scores are clamped
+    to [-1, 1]. Vectors of another length than the query's, null ones and those with null or
+    non-finite components take no part. See blocked() for the plan.
     """
     check(top_k)
-    v = lambda c: F.col(c).cast("array<double>")
     kept = rows if where is None else rows.where(where)
-    data = kept.select(F.col(id_col).alias("chunk_id"), v("vector").alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = queries.select("query_id", v("vector").alias("q")).withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
-    zero = (F.col("vn") == 0) | (F.col("qn") == 0)
-    cosine = F.when(zero, F.lit(0.0)).otherwise(F.try_divide(dot(F.col("q"), F.col("v")), F.col("qn") * F.col("vn")))
-    scored = data.crossJoin(asked).select("query_id", "chunk_id", cosine.alias("score"))
-    return rank(scored, top_k, F.desc("score"), F.asc("chunk_id")).withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
+    return clamped(blocked(queries, kept.select(F.col(id_col).alias("chunk_id"), "vector"), top_k))
 
 
 def keep_last(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The row of the highest version of each key."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
     return rows.withColumn("_at", last).where("_at = 1").drop("_at")
-
-
-class VectorTable:
-    """A folder of versions of a vector table; each upsert writes the next one whole."""
-
-    def __init__(self, spark: SparkSession, path: str, model: str, dimension: int) -> None:
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._p = hadoop.Path
-        about = f"{self.path}/about"
-        if self._fs.exists(self._p(about)):
-            row = spark.read.json(about).first()
-            if (row.model, row.dimension) != (model, dimension):
-                raise ValueError(f"stored=({row.model}, {row.dimension}), requested=({model}, {dimension})")
-        else:
-            spark.createDataFrame([(model, dimension)], "model string, dimension int").coalesce(1).write.json(about)
-
-    def versions(self) -> list[int]:
-        if not self._fs.exists(self._p(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(self.path))]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame | None:
-        v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
-
-    def upsert(self, rows: DataFrame, key: str = "chunk_id") -> int:
-        """rows has a vector column; of equal keys the new row stays. Returns their number,
-        which is counted while the rows are written."""
-        seen = Observation()
-        new = rows.withColumn("vector", checked(F.col("vector"), self.dimension)).observe(seen, F.count(F.lit(1)).alias("n")).withColumn("_v", F.lit(1))
-        old = self.read()
-        both = new if old is None else new.unionByName(old.withColumn("_v", F.lit(0)))
-        v = self.versions()
-        keep_last(both, key, "_v").drop("_v").write.parquet(f"{self.path}/v{v[-1] + 1 if v else 1}")
-        return seen.get["n"]

@@ -19,6 +19,9 @@ from quillspark.operators import fusion as R
 from quillspark.operators import lexical as B
 from quillspark.operators import vectors as D
 from quillspark.operators import workflow as W
+from quillspark.operators.index import InvertedIndex
+from quillspark.operators.vector_table import ListIndex, VectorTable
+from quillspark.sources.scratch import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,11 +55,12 @@ def _round(c: str):
 TOKENS = r"list_transform(regexp_extract_all(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\[A-Za-z]+|[A-Za-z][A-Za-z0-9_-]*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[\x{{4e00}}-\x{{9fff}}]'), lambda x: lower(x))"
 TOK = f"tok AS (SELECT doc_id, source, {TOKENS.format('text')} AS ts FROM documents)"
 TF = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) GROUP BY ALL)"
+_SCORE = "list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {0} ORDER BY pos))"
 BM = f"""{TOK}, {TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 st AS (SELECT count(*) AS n, coalesce(avg(len(ts)), 0) AS av FROM tok),
 q AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT item_id, {TOKENS.format('text')} AS ts FROM benchmark)),
 qt AS (SELECT item_id, term, min(pos) AS pos, count(*) AS qc FROM q GROUP BY ALL),
-sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, source, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / greatest(av, 1.0))) * qc ORDER BY pos)) AS score
+sc AS (SELECT item_id AS query_id, doc_id AS chunk_id, source, {_SCORE.format('2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / greatest(av, 1.0))) * qc')} AS score, {_SCORE.format('1.9::DOUBLE / (tf + 0.9::DOUBLE) * qc')} AS flat
  FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN tok USING (doc_id), st GROUP BY ALL)"""
 RANKED = "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {0}) WHERE rank <= {1}"
 
@@ -69,8 +73,12 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang")
 
 
+def _index(spark, sf):
+    return InvertedIndex.build(_chunks(spark, sf))
+
+
 def _bm25(spark, sf, k=5, where=None):
-    return B.search(_queries(spark, sf), _chunks(spark, sf), F.col("text"), k, where=where)
+    return _index(spark, sf).search(_queries(spark, sf), k, where=where)
 
 
 def _hits(df):
@@ -143,46 +151,52 @@ def cosine_filtered(spark, sf):
     return _hits(D.search(_vector_queries(spark, sf), _vectors(spark, sf), where=F.col("label") == 3))
 
 
-@query("SELECT vec_id AS query_id, -1::BIGINT AS chunk_id, 0.0::DOUBLE AS score, 1::BIGINT AS rank FROM embeddings WHERE vec_id % 50 = 0")
+@query(f"WITH {COS}, ze AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 0.0::DOUBLE ELSE score END AS score FROM cs WHERE chunk_id % 3 = 0 OR chunk_id % 50 = 1) {RANKED.format('ze', 20)}")
 def cosine_zero_norm(spark, sf):
-    zero = spark.range(1).select(F.lit(-1).cast("long").alias("chunk_id"), F.array_repeat(F.lit(0.0), 64).alias("vector"))
-    return _hits(D.search(_vector_queries(spark, sf), zero))
+    """Every third vector is zero: it scores 0, between the like and the unlike ones."""
+    zero = F.when(F.col("chunk_id") % 3 == 0, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("vector").cast("array<double>"))
+    rows = _vectors(spark, sf).where("chunk_id % 3 = 0 or chunk_id % 50 = 1").withColumn("vector", zero)
+    return _hits(D.search(_vector_queries(spark, sf), rows, 20))
 
 
 @query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END::BIGINT AS label FROM embeddings")
 def vector_upsert(spark, sf):
-    old = _vectors(spark, sf).select("chunk_id", "label", F.lit(0).alias("v"))
-    new = old.where("chunk_id % 3 = 0").select("chunk_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("v"))
-    return _long(D.keep_last(old.union(new), "chunk_id", "v").select("chunk_id", "label"))
+    """Two upserts of a vector table: all vectors, then every third one anew."""
+    store = VectorTable(spark, new_path(spark, "vectors"), "given", 64)
+    rows = _vectors(spark, sf)
+    store.upsert(rows)
+    store.upsert(rows.where("chunk_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    return _long(store.read().select("chunk_id", "label"))
 
 
-# Fusion and reranking. The second list ranks documents by a hash of query and document.
+@query()
+def ann_topk(spark, sf):
+    """Five nearest by lists of a vector index; a search of its own against all vectors tests
+    the recall."""
+    index = ListIndex.build(_vectors(spark, sf))
+    return _hits(index.search(_vector_queries(spark, sf)))
 
-DENSE = "dn AS (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id::VARCHAR || ':' || doc_id::VARCHAR), doc_id) AS rank FROM benchmark, documents QUALIFY rank <= 20)"
-SPARSE = "sp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20)"
-FUSED = f"{BM}, {SPARSE}, {DENSE}, fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, sp.rank AS sparse_rank, dn.rank AS dense_rank, coalesce(1.0::DOUBLE / (60 + sp.rank), 0) + coalesce(1.0::DOUBLE / (60 + dn.rank), 0) AS score FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id)"
 
+# Fusion and reranking. The second list is that of BM25 without regard to lengths.
 
-def _second(docs):
-    """A retriever that ranks docs (chunk_id) by a hash of query and document."""
+DENSE = "dn AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY flat DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20)"
+SPARSE = "sp AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 20)"
+FUSED = f"{BM}, {SPARSE}, {DENSE}, fu AS (SELECT coalesce(sp.query_id, dn.query_id) AS query_id, coalesce(sp.chunk_id, dn.chunk_id) AS chunk_id, sp.rank AS sparse_rank, dn.rank AS dense_rank, coalesce(1.0::DOUBLE / (60 + sp.rank), 0) + coalesce(1.0::DOUBLE / (60 + dn.rank), 0) AS score FROM sp FULL JOIN dn ON sp.query_id = dn.query_id AND sp.chunk_id = dn.chunk_id)"
 
-    def run(queries, top_k):
-        name = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("chunk_id").cast("string")))
-        rows = queries.select("query_id").crossJoin(docs).withColumn("name", name)
-        return B.rank(rows, top_k, F.asc("name"), F.asc("chunk_id")).select("query_id", "chunk_id", F.lit(0.0).alias("score"), "rank")
 
-    return run
+def _two(spark, sf):
+    """Two retrievers over one index: BM25, and BM25 without regard to lengths."""
+    index = _index(spark, sf)
+    return index.search, lambda queries, k: index.search(queries, k, k1=0.9, b=0.0)
 
 
 def _hybrid(spark, sf, k):
-    sparse = lambda q, n: B.search(q, _chunks(spark, sf), F.col("text"), n)
-    return R.hybrid_retriever(sparse, _second(_chunks(spark, sf).select("chunk_id")))(_queries(spark, sf), k)
+    return R.hybrid_retriever(*_two(spark, sf))(_queries(spark, sf), k)
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM fu")
 def rrf_fusion(spark, sf):
-    sparse = _bm25(spark, sf, 20).select("query_id", F.lit(0).alias("list_id"), "rank", "chunk_id")
-    dense = _second(_chunks(spark, sf).select("chunk_id"))(_queries(spark, sf), 20).select("query_id", F.lit(1).alias("list_id"), "rank", "chunk_id")
+    sparse, dense = (f(_queries(spark, sf), 20).select("query_id", F.lit(i).alias("list_id"), "rank", "chunk_id") for i, f in enumerate(_two(spark, sf)))
     return R.rrf(sparse.union(dense)).select("query_id", "chunk_id", _round("score"))
 
 
@@ -211,21 +225,21 @@ me AS (SELECT ca.query_id, count(*) FILTER (g AND rank <= 1) / n AS recall_at_1,
 
 
 def _cases(spark, sf):
-    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    pairs = docs.join(items.select("item_id", F.col("text").alias("passage")), F.col("text").contains(F.col("passage")))
-    return pairs.groupBy(F.col("item_id").alias("query_id"), F.col("passage").alias("query")).agg(F.collect_list("doc_id").alias("relevant"))
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    pairs = M.containing(table(spark, sf, "documents").select("doc_id", "text"), passages)
+    return pairs.groupBy("query_id", F.col("passage").alias("query")).agg(F.collect_list("doc_id").alias("relevant"))
 
 
 @query(f"WITH {METRICS} SELECT query_id, round(recall_at_1, 9) AS recall_at_1, round(recall_at_5, 9) AS recall_at_5, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg_at_5, 9) AS ndcg_at_5 FROM me")
 def case_metrics(spark, sf):
     """Recall@1, Recall@5, reciprocal rank and nDCG@5 of BM25 for each case."""
-    per_case, _ = M.evaluate(_cases(spark, sf), lambda q, k: B.search(q, _chunks(spark, sf), F.col("text"), k))
+    per_case, _ = M.evaluate_bm25(_cases(spark, sf), _chunks(spark, sf))
     return per_case.select("query_id", *(_round(c) for c in per_case.columns[1:]))
 
 
 @query(f"WITH {METRICS} SELECT round(avg(recall_at_1), 9) AS macro_recall_at_1, round(avg(recall_at_5), 9) AS macro_recall_at_5, round(avg(reciprocal_rank), 9) AS mean_reciprocal_rank, round(avg(ndcg_at_5), 9) AS mean_ndcg_at_5 FROM me")
 def macro_eval(spark, sf):
-    _, macro = M.evaluate(_cases(spark, sf), lambda q, k: B.search(q, _chunks(spark, sf), F.col("text"), k))
+    _, macro = M.evaluate_bm25(_cases(spark, sf), _chunks(spark, sf))
     return macro.select(*map(_round, macro.columns))
 
 
@@ -235,10 +249,13 @@ def query_id_slug(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.query_id(F.col("text"), F.lit(None).cast("string")).alias("query_id"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '1,3,4,5'), (2, '2'), (3, '1,2,3'), (4, ''))  t(id, picked)")
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(range(a, b + 1) || CASE WHEN turn % 3 = 0 THEN [] ELSE [a + 4] END)), ',') AS picked
+FROM (SELECT *, turn + 1 AS a, turn + 1 + conv_id % 4 AS b FROM conversations)""")
 def selection_parse(spark, sf):
-    rows = spark.createDataFrame([(1, "1,3-5", 5), (2, "2,2, 2", 3), (3, "3,1-2,", 3), (4, "", 1)], "id long, value string, n int")
-    return rows.select("id", F.array_join(M.selection(F.col("value"), F.col("n")).cast("array<string>"), ",").alias("picked"))
+    """Selections such as `3-5,, 7`, made of the numbers of conversations and turns."""
+    c = table(spark, sf, "conversations").withColumns({"a": F.col("turn") + 1, "b": F.col("turn") + 1 + F.col("conv_id") % 4})
+    text = F.concat_ws(",, ", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")), F.when(F.col("turn") % 3 != 0, (F.col("a") + 4).cast("string")))
+    return c.select("conv_id", "turn", F.array_join(M.selection(text, F.lit(1000)).cast("array<string>"), ",").alias("picked"))
 
 
 @query("SELECT 'query' AS rule, lower(trim(text)) AS key, count(*) AS n FROM conversations GROUP BY lower(trim(text)), conv_id::VARCHAR HAVING count(*) > 1 UNION ALL SELECT 'query_id', conv_id::VARCHAR || ':' || role, count(*) FROM conversations GROUP BY ALL HAVING count(*) > 1")
@@ -273,16 +290,17 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("digest"))
 
 
-_ROWS = "(1::BIGINT, 1::BIGINT, 1::BIGINT, 'T'), (1, 2, NULL, 'a'), (1, 3, 2, 'M'), (1, 4, NULL, 'b'), (1, 5, 3, 'N'), (1, 6, NULL, 'c'), (1, 7, 2, 'R'), (1, 8, NULL, 'd'), (2, 1, NULL, 'x'), (2, 2, 3, 'Y'), (2, 3, 1, 'Z'), (2, 4, NULL, 'z')"
-
-
-@query(f"""WITH e(paper, seq, lvl, content) AS (VALUES {_ROWS}),
+@query("""WITH e AS (SELECT conv_id AS paper, turn AS seq, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 + (conv_id + turn) % 3 END AS lvl, left(text, 12) AS content
+ FROM (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY ALL)),
 h AS (SELECT a.paper, a.seq, a.lvl, a.content, (SELECT min(b.seq) FROM e b WHERE b.paper = a.paper AND b.seq > a.seq AND b.lvl <= a.lvl) AS stop FROM e a WHERE lvl IS NOT NULL)
 SELECT e.paper, e.seq, coalesce(string_agg(h.content, ' > ' ORDER BY h.lvl), '') AS path, arg_max(h.content, h.lvl) FILTER (h.seq < e.seq) AS parent
 FROM e LEFT JOIN h ON h.paper = e.paper AND h.seq <= e.seq AND (h.stop IS NULL OR e.seq < h.stop) GROUP BY ALL""")
 def section_paths(spark, sf):
-    rows = [(int(a), int(b), None if c == "NULL" else int(c), d) for a, b, c, d in (r.replace("::BIGINT", "").strip(" ()'").replace("'", "").split(", ") for r in _ROWS.split("), ("))]
-    e = spark.createDataFrame(rows, "paper_id long, seq long, text_level int, content string").withColumn("element_id", F.col("content"))
+    """Conversations as papers: system turns are titles, the user's are headings of levels 2
+    to 4, and the assistant's are their content."""
+    c = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2 + (F.col("conv_id") + F.col("turn")) % 3).cast("int")
+    e = c.select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("seq"), level.alias("text_level"), F.left("text", F.lit(12)).alias("content")).withColumn("element_id", F.col("content"))
     return E.sections(e).select(F.col("paper_id").alias("paper"), "seq", F.array_join("section_path", " > ").alias("path"), F.col("parent_id").alias("parent"))
 
 
@@ -422,17 +440,46 @@ def constraint_violations(spark, sf):
     return M.violations(table(spark, sf, "labels"), "doc_id", {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 0})
 
 
-@query("SELECT * FROM (VALUES ('supported_needs_evidence', 'c2'), ('confidence_range', 'c3')) t(rule, key)")
+@query("""SELECT 'supported_needs_evidence' AS rule, doc_id::VARCHAR AS key FROM labels WHERE quality = 1 AND toxic = 1
+UNION ALL SELECT 'confidence_range', doc_id::VARCHAR FROM labels WHERE doc_id % 12 > 10""")
 def finding_violations(spark, sf):
-    rows = [("c1", "supported", ["e"], 0.5), ("c2", "supported", [], 1.0), ("c3", "contradicted", [], 1.5)]
-    return M.violations(spark.createDataFrame(rows, "claim_id string, verdict string, evidence_ids array<string>, confidence double"), "claim_id", M.finding_rules())
+    """Labels as findings: good documents are supported, toxic ones have no evidence, and the
+    confidence is a tenth of the id modulo 12."""
+    of = table(spark, sf, "labels")
+    ids = F.when(F.col("toxic") == 1, F.array().cast("array<string>")).otherwise(F.array(F.col("doc_id").cast("string")))
+    verdict = F.when(F.col("quality") == 1, "supported").otherwise("contradicted")
+    rows = of.select(F.col("doc_id").cast("string").alias("claim_id"), verdict.alias("verdict"), ids.alias("evidence_ids"), ((F.col("doc_id") % 12) / 10).alias("confidence"))
+    return M.violations(rows, "claim_id", M.finding_rules())
+
+
+_PATH = ["init", "parsing", "indexing", "extracting_claims", "retrieving_evidence", "critiquing", "judging", "reporting", "finished"]
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, to in W.MOVES.items() for b in to)
 
 
-@query("SELECT * FROM (VALUES ('r2', 2::BIGINT, 'parsing', 'judging')) t(run_id, step, src, dst)")
+@query(f"""WITH t AS (SELECT conv_id AS run_id, turn AS step, CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN 'judging' ELSE {_PATH}[turn % 9 + 1] END AS state
+ FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL))
+SELECT * FROM (SELECT run_id, step, lag(state) OVER (PARTITION BY run_id ORDER BY step) AS src, state AS dst FROM t) s
+WHERE src IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (VALUES {_MOVES}) m(a, b) WHERE a = src AND b = dst)""")
 def workflow_trace_check(spark, sf):
-    good = ["init", "parsing", "indexing", "extracting_claims", "retrieving_evidence", "critiquing", "judging", "reporting", "finished"]
-    rows = [("r1", i, s) for i, s in enumerate(good)] + [("r2", 0, "init"), ("r2", 1, "parsing"), ("r2", 2, "judging")]
-    return W.illegal_moves(spark.createDataFrame(rows, "run_id string, step long, state string"), W.moves(spark))
+    """Conversations as runs: turns go through the states in order, but every third run judges
+    whenever the assistant speaks."""
+    c = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    path = F.get(F.array(*map(F.lit, _PATH)), (F.col("turn") % 9).cast("int"))
+    state = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 3 == 0), "judging").otherwise(path)
+    return W.illegal_moves(c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), state.alias("state")), W.moves(spark))
+
+
+@query("""WITH c AS (SELECT conv_id::VARCHAR AS run_id, turn + 1 AS version, min(role) AS state, list_sort(list(DISTINCT role)) AS history FROM conversations GROUP BY ALL)
+SELECT run_id, max(version) AS version, arg_max(state, version) AS state, arg_max(array_to_string(history, ','), version) AS history, count(*) AS n_versions FROM c GROUP BY run_id""")
+def stored_checkpoints(spark, sf):
+    """Turns as versions of runs, appended to a checkpoint log in two parts and read back."""
+    path = new_path(spark, "checkpoints")
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("version")).agg(F.min("role").alias("state"), F.sort_array(F.collect_set("role")).alias("history"))
+    for part in (0, 1):
+        W.write_checkpoints(c.where(F.col("version") % 2 == part), path)
+    log = W.checkpoints(spark, path)
+    counts = log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_versions"))
+    return W.latest(log).join(counts, "run_id").select("run_id", "version", "state", F.array_join("history", ",").alias("history"), "n_versions")
 
 
 @query("SELECT conv_id AS run_id, max(turn) AS version, arg_max(role, turn) AS state FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL) GROUP BY conv_id")

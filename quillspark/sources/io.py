@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,18 +52,25 @@ def parser_items(spark: SparkSession, path: str, paper_id: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str, schema, name: str | None = None) -> DataFrame:
-    """Rows of JSON files: one object a line, or a whole file as one object or array of
-    them. The first line that is not blank tells which; a malformed file fails."""
+    """Rows of JSON files, each of its own form: one object a line, or a whole file as one
+    object or an array of them. Malformed files fail.
+
+    The first line of each file that is not blank tells its form, so lines are read by Spark's
+    line reader in parts of any size, and only files that are one value are read whole.
+    """
 
     def files(reader):
         return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", name) if name else reader
 
-    first = files(spark.read).text(path).where(F.trim("value") != "").first()
-    try:
-        lines = first is None or isinstance(json.loads(first.value), dict)
-    except ValueError:
-        lines = False
-    return files(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines)).json(path)
+    lines = files(spark.read).text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    # A line that is a whole object begins a file of lines.
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("begin", "at")).alias("value"))
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    forms = first.select("file", (~whole).alias("whole")).groupBy("whole").agg(F.collect_list("file").alias("files")).collect()
+    rows = spark.createDataFrame([], schema)
+    for form in forms:
+        rows = rows.union(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", form.whole).json([unquote(f) for f in form.files]))
+    return rows
 
 
 def _as_json(columns: dict[str, str], present: list[str]) -> list[Column]:

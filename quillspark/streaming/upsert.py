@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from quillspark.operators.vectors import VectorTable, keep_last
+from quillspark.operators.vector_table import VectorTable
 
 
 def stream_upserts(rows: DataFrame, table: VectorTable, checkpoint: str, key: str = "chunk_id", order: str = "version"):
@@ -12,6 +12,6 @@ def stream_upserts(rows: DataFrame, table: VectorTable, checkpoint: str, key: st
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.upsert(keep_last(batch, key, order), key)
+            table.upsert(batch, key, order)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -18,6 +18,7 @@ from quillspark.operators import evaluation as M
 from quillspark.operators import fusion as R
 from quillspark.operators import lexical as B
 from quillspark.operators import vectors as D
+from quillspark.operators.vector_table import VectorTable
 from quillspark.operators import workflow as W
 from quillspark.sources import io
 
@@ -77,13 +78,13 @@ class Fake:
 def test_encoder_and_vector_table(spark, tmp_path):
     c = chunks(spark, [("a", "p", "text", "two words"), ("b", "p", "text", "one")])
     v = D.encode(c, F.col("text"), Fake())
-    table = D.VectorTable(spark, str(tmp_path / "v"), "fake", 2)
+    table = VectorTable(spark, str(tmp_path / "v"), "fake", 2)
     assert table.read() is None
     assert table.upsert(v) == 2
     assert table.upsert(v.where("chunk_id = 'a'").withColumn("text", F.lit("new"))) == 1
     assert {(r.chunk_id, r.text) for r in table.read().collect()} == {("a", "new"), ("b", "one")}
     with pytest.raises(ValueError):
-        D.VectorTable(spark, str(tmp_path / "v"), "fake", 3)
+        VectorTable(spark, str(tmp_path / "v"), "fake", 3)
     three = Fake()
     three.dimension = 3
     with pytest.raises(Exception, match="dimension mismatch"):
@@ -340,7 +341,7 @@ def test_workflow(spark):
 def test_stream(spark, tmp_path):
     from quillspark.streaming.upsert import stream_upserts
 
-    table = D.VectorTable(spark, str(tmp_path / "t"), "m", 1)
+    table = VectorTable(spark, str(tmp_path / "t"), "m", 1)
     schema = "chunk_id string, vector array<double>, version long"
     spark.createDataFrame([("a", [1.0], 1), ("a", [2.0], 2), ("b", [3.0], 1)], schema).write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
