@@ -11,7 +11,8 @@ score in it for any k1 and b. A search is a few joins over blocks:
    skipped terms can't reach it. Only the lists of the other terms are read, but for blocks
    whose bound, with all other terms at theirs, stays below the threshold.
 3. Rows whose sum, with all skipped terms at their bounds, stays below the threshold go. The
-   skipped terms of the others are looked up, and the best are scored in query order.
+   skipped terms of the others are looked up in the rows' own frequencies, and the best are
+   scored in query order.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .lexical import check, query_terms, rank
 POSTINGS = "term string, part long, n int, max_tf int, min_len int, rows array<long>, tfs array<int>, lens array<int>, bucket int"
 BLOCK = 128
 RANGE_BITS = 16  # the postings of one term and 2^16 rows meet in one group
-BUCKETS = 32
+BUCKETS = 8
 SEEDS = 20  # postings of the rarest terms read for the threshold, for each wanted hit
 SHARE = 0.5
 LITTLE = 1e-9  # more than sums in another order can differ by
@@ -43,12 +44,14 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 class InvertedIndex:
-    """An index in a folder: rows, postings (partitioned by a bucket of the term), about."""
+    """An index in a folder: rows, postings (partitioned by a bucket of the term), forward (the
+    frequencies of each row), about."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         about = spark.read.parquet(f"{path}/about").first()
         self.rows = spark.read.schema(StructType.fromJson(json.loads(about.rows))).parquet(f"{path}/rows")
+        self.forward = spark.read.schema("row long, len int, tfs map<string,int>").parquet(f"{path}/forward")
         self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         self.n_docs, self.avg_len, self.buckets, self.entities = about.n_docs, about.avg_len, about.buckets, about.entities
 
@@ -59,8 +62,8 @@ class InvertedIndex:
 
         All columns of chunks but the text are kept for filters, so pass those that are
         needed. Null texts are rows without tokens; equal ids stay rows of their own.
-        Postings are shuffled once to groups of a term and 2^16 rows, which bounds what a task
-        gathers of a frequent term, and their blocks once more into order of bucket and term.
+        Frequencies are shuffled to groups of a term and 2^16 rows, which bounds what a task
+        gathers of a frequent term; a task then writes one sorted file for each bucket.
         """
         spark = chunks.sparkSession
         path = path or new_path(spark, "index")
@@ -71,9 +74,10 @@ class InvertedIndex:
             stored(rows, f"{path}/rows")
             about = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("_len"), F.lit(0.0)).alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(entities).alias("entities"), F.lit(rows.schema.json()).alias("rows"))
             stored(about.coalesce(1), f"{path}/about")
-            part = F.shiftright("_row", RANGE_BITS).alias("part")
-            each = told.select(F.explode("_tokens").alias("term"), part, "_row", "_len")
-            tf = each.groupBy("term", "part", "_row", "_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+            tf = told.select(F.explode("_tokens").alias("term"), "_row", "_len").groupBy("term", "_row", "_len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+            tf = scratch.keep(tf.withColumn("part", F.shiftright("_row", RANGE_BITS)))
+            counts = F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tfs")
+            stored(tf.groupBy(F.col("_row").alias("row"), F.col("_len").alias("len")).agg(counts), f"{path}/forward")
             ordered = F.sort_array(F.collect_list(F.struct((-F.col("tf")).alias("less"), F.col("_len").alias("len"), F.col("_row").alias("row"))))
             lists = tf.groupBy("term", "part").agg(ordered.alias("p"))
             cuts = F.sequence(F.lit(0), F.size("p") - 1, F.lit(BLOCK))
@@ -81,7 +85,7 @@ class InvertedIndex:
             blocks = lists.select("term", "part", F.explode(F.transform(cuts, block)).alias("p"))
             field = lambda f: F.transform("p", f)
             out = blocks.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "part", F.size("p").alias("n"), (-F.col("p")[0]["less"]).alias("max_tf"), F.array_min(field(lambda x: x["len"])).alias("min_len"), field(lambda x: x["row"]).alias("rows"), field(lambda x: -x["less"]).alias("tfs"), field(lambda x: x["len"]).alias("lens"))
-            out.repartitionByRange("bucket", "term", "part").sortWithinPartitions("bucket", "term", "part").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+            out.sortWithinPartitions("bucket", "term", "part").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         return cls(spark, path)
 
     def _terms(self, asked: DataFrame, share: Column, k1: float) -> DataFrame:
@@ -125,18 +129,24 @@ class InvertedIndex:
                 rows = rows.groupBy("query_id", "row").agg(F.sum("x").alias("got"))
                 return rows if shown is None else rows.join(shown, "row", "left_semi")
 
-            def looked_up(pairs: DataFrame) -> DataFrame:
-                """pairs (row, bucket, term, ...) with tf and len, where the row holds the term."""
-                part = F.shiftright("row", RANGE_BITS)
-                keys = pairs.select("bucket", "term", part.alias("part")).distinct()
-                held = self.postings.join(keys, ["bucket", "term", "part"], "left_semi").select("term", one)
-                return pairs.join(held.select("term", F.col("p.rows").alias("row"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len")), ["term", "row"])
+            def of_row(found: DataFrame, some: DataFrame) -> DataFrame:
+                """found (query_id, row, ...) joined with what the given terms add to each row, as
+                `sum`: the row's own frequencies are looked up, so no list is read."""
+                asked = some.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf", "qc"))).alias("asked"))
+                # Few bytes, much work: dealt to all cores, not by size.
+                dealt = found.repartition(self.spark.sparkContext.defaultParallelism, "query_id", "row")
+                held = dealt.join(F.broadcast(asked) if few else asked, "query_id", "left").join(self.forward, "row", "left")
+
+                def part(t):
+                    tf = F.try_element_at(F.col("tfs"), t["term"])
+                    # As the formula is written, so that equal texts have equal scores.
+                    return F.coalesce(t["idf"] * tf * (k1 + 1) / (tf + norm(F.col("len"))) * t["qc"], F.lit(0.0))
+
+                return held.withColumn("sum", F.coalesce(F.aggregate("asked", F.lit(0.0), lambda x, t: x + part(t)), F.lit(0.0))).drop("asked", "tfs", "len")
 
             def completed(found: DataFrame, others: DataFrame) -> DataFrame:
                 """found (query_id, row, got) with what the other terms add."""
-                x = weight * F.col("tf") / (F.col("tf") + norm(F.col("len")))
-                more = looked_up(found.select("query_id", "row").join(others, "query_id")).groupBy("query_id", "row").agg(F.sum(x).alias("more"))
-                return found.join(more, ["query_id", "row"], "left").select("query_id", "row", (F.col("got") + F.coalesce("more", F.lit(0.0))).alias("got"))
+                return of_row(found, others).select("query_id", "row", (F.col("got") + F.col("sum")).alias("got"))
 
             by_query = Window.partitionBy("query_id")
             kth = lambda rows: rows.withColumn("at", F.row_number().over(by_query.orderBy(F.desc("got")))).withColumn("kth", F.min(F.when(F.col("at") == top_k, F.col("got"))).over(by_query))
@@ -163,10 +173,6 @@ class InvertedIndex:
             if counts is not None:
                 counts |= {"held": found.count(), "scored": best.count()}
 
-            exact = looked_up(best.join(terms, "query_id"))
-            # As the formula is written, so that equal texts have equal scores.
-            x = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm(F.col("len"))) * F.col("qc")
-            total = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", x.alias("x")))), F.lit(0.0), lambda s, p: s + p["x"])
-            scored = exact.groupBy("query_id", "row").agg(total.alias("score")).join(self.rows.select(F.col("_row").alias("row"), "chunk_id"), "row")
+            scored = of_row(best, terms).where("sum > 0").withColumnRenamed("sum", "score").join(self.rows.select(F.col("_row").alias("row"), "chunk_id"), "row")
             hits = rank(scored.select("query_id", "chunk_id", "score"), top_k, F.desc("score"), F.asc("chunk_id"))
             return stored(hits, new_path(self.spark, "hits"))

@@ -196,7 +196,9 @@ class ListIndex:
         return lists
 
     def search(self, queries: DataFrame, top_k: int = 5, where: Column | None = None, share: float = PROBED) -> DataFrame:
-        """(query_id, chunk_id, score, rank): fewer than top_k only where fewer are found."""
+        """(query_id, chunk_id, score, rank): fewer than top_k only where fewer are found. share
+        is that of the lists that a query looks into; the fewer rows a filter leaves, the more
+        lists it takes for the same recall, and 1 is exact."""
         check(top_k)
         rows = self.rows if where is None else self.rows.where(where)
         return clamped(blocked(queries, rows.select("chunk_id", "vector", "list"), top_k, self.probed(share)))

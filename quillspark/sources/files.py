@@ -24,6 +24,11 @@ class Files:
         p = self.path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
 
+    def stamp(self) -> str:
+        """Changes when the files of the folder (or the file) change."""
+        held = self.fs.listStatus(self._hadoop.Path(self.root))
+        return " ".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in held))
+
     def read(self, name: str) -> str:
         return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self.fs.open(self.path(name)), "UTF-8")
 

@@ -119,7 +119,8 @@ def test_lists_find_most_and_prune(spark):
     q = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
     index = ListIndex.build(rows)
     assert recall(index.search(q), D.search(q, rows)) >= 0.95
-    assert recall(index.search(q, where=F.col("label") == 3), D.search(q, rows, where=F.col("label") == 3)) >= 0.95
+    third = F.col("label") == 3  # the best of few rows may lie in any list
+    assert recall(index.search(q, where=third, share=0.9), D.search(q, rows, where=third)) >= 0.95
     assert index.rows.count() == rows.count()
     one = index.search(q.limit(1), share=0.1)
     plan = one._jdf.queryExecution().executedPlan().toString()
@@ -268,3 +269,20 @@ def test_containing_equals_contains(spark):
     assert pair(M.containing(docs, passages)) == pair(docs.join(passages, F.col("text").contains(F.col("passage"))))
     plan = M.containing(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bm25_evaluation(spark, chunks, queries):
+    cases = queries.where("query_id < 3").withColumn("relevant", F.array(F.col("query_id")))
+    one, two = M.evaluate_bm25(cases, chunks)
+    three, _ = M.evaluate(cases, lambda q, k: B.search(q, chunks, F.col("text"), k))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, three.collect())) and two.count() == 1
+
+
+def test_index_of_a_table_is_written_once(spark, tmp_path):
+    from quillspark.plans import catalog
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(20).write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = (catalog._index(spark, str(tmp_path)) for _ in range(2))
+    assert one.path == two.path and one.n_docs == 20
+    spark.read.parquet(f"{SF}/documents.parquet").limit(5).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert catalog._index(spark, str(tmp_path)).n_docs == 25
