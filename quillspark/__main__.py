@@ -1,4 +1,4 @@
-"""Command line: parse, chunk, index, search and evaluate, each as Spark jobs.
+"""Command line: parse, chunk, index, search and evaluate, each as Spark jobs; serve for /health.
 
     python -m quillspark parse --pdf paper.pdf --items parsed/ --output papers/
     python -m quillspark chunk --papers papers/ --output bundles/
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from importlib import import_module
 from pathlib import PurePosixPath
 from typing import Any
@@ -128,6 +129,26 @@ def evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     print(macro.toJSON().first())
 
 
+class Health(BaseHTTPRequestHandler):
+    """GET /health tells that the process is up."""
+
+    def do_GET(self) -> None:
+        up = self.path.partition("?")[0] == "/health"
+        body = json.dumps({"status": "ok"} if up else {"detail": "Not Found"}).encode()
+        self.send_response(200 if up else 404)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_) -> None:
+        pass
+
+
+def serve(_: None, args: argparse.Namespace) -> None:
+    ThreadingHTTPServer((args.host, args.port), Health).serve_forever()
+
+
 def options(argv: list[str] | None = None) -> argparse.Namespace:
     top = argparse.ArgumentParser(prog="python -m quillspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(required=True)
@@ -146,6 +167,9 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     p = command(chunk, "papers", "output")
     p.add_argument("--max-chars", type=int, default=C.MAX_CHARS)
     p.add_argument("--overlap-elements", type=int, default=C.OVERLAP)
+    p = command(serve)
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8000)
     p = command(index, "chunks", "table", "encoder")
     p.add_argument("--batch-size", type=int, default=8)
     for run, need in ((search, "query"), (evaluate, "golden")):
@@ -159,7 +183,7 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> None:
     args = options(argv)
-    args.run(SparkSession.builder.appName("quillspark").getOrCreate(), args)
+    args.run(None if args.run is serve else SparkSession.builder.appName("quillspark").getOrCreate(), args)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -47,6 +47,14 @@ def tokenize(c: Column, entities: bool = True) -> Column:
     return F.transform(F.regexp_extract_all(unescape(bare) if entities else bare, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
+def with_tokens(rows: DataFrame, text: Column, name: str = "tokens", entities: bool = True) -> DataFrame:
+    """rows with the tokens of a text; the text without tags is a column of its own on the
+    way, so that it is made once."""
+    bare = F.col("_bare")
+    found = F.regexp_extract_all(unescape(bare) if entities else bare, F.lit(TOKEN), F.lit(0))
+    return rows.withColumn("_bare", F.regexp_replace(text, "<[^>]+>", " ")).withColumn(name, F.transform(found, F.lower)).drop("_bare")
+
+
 def digest(*parts: Column, length: int = 24) -> Column:
     return F.left(F.sha2(F.concat_ws("\x00", *parts), 256), F.lit(length))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillspark.functions.text import tokenize
+from quillspark.functions.text import with_tokens
 from quillspark.sources.scratch import Kept, new_path, stored
 
 from .lexical import check, query_terms, rank
@@ -68,7 +68,7 @@ class InvertedIndex:
         spark = chunks.sparkSession
         path = path or new_path(spark, "index")
         with Kept(spark, "tokens") as scratch:
-            told = chunks.withColumn("_tokens", F.coalesce(tokenize(F.col(text), entities), F.array().cast("array<string>"))).drop(text)
+            told = with_tokens(chunks, F.coalesce(F.col(text), F.lit("")), "_tokens", entities).drop(text)
             told = scratch.keep(told.select("*", F.monotonically_increasing_id().alias("_row"), F.size("_tokens").alias("_len")))
             rows = told.drop("_tokens").withColumnRenamed(id_col, "chunk_id")
             stored(rows, f"{path}/rows")

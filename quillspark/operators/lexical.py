@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import tokenize
+from quillspark.functions.text import tokenize, with_tokens
 
 
 def check(top_k: int, k1: float = 1.5, b: float = 0.75) -> None:
@@ -19,7 +19,7 @@ def check(top_k: int, k1: float = 1.5, b: float = 0.75) -> None:
 
 def tokens(rows: DataFrame, id_col: str, text: Column, entities: bool = True) -> DataFrame:
     """(id_col, tokens)."""
-    return rows.select(id_col, tokenize(text, entities).alias("tokens"))
+    return with_tokens(rows.select(id_col, text.alias("_text")), F.col("_text"), entities=entities).select(id_col, "tokens")
 
 
 def term_frequencies(tokenized: DataFrame, id_col: str) -> DataFrame:
@@ -58,7 +58,8 @@ def search(queries: DataFrame, chunks: DataFrame, text: Column, top_k: int = 5,
     """
     check(top_k, k1, b)
     shown = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    tokenized = chunks.select(F.col(id_col).alias("chunk_id"), tokenize(F.coalesce(text, F.lit("")), entities).alias("tokens"), shown.alias("shown"))
+    told = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(text, F.lit("")).alias("_text"), shown.alias("shown"))
+    tokenized = with_tokens(told, F.col("_text"), entities=entities).drop("_text")
     terms = query_terms(queries, entities)
     # Equal ids stay apart, as rows of their own. Each row also has the empty term, which no
     # token is: it tells the length of rows without any term of the queries.

@@ -95,6 +95,22 @@ def test_wrong_calls(spark, tmp_path):
         cli.main(["search", "magic", "--chunks", "x", "--query", "y"])
 
 
+def test_health():
+    from http.server import ThreadingHTTPServer
+    from threading import Thread
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), cli.Health)
+    Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    with urlopen(f"{at}/health") as answer:
+        assert answer.status == 200 and json.load(answer) == {"status": "ok"}
+    with pytest.raises(HTTPError):
+        urlopen(f"{at}/other")
+    server.shutdown()
+
+
 def test_files_of_several_forms(spark, tmp_path):
     row = lambda i: {"query_id": f"q{i}", "query": "x", "relevant_chunk_ids": [str(i)]}
     (tmp_path / "a b.json").write_text("\n\n" + "\n".join(json.dumps(row(i)) for i in range(3)))
