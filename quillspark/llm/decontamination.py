@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -271,12 +272,21 @@ def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _each(docs: DataFrame, items: DataFrame, window: int, id_col: str, text: str, item_id: str, item_text: str, bound: int, shard: int, out, schema: str) -> list[DataFrame]:
+    """The scan of each block of items. With several blocks each scan is stored and its block
+    forgotten, so that the driver holds two blocks at most."""
     if window < 1:
         raise ValueError("window must be at least 1")
     told, context = _told(docs, id_col, text), docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = _blocks(items, item_id, item_text, bound)
-    return [_scan(told, context.broadcast(b), window, shard, out, schema.format(kind)) for b in blocks]
+    parts, last = [], None
+    for block in chain(_blocks(items, item_id, item_text, bound), [None]):
+        if last and (block or parts):
+            sent = context.broadcast(last)
+            parts.append(cut(_scan(told, sent, window, shard, out, schema.format(kind)), "hits"))
+            sent.destroy()
+            last = None
+        last = block or last
+    return parts or [_scan(told, context.broadcast(last or []), window, shard, out, schema.format(kind))]
 
 
 HITS = "doc_id {}, th long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
@@ -295,22 +305,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
     Scale: the texts are not shuffled. A task holds SHARD words and one Arrow batch; a text
     is a row, so a long one is held whole as 8 bytes a word. Items are broadcast in blocks
-    of at most BLOCK words (8 MB) or one item, so the driver holds one block at a time; the
+    of at most BLOCK words (8 MB) or one item, so the driver holds two at most; the
     texts are read once for each block, and with several blocks what they find is
     merged by (doc_id, th) afterwards.
     """
     parts = _each(docs, items, window, id_col, text, item_id, item_text, bound, shard, Shard.hits, HITS)
     if len(parts) == 1:
         return parts[0]
-    told = _told(docs, id_col, text)
-    if not parts:
-        parts = [_scan(told, docs.sparkSession.sparkContext.broadcast([]), window, shard, Shard.hits, HITS.format(docs.schema[id_col].dataType.simpleString()))]
-    first = cut(parts[0], "hits")
-    if len(parts) == 1:
-        return first
-    every = cut(first.where("size(spans) > 0"), "hits")
+    first, every = parts[0], parts[0].where("size(spans) > 0")
     for p in parts[1:]:
-        every = every.union(cut(p.where("size(spans) > 0"), "hits"))
+        every = every.union(p.where("size(spans) > 0"))
     # A copy of the row has the same hits: one is enough.
     once = every.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
     span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
@@ -330,9 +334,6 @@ def longest_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     window, if that is shorter) are absent. See contamination() for nulls and scale."""
     schema = "item_id string, at long, length long, doc_id {}, start long"
     parts = _each(docs, items, window, id_col, text, item_id, item_text, bound, shard, Shard.longest, schema)
-    if not parts:
-        kind = docs.schema[id_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], schema.format(kind))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
