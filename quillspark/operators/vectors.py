@@ -93,16 +93,15 @@ def checked(vector: Column, dimension: int) -> Column:
     return F.when(F.size(vector) == dimension, vector).otherwise(F.raise_error(wrong).cast("array<double>"))
 
 
-class Asked:
-    """A block of queries as executors get it: ids, and by length the places, matrix and norms."""
-
-    def __init__(self, ids: list, vectors: list, kind: pa.DataType) -> None:
-        self.ids, self.by_length = pa.array(ids, kind), {}
-        size = np.array([len(v) for v in vectors], np.int64)
-        for d in np.unique(size).tolist():
-            at = np.flatnonzero(size == d)
-            q = np.array([vectors[i] for i in at], np.float64).reshape(len(at), d)
-            self.by_length[d] = at, q, folded(q, q)
+def by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, matrix and squared norms of the vectors of each length: plain arrays, which
+    executors can read without this package."""
+    size, out = np.array([len(v) for v in vectors], np.int64), {}
+    for d in np.unique(size).tolist():
+        at = np.flatnonzero(size == d)
+        q = np.array([vectors[i] for i in at], np.float64).reshape(len(at), d)
+        out[d] = at, q, folded(q, q)
+    return out
 
 
 def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,7 +118,7 @@ def _cosines(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
 
 
-def nearest_in(batch: pa.RecordBatch, asked: Asked, floor: np.ndarray, k: int, probing: dict[int, np.ndarray] | None = None) -> pa.Table | None:
+def nearest_in(batch: pa.RecordBatch, asked: dict, floor: np.ndarray, k: int, probing: dict[int, np.ndarray] | None = None) -> pa.Table | None:
     """(query, id, score): the k best rows of a batch (id, vector[, list]) for each query.
 
     One matrix product picks the rows that can be among them; their scores are then added in
@@ -129,7 +128,7 @@ def nearest_in(batch: pa.RecordBatch, asked: Asked, floor: np.ndarray, k: int, p
     size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     lists = batch.column(2).to_numpy(zero_copy_only=False) if probing is not None else np.zeros(len(size), np.int64)
     found = []
-    for d, (places, q, qn) in asked.by_length.items():
+    for d, (places, q, qn) in asked.items():
         rows = np.flatnonzero(size == d)
         x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)
         fine = np.isfinite(x).all(1)
@@ -184,15 +183,15 @@ def blocked(queries: DataFrame, rows: DataFrame, top_k: int, probed: Callable |
     arrow, parts = to_arrow_type(kinds[0]), []
     for ids, vectors in query_blocks(queries):
         probing = probed(vectors) if probed else None
-        sent = queries.sparkSession.sparkContext.broadcast((Asked(ids, vectors, arrow), probing))
+        sent = queries.sparkSession.sparkContext.broadcast((pa.array(ids, arrow), by_length(vectors), probing))
 
         def run(batches, sent=sent):
-            asked, probing = sent.value
-            floor = np.full(len(asked.ids), -np.inf)
+            names, asked, probing = sent.value
+            floor = np.full(len(names), -np.inf)
             for batch in batches:
                 t = nearest_in(batch, asked, floor, top_k, probing)
                 if t is not None:
-                    t = t.set_column(0, "query_id", asked.ids.take(t["query"].combine_chunks())).rename_columns(["query_id", "chunk_id", "score"])
+                    t = t.set_column(0, "query_id", names.take(t["query"].combine_chunks())).rename_columns(["query_id", "chunk_id", "score"])
                     yield from t.to_batches()
 
         some = rows if probing is None else rows.where(F.col("list").isin(sorted(probing)))
