@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +55,13 @@ def leads(words: np.ndarray, k: int) -> np.ndarray:
 class Tests:
     """The suffixes of a block of items: items are (id, words)."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int) -> None:
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int, lead: int) -> None:
         items = [(i, w) for i, w in items if len(w)]
         self.names = np.array([i for i, _ in items], object)
         size = np.array([len(w) for _, w in items], np.int64)
         self.words = np.concatenate([x for _, w in items for x in (w, [LAST])]).astype(np.uint64) if items else np.zeros(0, np.uint64)
         first = np.cumsum(size + 1) - size - 1
-        self.lead = min([LEAD, window, *size.tolist()])
+        self.lead = lead
         self.depth = int(max(size, default=0))
         n = size - self.lead + 1
         self.item = np.repeat(np.arange(len(items)), n)
@@ -192,11 +193,13 @@ class Shard:
         return pa.RecordBatch.from_arrays([self.column(0), self.column(1), pa.array(self.n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), spans), items], ["doc_id", "th", "n_words", "spans", "items"])
 
     def longest(self) -> pa.RecordBatch:
-        """A row for each test suffix that has a match here: its longest, the first in the shard."""
+        """A row for each test suffix that has a match here: its longest, in the first text by id."""
         t, found = self.tests, np.flatnonzero(self.length)
         row, place = _ragged(self.low[found], self.high[found])
-        begin = np.cumsum(self.high[found] - self.low[found]) - (self.high[found] - self.low[found])
-        at = np.minimum.reduceat(self.sa[place], begin) if len(found) else found
+        order = pc.rank(self.column(0), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        text = self.text_of(self.sa[place])
+        best = np.lexsort((self.sa[place] - self.begin[text], order[text], row))
+        at = self.sa[place][best[np.searchsorted(row, np.arange(len(found)))]]
         text = self.text_of(at)
         return pa.RecordBatch.from_arrays([pa.array(t.names[t.item[found]], pa.string()), pa.array(t.place[found]), pa.array(self.length[found]), self.column(0).take(pa.array(text)), pa.array(at - self.begin[text])], ["item_id", "at", "length", "doc_id", "start"])
 
@@ -228,7 +231,8 @@ def _scan(docs: DataFrame, block, window: int, shard: int, out: Callable[[Shard]
     """out() of each shard of docs (doc_id, th, text) against a broadcast block of items."""
 
     def run(batches):
-        tests, hasher = Tests([(i, np.frombuffer(w, np.uint64)) for i, w in block.value], window), word_hasher()
+        lead, items = block.value
+        tests, hasher = Tests([(i, np.frombuffer(w, np.uint64)) for i, w in items], window, lead), word_hasher()
         held, size = ([], [], []), 0
         for batch in batches:
             for stream, n, i, j in _words(batch, hasher):
@@ -244,8 +248,9 @@ def _scan(docs: DataFrame, block, window: int, shard: int, out: Callable[[Shard]
     return docs.mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, bound: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The words of the items, in blocks of at most `bound` words or one item, one at a time."""
+def _blocks(items: DataFrame, item_id: str, text: str, window: int, bound: int) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """(words that choose a place, items with their words), in blocks of at most `bound` words
+    or one item, one at a time."""
 
     def hashed(batches):
         hasher = word_hasher()
@@ -255,7 +260,8 @@ def _blocks(items: DataFrame, item_id: str, text: str, bound: int) -> Iterator[l
 
     named = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("t")).where("item_id is not null and t is not null")
     rows = cut(named.distinct().mapInArrow(hashed, "item_id string, n long, words binary").where("n > 0"), "items")
-    count = -(-(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // bound)
+    total, least = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("n")).first()
+    count = -(-total // bound)
     while True:
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, count))))
         over = dealt.groupBy("block").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).where(F.col("n") > bound).where("m > 1")
@@ -264,7 +270,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, bound: int) -> Iterator[l
         count *= 2
     for b in range(count):
         if held := dealt.where(F.col("block") == b).select("item_id", "words").collect():
-            yield [(r.item_id, bytes(r.words)) for r in held]
+            yield min(LEAD, window, least), [(r.item_id, bytes(r.words)) for r in held]
 
 
 def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -279,14 +285,14 @@ def _each(docs: DataFrame, items: DataFrame, window: int, id_col: str, text: str
     told, context = _told(docs, id_col, text), docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
     parts, last = [], None
-    for block in chain(_blocks(items, item_id, item_text, bound), [None]):
+    for block in chain(_blocks(items, item_id, item_text, window, bound), [None]):
         if last and (block or parts):
             sent = context.broadcast(last)
             parts.append(cut(_scan(told, sent, window, shard, out, schema.format(kind)), "hits"))
             sent.destroy()
             last = None
         last = block or last
-    return parts or [_scan(told, context.broadcast(last or []), window, shard, out, schema.format(kind))]
+    return parts or [_scan(told, context.broadcast(last or (1, [])), window, shard, out, schema.format(kind))]
 
 
 HITS = "doc_id {}, th long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
