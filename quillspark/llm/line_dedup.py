@@ -6,13 +6,16 @@ least 0.9. A SimHash does not find these: one word changed in 200 letters alread
 tenth of its bits, and no block of so few equal bits is selective. The join keys are
 instead parts of the line that an edit leaves whole:
 
-- of lines under GAP characters: a prefix with a suffix around one stretch of edits. Any
-  one stretch of up to a tenth of the line is found; edits far apart may not be;
-- of the others: BANDS bands of ROWS min-hashes of the character GRAM-grams, and of lines
-  with many repeated grams also of the numbered grams. A band needs several equal
-  min-hashes, since lines that merely quote one passage share some of them.
-
-Of each connected group the first occurrence stays.
+- of every line: bands of ROWS min-hashes of its short character grams, so that edits
+  scattered over the line leave many of them equal, and of lines with many repeated grams
+  also of the numbered grams. A band needs several equal min-hashes, since lines that
+  merely quote one passage share some of them;
+- of lines under GAP characters also a prefix with a suffix around one stretch of edits:
+  any one stretch of up to a tenth of the line is found.
+
+Many pairs that share a band are no links; their lengths and letter counts, which bound
+the edits from below, rule nearly all of them out before any text moves. Of each connected
+group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .groups import block_links, settle
 from .shingles import Hasher, mix, worker
 from .util import counted, cut, drop, fresh, stored, table
 
-GRAM, BANDS, ROWS = 8, 10, 4
-GAP = 72
+ROWS = 4  # min-hashes of a band
+GAP = 72  # characters; lines below it differ in keys
+SHORT = (4, 16)  # letters of a gram and bands of lines under GAP and of their longest partners
+LONG = (6, 24)  # the same of lines from GAP on
 CHUNK = 1 << 16  # characters at a time: their arrays stay in the processor's cache
 SIMILAR = 0.9
 SYNC = 8
@@ -58,12 +63,12 @@ def _letters() -> np.ndarray:
     return kept
 
 
-def _grams(letters: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of the GRAM letters from each place on, by doubling."""
-    out, width, base = letters.astype(np.uint32), 1, 0x9E3779B1
-    while width < GRAM:
-        out = out[:-width] + out[width:] * np.uint32(base)
-        width, base = 2 * width, base * base % (1 << 32)
+def _grams(letters: np.ndarray, width: int) -> np.ndarray:
+    """A 32-bit hash of the `width` letters from each place on."""
+    n = len(letters) - width + 1
+    out = letters[:n].astype(np.uint32)
+    for i in range(1, width):
+        out = out * np.uint32(0x9E3779B1) + letters[i : n + i].astype(np.uint32)
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x85EBCA6B)
     out ^= out >> np.uint32(13)
@@ -111,17 +116,18 @@ def _all_gaps() -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     return kept
 
 
-_TIMES = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_TIMES = mix(np.arange(1, max(SHORT[1], LONG[1]) * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
-def _least(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum.reduceat(grams * m, first) for m in _TIMES])
+def _least(grams: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
+    return np.stack([np.minimum.reduceat(grams * m, first) for m in _TIMES[: bands * ROWS]])
 
 
 def _bands(least: np.ndarray, salt: int) -> np.ndarray:
     """A key for each line and band."""
-    out = np.arange(BANDS, dtype=np.uint64)[:, None] + np.uint64(salt)
-    for row in least.reshape(BANDS, ROWS, -1).transpose(1, 0, 2).astype(np.uint64):
+    bands = len(least) // ROWS
+    out = np.arange(bands, dtype=np.uint64)[:, None] + np.uint64(salt)
+    for row in least.reshape(bands, ROWS, -1).transpose(1, 0, 2).astype(np.uint64):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ row)
     return out.T
 
@@ -180,21 +186,22 @@ def line_facts(texts: list[str], hasher: Hasher) -> tuple[np.ndarray, ...]:
         tail = mix((total[right] - total[right - behind[at]]) * hasher.down[right - behind[at]])
         owners.append(of[row])
         keys.append(mix(mix(head + name[at]) ^ tail))
-    of = np.sort(once[size[once] >= GAP])
-    if len(of):
-        n = size[of] - GRAM + 1
+    for (width, bands), found, salt in ((SHORT, of, 1 << 22), (LONG, np.sort(once[size[once] >= GAP]), 1 << 20)):
+        if not len(found):
+            continue
+        n = size[found] - width + 1
         lead = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(a[of] - lead, n)
-        grams = _grams(letters)[at]
-        least = _least(grams, lead)
-        add(of, _bands(least, 1 << 20))
-        distinct = len(_TIMES) / np.maximum(least.sum(0, dtype=np.float64) / 2.0**32, 1e-12)
+        at = np.arange(n.sum()) + np.repeat(a[found] - lead, n)
+        grams = _grams(letters, width)[at]
+        least = _least(grams, lead, bands)
+        add(found, _bands(least, salt))
+        distinct = len(least) / np.maximum(least.sum(0, dtype=np.float64) / 2.0**32, 1e-12)
         often = np.flatnonzero(distinct < 0.6 * n)
         if len(often):
-            inner = np.repeat(np.isin(np.arange(len(of)), often), n)
+            inner = np.repeat(np.isin(np.arange(len(found)), often), n)
             lead = np.cumsum(n[often]) - n[often]
             more = _numbered(grams[inner], np.repeat(np.arange(len(often)), n[often]))
-            add(of[often], _bands(_least(more, lead), 1 << 21))
+            add(found[often], _bands(_least(more, lead, bands), salt << 1))
     owner, key = np.concatenate(owners), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
     return text, place, h.view(np.int64), owner[order], key[order].view(np.int64)
@@ -273,6 +280,20 @@ def similar(a: str, b: str) -> bool:
     return min(len(a), len(b)) >= SIMILAR * longest and (few_edits(a, b, most) or edits(a, b, most) <= most)
 
 
+def letter_counts(text: str) -> bytes:
+    """How often the text has the letters of each of 64 classes, at most 255."""
+    return np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def within(n: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """False where lengths or letter counts alone show that two texts are not similar: what
+    one has more of, and what it has less of, are each at most the number of edits."""
+    most = np.maximum(*n)
+    apart = counts[0].astype(np.int32) - counts[1]
+    least = np.maximum(np.maximum(apart, 0).sum(-1), np.maximum(-apart, 0).sum(-1))
+    return (np.minimum(*n) >= SIMILAR * most) & (least <= (1 - SIMILAR) * most + 1e-9)
+
+
 #: Names a row beside its id: rows of one id may differ.
 def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -313,7 +334,9 @@ def line_groups(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text:
 
     def plain(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(x) for x in batch.column(1).to_pylist()], pa.string())], ["id", "norm"])
+            norm = [normalised(x) for x in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(map(len, norm), pa.int32()), pa.array(map(letter_counts, norm), pa.binary()), pa.array(norm, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "counts", "norm"])
 
     def check(pairs):
         if not texts:  # of the lines that have any neighbour
@@ -322,21 +345,28 @@ def line_groups(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text:
             held = _told(docs, id_col, text).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).withColumn("parts", F.split("text", "\n", -1))
             lines = held.select("parts", F.explode("ask").alias("a")).select(F.col("a.h").alias("id"), F.get("parts", F.col("a.at")).alias("line"))
             once = lines.dropDuplicates(["id"])  # repeated rows ask twice
-            texts.append(cut(once.mapInArrow(plain, "id long, norm string"), "texts"))
-        told = lambda x: texts[0].select(F.col("id").alias(x), F.col("norm").alias(f"t{x}"))
+            texts.append(cut(once.mapInArrow(plain, "id long, n int, counts binary, norm string"), "texts"))
+        told = lambda x, *columns: texts[0].select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+        def near(batches):
+            bags = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 64)
+            for batch in filter(len, batches):
+                ok = within((batch.column(2).to_numpy(), batch.column(3).to_numpy()), (bags(batch.column(4)), bags(batch.column(5))))
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         def run(batches):
             for batch in batches:
                 ok = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        return pairs.join(told("a"), "a").join(told("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        sized = pairs.join(told("a", "n", "counts"), "a").join(told("b", "n", "counts"), "b").where(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+        left = sized.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(near, "a long, b long")
+        return left.join(told("a", "norm"), "a").join(told("b", "norm"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(run, "a long, b long")
 
-    def compare(c, keys, norm):
+    def compare(c, keys, n, counts, norm):
         c = np.unique(np.array(c), return_inverse=True)[1]
         common = np.bincount(c).argmax()  # two rows of the largest component need no test
-        size = np.array([len(x) for x in norm])
-        bags = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64) for x in norm], np.int32)
+        size, bags = np.array(n), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, 64)
         flat = np.concatenate([np.array(k, np.int64) for k in keys])
         name = np.unique(flat, return_inverse=True)[1]
         row = np.repeat(np.arange(len(c)), [len(k) for k in keys])
@@ -345,16 +375,13 @@ def line_groups(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text:
         lead = c == common
         for i in np.flatnonzero(~lead):
             near = np.unique(np.concatenate([held[first[k] : first[k + 1]] for k in own[i]]))
-            near = near[(lead[near] | (near > i)) & (c[near] != c[i]) & (np.minimum(size[near], size[i]) >= SIMILAR * np.maximum(size[near], size[i]))]
-            # Half the difference of two letter counts, more or less, bounds the edits from below.
-            apart = bags[near] - bags[i]
-            least = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1))
-            for j in near[least <= (1 - SIMILAR) * np.maximum(size[near], size[i]) + 1e-9]:
+            near = near[(lead[near] | (near > i)) & (c[near] != c[i])]
+            for j in near[within((size[near], size[i]), (bags[near], bags[i]))]:
                 if c[j] != c[i] and similar(norm[i], norm[j]):
                     c[c == c[i]] = c[j]
                     yield i, j
 
-    label = settle(shared, check, lambda members: block_links(members, texts[0], ["norm"], compare))
+    label = settle(shared, check, lambda members: block_links(members, texts[0], ["n", "counts", "norm"], compare))
     grouped = distinct.join(label, F.col("h") == F.col("id"), "left").select("h", "first", "n", F.coalesce("component_id", "h").alias("g"))
     total = grouped.groupBy("g").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("g", "first")
     found = cut(grouped.select("h", "g").join(total, "g").select("h", "first"), "groups")
@@ -372,7 +399,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     is that of (doc_id, th, place), a null id first; rows that repeat id and text are one
     row and keep the same lines. Other columns are ignored.
 
-    Scale: a line is a hash and about 15 keys; texts move once, and only lines that share
+    Scale: a line is a hash and 24 keys, a short one about 40; texts move once, and only lines that share
     a key are stored. Long buckets are settled as groups.py says.
     """
     seen = cut(occurrences(docs, id_col, text), "occurrences")

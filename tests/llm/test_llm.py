@@ -467,6 +467,26 @@ def test_line_recall(spark):
     assert got <= gone and len(gone) > 150 and len(got) >= 0.98 * len(gone)
 
 
+@pytest.mark.parametrize("share, least", [(0.03, 0.95), (0.05, 0.9), (0.08, 0.4)])
+@pytest.mark.parametrize("n", [20, 40, 70, 80, 120, 300, 1000])
+def test_line_scattered(n, share, least):
+    """Letters changed, lost and added all over the line leave a common key; lengths and
+    letter counts never rule a similar pair out."""
+    rng, hasher, found = random.Random(n), line_dedup.Hasher(), []
+    while len(found) < 200:
+        x = prose(rng, n // 3)[:n].strip()
+        y = list(x)
+        for at in rng.sample(range(len(y)), max(1, int(len(y) * share))):
+            y[at] = rng.choice([rng.choice("abcdefghijklmnopqrstuvwxyz"), "", y[at] + "e"])
+        x, y = line_dedup.normalised(x), line_dedup.normalised("".join(y))
+        if x != y and min(len(x), len(y)) >= line_dedup.SHORTEST and line_dedup.similar(x, y):
+            _, _, _, of, keys = line_dedup.line_facts([x, y], hasher)
+            found.append(bool(set(keys[of == 0]) & set(keys[of == 1])))
+            counts = [np.frombuffer(line_dedup.letter_counts(t), np.uint8) for t in (x, y)]
+            assert line_dedup.within((np.array(len(x)), np.array(len(y))), tuple(counts))
+    assert np.mean(found) >= least
+
+
 def test_line_gaps():
     """Any one stretch of edits of up to a tenth in a short line leaves a common key."""
     rng, hasher = random.Random(3), line_dedup.Hasher()
