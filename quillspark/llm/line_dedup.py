@@ -21,6 +21,7 @@ group the first occurrence stays.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ LONG = (6, 24)  # the same of lines from GAP on
 CHUNK = 1 << 16  # characters at a time: their arrays stay in the processor's cache
 SIMILAR = 0.9
 SYNC = 8
+PASSES = 4  # over the keys, so that the shuffle of a pass is a quarter of them
 SHORTEST = 16  # normalised characters; shorter lines are linked with equal ones only
 
 
@@ -321,15 +323,27 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, keys array<long>")
 
 
-def line_groups(docs: DataFrame, seen: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def buckets(seen: DataFrame) -> DataFrame:
+    """(key, id, hub) of the keys that several lines have; hub is the smallest of them.
+
+    Equal lines of different batches meet here and are one id again. The keys are dealt by
+    their value into passes, each of which frees its shuffle before the next one begins.
+    """
+    keys = seen.select(F.col("h").alias("id"), F.explode("keys").alias("key")).select("key", "id")
+    bucket, parts = Window.partitionBy("key"), []
+    for i in range(PASSES):
+        met = keys.where(F.pmod("key", F.lit(PASSES)) == i).select("key", "id", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("top"))
+        parts.append(cut(met.where("hub <> top").select("key", "id", "hub").dropDuplicates(["key", "id"]), "pass"))
+    out = cut(reduce(DataFrame.union, parts), "buckets")
+    drop(*parts)
+    return out
+
+
+def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(h, first): for each normalised line that occurs again, exactly or nearly, its hash
-    and the first occurrence (doc_id, th, at) of its group. seen: occurrences() of docs."""
+    and the first occurrence (doc_id, th, at) of its group. seen: occurrences() of docs;
+    shared: buckets() of them."""
     distinct = cut(seen.groupBy("h").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
-
-    # One shuffle; equal lines of different batches meet here and are one id again.
-    bucket = Window.partitionBy("key")
-    met = seen.select(F.col("h").alias("id"), F.explode("keys").alias("key")).select("key", "id", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("top"))
-    shared = cut(met.where("hub <> top").select("key", "id", "hub").dropDuplicates(["key", "id"]), "buckets")
     texts: list[DataFrame] = []
 
     def plain(batches):
@@ -402,8 +416,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Scale: a line is a hash and 24 keys, a short one about 40; texts move once, and only lines that share
     a key are stored. Long buckets are settled as groups.py says.
     """
-    seen = cut(occurrences(docs, id_col, text), "occurrences")
-    found = seen.select("doc_id", "th", "at", "h").join(line_groups(docs, seen, id_col, text), "h")
+    keyed = cut(occurrences(docs, id_col, text), "occurrences")
+    seen, shared = cut(keyed.drop("keys"), "places"), buckets(keyed)
+    drop(keyed)
+    found = seen.join(line_groups(docs, seen, shared, id_col, text), "h")
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.at") == F.col("at"))
     return found.where(~own).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
