@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .util import cut, stored, table
 
@@ -136,7 +137,7 @@ def search(rows: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
     Queries are the rows whose id is divisible by `every`; all rows but the query's own
     are candidates; nearness is the inner product in double precision, ties go to the
     smaller id. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do null ids; candidates of a query are the vectors of its length; other
+    no part, nor do null ids; ids that are no integers raise a TypeError; candidates of a query are the vectors of its length; other
     columns are ignored; an empty table has no result. With fewer candidates than k all
     that are found are returned. Rows that repeat an id are one candidate each.
 
@@ -145,7 +146,9 @@ def search(rows: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
     smallest ids, so a hot vector costs as much as any other. The driver gets one row for
     each length and at most SAMPLE vectors. The work grows with queries x probed lists.
     """
-    spark = rows.sparkSession
+    spark, ids = rows.sparkSession, rows.schema[id_col].dataType
+    if not isinstance(ids, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, not {ids.simpleString()}")
     valid = _valid(rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v")), "v").where("vec_id is not null")
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     lengths = [tuple(r) for r in valid.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy("d").collect()]
@@ -233,4 +236,6 @@ def search(rows: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id",
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose vec_id is divisible by 20: query_id, rank, vec_id,
+    score. Null, zero and unfit vectors take no part; see search()."""
     return search(table(spark, sf_dir, "embeddings"))

@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_shingles, component_id, kept. Null and blank texts have no
+    shingles and are linked with nothing; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

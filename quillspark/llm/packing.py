@@ -146,6 +146,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, a row for each piece; a null text is its
+    end token alone; see pack()."""
     return pack(table(spark, sf_dir, "documents"))
 
 

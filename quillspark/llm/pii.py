@@ -214,6 +214,8 @@ def listed(spans: str) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, counts of base spans for each kind, base_sha256, spans. Null and
+    empty texts have none; see find_spans()."""
     spans = find_spans(table(spark, sf_dir, "documents"))
     n = lambda k: F.size(F.filter("base", lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return spans.select("doc_id", *map(n, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
@@ -232,7 +234,11 @@ def redacted(t: Column, spans: str) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; personal data in their texts is replaced by marks."""
+    """All documents; personal data in their texts is replaced by marks.
+
+    Null and empty texts stay as they are. Each row is judged by its own text, so repeated
+    rows, ties and null ids need no rule and no row goes. All columns of docs are kept.
+    """
     other = [c for c in docs.columns if c not in ("text", "n_chars")]
     packed = docs.select(F.struct("text", *other).alias("row"), "text")
     spans = find_spans(packed, "row", "text")

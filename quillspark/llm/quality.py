@@ -91,6 +91,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, counts of the rules, base_failed, kept. A null text has no words
+    and fails; see judge()."""
     return judge(table(spark, sf_dir, "documents")).drop("host", "th", "frequent")
 
 

@@ -343,6 +343,8 @@ def removed(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text has no
+    bytes; see removed()."""
     return removed(table(spark, sf_dir, "documents"))
 
 

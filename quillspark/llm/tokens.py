@@ -282,4 +282,6 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256.
+    A null text has no tokens; see round_trip()."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -79,6 +79,8 @@ def rules_frame(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages: page_id, host, path, rule, verdict. A null url has an empty host and path;
+    see judge()."""
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from contextvars import ContextVar
 from functools import wraps
 
@@ -63,6 +64,10 @@ def write_out(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     _cleanup(spark, 1)
     try:
         df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        with suppress(Exception):  # the session itself may be gone
+            forget(spark, path)
+        raise
     finally:
         _cleanup(spark, -1)
     out = spark.read.schema(df.schema).parquet(path)
@@ -95,16 +100,18 @@ def drop(*tables: DataFrame) -> None:
 
 
 def stored(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Store the operator's result and delete every other table that it has written."""
+    """Store the operator's result and delete every other table that it has written, also
+    when it raises."""
 
     @wraps(operator)
     def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
         token = _held.set([])
         try:
             result, path = write_out(operator(docs, *args, **kwargs), operator.__name__)
-            for p in _held.get():
-                forget(docs.sparkSession, p)
         finally:
+            with suppress(Exception):  # the session itself may be gone
+                for p in _held.get():
+                    forget(docs.sparkSession, p)
             _held.reset(token)
         if (outer := _held.get()) is not None:
             outer.append(path)

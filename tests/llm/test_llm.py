@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,8 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import ann, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter
+from quillspark.llm import ann, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter, util
 
 WORDS = ["thea", "onre", "ingha", "tion", "erst", "whand", "lyesha", "ouble", "shin", "ored", "é", "naïve,"]
 
@@ -487,6 +489,31 @@ def test_line_scattered(n, share, least):
     assert np.mean(found) >= least
 
 
+def test_nearest_ids(spark):
+    """Ids that are no integers are refused, not lost."""
+    with pytest.raises(TypeError, match="integer"):
+        ann.search(spark.createDataFrame([("a", [1.0, 2.0])], "vec_id string, embedding array<double>"))
+
+
+def test_scratch_after_error(spark):
+    """An operator that raises, itself or in its last job, leaves no table behind."""
+    folder = util.scratch(spark)
+    held = lambda: sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+    @util.stored
+    def broken(docs, late):
+        util.cut(docs, "inner")
+        if not late:
+            raise ValueError("no")
+        return docs.select(F.raise_error(F.lit("no")).alias("x"))
+
+    before = held()
+    for late in (False, True):
+        with pytest.raises(Exception, match="no"):
+            broken(spark.range(3), late)
+    assert held() == before
+
+
 def test_line_gaps():
     """Any one stretch of edits of up to a tenth in a short line leaves a common key."""
     rng, hasher = random.Random(3), line_dedup.Hasher()
