@@ -20,6 +20,7 @@ group the first occurrence stays.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from functools import reduce
 
@@ -395,7 +396,14 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
                     c[c == c[i]] = c[j]
                     yield i, j
 
-    label = settle(shared, check, lambda members: block_links(members, texts[0], ["n", "counts", "norm"], compare))
+    def rest(members):
+        # Lengths of a link differ by a tenth at most, so by one class: two classes meet in
+        # the group of the upper one, and a large cluster falls into many groups.
+        step = F.floor(F.log("n") / (math.log(1 / SIMILAR) + 1e-6))
+        classed = members.join(texts[0].select("id", "n"), "id").withColumn("class", F.explode(F.array(step, step + 1)))
+        return block_links(classed.select(F.xxhash64("key", "class").alias("key"), "id", "c", "keys"), texts[0], ["n", "counts", "norm"], compare)
+
+    label = settle(shared, check, rest)
     grouped = distinct.join(label, F.col("h") == F.col("id"), "left").select("h", "first", "n", F.coalesce("component_id", "h").alias("g"))
     total = grouped.groupBy("g").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("g", "first")
     found = cut(grouped.select("h", "g").join(total, "g").select("h", "first"), "groups")
