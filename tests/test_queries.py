@@ -3,8 +3,11 @@
 import sys
 
 import duckdb
+import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from quillspark.operators.index import InvertedIndex
 from quillspark.plans import catalog
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,3 +30,58 @@ def test_pages_cut_within_an_entity(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = by_spark(spark, tmp_path, "tokenize_pages")
     assert got == by_sql(tmp_path, "tokenize_pages", "pages")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def shuffled(spark, work):
+    """What some work returns and the bytes that it shuffled."""
+    sc = spark.sparkContext
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    return work(), total() - before
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@pytest.mark.parametrize("segment", [100, 2_000_000])
+def test_postings_hold_the_texts_and_are_not_shuffled(spark, docs, monkeypatch, tmp_path, segment):
+    monkeypatch.setattr("quillspark.operators.index.SEGMENT", segment)
+    docs.repartition(4).write.parquet(f"{tmp_path}/docs")
+    spread = spark.read.parquet(f"{tmp_path}/docs")
+    index, moved = shuffled(spark, lambda: InvertedIndex.build(spread))
+    assert moved < 2_000  # the numbers of all rows, for the mean length
+    one = index.postings.select("term", F.explode(F.arrays_zip("rows", "tfs", "lens")).alias("p")).select("term", "p.*")
+    two = index.forward.select(F.explode("tfs").alias("term", "tf"), "row", "len").select("term", F.col("row").alias("rows"), F.col("tf").alias("tfs"), F.col("len").alias("lens"))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and not one.isEmpty()
+    assert index.postings.where("n <> size(rows) or max_tf <> array_max(tfs) or min_len <> array_min(lens) or n > 128").isEmpty()
+
+
+def test_frequencies_of_rows_are_not_shuffled(spark, docs, items):
+    index = InvertedIndex.build(docs)
+    _, moved = shuffled(spark, lambda: index.search(items, 1))
+    many = docs.select((F.col("chunk_id") + 1_000_000).alias("chunk_id"), F.lit("unasked " * 20).alias("text"), "source")
+    other = InvertedIndex.build(docs.union(many.withColumn("text", F.concat("text", F.col("chunk_id").cast("string")))))
+    _, more = shuffled(spark, lambda: other.search(items, 1))
+    assert more < 1.5 * moved  # rows that no query asks for move nothing
+
+
+def test_filter_goes_before_the_sums(spark, docs, items):
+    index = InvertedIndex.build(docs)
+    _, all_rows = shuffled(spark, lambda: index.search(items, 5, share=0.0, seeds=0))
+    _, some = shuffled(spark, lambda: index.search(items, 5, share=0.0, seeds=0, where=F.col("source") == "src3"))
+    assert some < 0.7 * all_rows
