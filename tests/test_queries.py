@@ -7,6 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from quillspark.operators import evaluation as M
 from quillspark.operators.index import InvertedIndex
 from quillspark.plans import catalog
 
@@ -85,3 +86,16 @@ def test_filter_goes_before_the_sums(spark, docs, items):
     _, all_rows = shuffled(spark, lambda: index.search(items, 5, share=0.0, seeds=0))
     _, some = shuffled(spark, lambda: index.search(items, 5, share=0.0, seeds=0, where=F.col("source") == "src3"))
     assert some < 0.7 * all_rows
+
+
+def test_passages_meet_texts_where_they_are(spark, docs, items):
+    passages = items.withColumnRenamed("query", "passage")
+    found, moved = shuffled(spark, lambda: sorted((r.query_id, r.chunk_id) for r in M.containing(docs, passages, "chunk_id").collect()))
+    assert found == sorted((r.query_id, r.chunk_id) for r in docs.join(passages, F.col("text").contains(F.col("passage"))).collect())
+    assert moved < 0.2 * docs.agg(F.sum(F.length("text"))).first()[0]
+    # More passages than are broadcast give the same.
+    M.PASSAGES, kept = 0, M.PASSAGES
+    try:
+        assert sorted((r.query_id, r.chunk_id) for r in M.containing(docs, passages, "chunk_id").collect()) == found
+    finally:
+        M.PASSAGES = kept
