@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .lexical import check, rank
 from .vectors import held
 
+HITS = 500_000  # hits that are broadcast to their chunks
+
 
 class Retriever(Protocol):
     """queries (query_id, query, ...), top_k -> hits (query_id, chunk_id, score, rank)."""
@@ -50,8 +52,10 @@ def hybrid_retriever(sparse: Retriever, dense: Retriever, rrf_k: int = 60, candi
 
 
 def with_payload(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Hits with the columns of their chunks."""
-    return hits.join(chunks.select("chunk_id", *columns), "chunk_id")
+    """Hits with the columns of their chunks. Up to HITS hits go to the chunks, which stay where
+    they are; they are counted first, so hits should be cheap to make again."""
+    few = hits.count() <= HITS
+    return (F.broadcast(hits) if few else hits).join(chunks.select("chunk_id", *columns), "chunk_id")
 
 
 def scorer(score: Callable[[str, list[str]], list[float]]) -> Callable[[Column, Column], Column]:

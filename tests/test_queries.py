@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluation as M
+from quillspark.operators import fusion as R
 from quillspark.operators.index import InvertedIndex
 from quillspark.plans import catalog
 
@@ -99,3 +100,13 @@ def test_passages_meet_texts_where_they_are(spark, docs, items):
         assert sorted((r.query_id, r.chunk_id) for r in M.containing(docs, passages, "chunk_id").collect()) == found
     finally:
         M.PASSAGES = kept
+
+
+def test_hits_go_to_the_texts(spark, docs):
+    hits = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "query_id long, chunk_id long").join(docs.select("chunk_id").distinct(), "chunk_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = shuffled(spark, lambda: R.with_payload(hits, docs, ["text"]).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 3 and moved < 0.2 * docs.agg(F.sum(F.length("text"))).first()[0]
