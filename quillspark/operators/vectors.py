@@ -21,6 +21,8 @@ from quillspark.sources.scratch import Kept
 from .lexical import check, rank
 
 BLOCK = 1 << 22  # components of queries that are broadcast at once (32 MB)
+SCORES = 1 << 21  # products of a batch that a task holds at once (16 MB)
+PAIRS = 1 << 16  # pairs of vectors whose products are added in order at once (64 MB at 64 components)
 
 
 class Encoder(Protocol):
@@ -118,11 +120,19 @@ def _cosines(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
 
 
+def _first(t: pa.Table, k: int) -> pa.Table:
+    """The k best rows (query, id, score) of each query, in order."""
+    t = t.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    query = t["query"].to_numpy()
+    return t.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) < k))
+
+
 def nearest_in(batch: pa.RecordBatch, asked: dict, floor: np.ndarray, k: int, probing: dict[int, np.ndarray] | None = None) -> pa.Table | None:
     """(query, id, score): the k best rows of a batch (id, vector[, list]) for each query.
 
     One matrix product picks the rows that can be among them; their scores are then added in
     order, so that equal vectors tie. floor holds for each query a score that k rows reach.
+    At most SCORES products are held at once, however many queries there are.
     """
     column = batch.column(1)
     size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
@@ -139,21 +149,23 @@ def nearest_in(batch: pa.RecordBatch, asked: dict, floor: np.ndarray, k: int, pr
             mine = np.arange(len(places)) if probing is None else np.flatnonzero(np.isin(places, probing.get(one, [])))
             if not len(mine) or not len(at):
                 continue
-            score = _cosines(q[mine] @ x[at].T, qn[mine][:, None], xn[at])
-            need = floor[places[mine]]
-            if len(at) > k:
-                need = np.maximum(need, np.partition(score, len(at) - k, 1)[:, -k])
-            i, j = np.nonzero(score >= need[:, None] - 1e-9)
-            i, j = mine[i], at[j]
-            found.append((places[i], rows[j], _cosines(folded(q[i], x[j]), qn[i], xn[j])))
+            step = max(1, SCORES // len(at))
+            for some in (mine[s : s + step] for s in range(0, len(mine), step)):
+                score = _cosines(q[some] @ x[at].T, qn[some][:, None], xn[at])
+                need = floor[places[some]]
+                if len(at) > k:
+                    need = np.maximum(need, np.partition(score, len(at) - k, 1)[:, -k])
+                i, j = np.nonzero(score >= need[:, None] - 1e-9)
+                i, j = some[i], at[j]
+                cuts = range(0, len(i), PAIRS)
+                exact = [_cosines(folded(q[i[c : c + PAIRS]], x[j[c : c + PAIRS]]), qn[i[c : c + PAIRS]], xn[j[c : c + PAIRS]]) for c in cuts]
+                t = pa.table({"query": places[i], "id": batch.column(0).take(pa.array(rows[j])), "score": np.concatenate([np.zeros(0), *exact])})
+                found.append(_first(t, k) if len(i) > k * len(some) else t)  # many only where rows tie
     if not found:
         return None
-    query, row, score = (np.concatenate(c) for c in zip(*found, strict=True))
-    t = pa.table({"query": query, "id": batch.column(0).take(pa.array(row)), "score": score}).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+    t = _first(pa.concat_tables(found), k)
     query = t["query"].to_numpy()
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    t = t.filter(pa.array(place < k))
-    last = t.filter(pa.array(place[place < k] == k - 1))
+    last = t.filter(pa.array(np.arange(len(query)) - np.searchsorted(query, query) == k - 1))
     at = last["query"].to_numpy()
     floor[at] = np.maximum(floor[at], last["score"].to_numpy())
     return t
