@@ -32,15 +32,21 @@ def mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2")
 
 
-def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame], pairs: DataFrame | None = None, clustered: bool = True) -> DataFrame:
     """(id, component_id) of all linked ids.
 
     check keeps the pairs (a, b) that are links; rest finds links between different
     components among members (key, id, c, keys) of mixed buckets: key names a cluster of
     buckets, keys are the member's own ones. It finds at least one link for any two
     components that one cluster holds a link of between members that share a bucket.
+    pairs (a, b) with a < b are checked besides. Where buckets chain up into few clusters,
+    whose blocks would grow with their square, clustered=False has rest take each bucket for
+    itself.
     """
-    tried = cut(shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")), "tried")
+    tried = shared.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    if pairs is not None:
+        tried = tried.union(pairs).distinct()
+    tried = cut(tried, "tried")
     links = cut(check(tried), "links")
     label = components(links)
     for draw in range(1, DRAWS + 2):
@@ -59,11 +65,15 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
             more = members.where("size > 2")  # the pair of a bucket of two has been tried
             if more.isEmpty():
                 break
-            # Buckets that share members are one cluster: a pair meets once, not in each of them.
-            least = more.groupBy("key").agg(F.min("id").alias("b"))
-            cluster = components(more.select("key", F.col("id").alias("a")).join(least, "key").select("a", "b"))
             met = more.groupBy("id", "c").agg(F.collect_set("key").alias("keys"))
-            found = cut(rest(met.join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c", "keys")), "links")
+            if clustered:
+                # Buckets that share members are one cluster: a pair meets once, not in each of them.
+                least = more.groupBy("key").agg(F.min("id").alias("b"))
+                cluster = components(more.select("key", F.col("id").alias("a")).join(least, "key").select("a", "b"))
+                asked = met.join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c", "keys")
+            else:
+                asked = met.select(F.explode("keys").alias("key"), "id", "c", "keys")
+            found = cut(rest(asked), "links")
         drop(members)
         if not found.isEmpty():
             links = links.union(found)

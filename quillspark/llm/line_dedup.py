@@ -13,20 +13,20 @@ instead parts of the line that an edit leaves whole:
 - of lines under GAP characters also a prefix with a suffix around one stretch of edits:
   any one stretch of up to a tenth of the line is found.
 
-Many pairs that share a band are no links; their lengths and letter counts, which bound
-the edits from below, rule nearly all of them out before any text moves. Of each connected
-group the first occurrence stays.
+Keys travel as packed numbers and meet in parts, so that a key costs 12 bytes of shuffle and
+no row. Lines of a small bucket are paired there; many pairs that share a band are no links,
+and their lengths, which are a part of a line's hash, rule half of them out before any text
+moves, letter counts most of the others. Of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .groups import block_links, settle
@@ -40,7 +40,12 @@ LONG = (6, 24)  # the same of lines from GAP on
 CHUNK = 1 << 16  # characters at a time: their arrays stay in the processor's cache
 SIMILAR = 0.9
 SYNC = 8
-PASSES = 4  # over the keys, so that the shuffle of a pass is a quarter of them
+SEGMENT = 1 << 20  # keys packed at once
+PARTS, PART = 256, 1 << 20  # parts of the keys at least, and keys in one at most (about)
+SMALL = 16  # lines of a bucket that are all paired at once; larger ones are settled
+SIZES = 1023  # the bits of a line's hash that hold the class of its length
+STEP = math.log(1.016)  # between the classes
+APART = int(math.log(1 / SIMILAR) / STEP) + 1  # classes between linked lines at most
 SHORTEST = 16  # normalised characters; shorter lines are linked with equal ones only
 
 
@@ -145,9 +150,11 @@ def _numbered(grams: np.ndarray, line: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_facts(texts: list[str], hasher: Hasher) -> tuple[np.ndarray, ...]:
+def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None) -> tuple[np.ndarray, ...]:
     """(text, place in the text, hash) of the lines that hold a letter or number, and (of,
-    key): the join keys of line `of`, for the first of equal lines, in order of lines."""
+    key): the join keys of line `of`, for the first of equal lines, in order of lines; not of
+    the hashes in `known`, which takes up the others. The low bits of a hash are the class of
+    the line's length."""
     counts = np.array([t.count("\n") + 1 for t in texts])
     raw = _codes("\n".join(texts))
     letter = raw > 32
@@ -168,6 +175,7 @@ def line_facts(texts: list[str], hasher: Hasher) -> tuple[np.ndarray, ...]:
     letters = _letters()[codes]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * hasher.up[: len(codes)])))
     h = mix(mix((total[z] - total[a]) * hasher.down[a]) ^ size.astype(np.uint64))
+    h = h & np.uint64(~SIZES & (1 << 64) - 1) | np.minimum(np.log(size) / STEP, SIZES).astype(np.uint64)
     line = of_word[first]
     text = np.repeat(np.arange(len(texts)), counts)[line]
     place = line - np.concatenate(([0], np.cumsum(counts)[:-1]))[text]
@@ -177,7 +185,10 @@ def line_facts(texts: list[str], hasher: Hasher) -> tuple[np.ndarray, ...]:
         owners.append(np.repeat(of, found.shape[1]))
         keys.append(found.ravel())
 
-    once = np.unique(h, return_index=True)[1]
+    names, once = np.unique(h, return_index=True)
+    if known is not None:
+        once = once[[x not in known for x in names.tolist()]]
+        known.update(names.tolist())
     of = np.sort(once[(size[once] >= SHORTEST) & (size[once] * SIMILAR < GAP)])
     if len(of):
         held, first_gap, (before, behind, name) = _all_gaps()
@@ -288,6 +299,10 @@ def letter_counts(text: str) -> bytes:
     return np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def _bags(counts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, 64)
+
+
 def within(n: tuple[np.ndarray, np.ndarray], counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """False where lengths or letter counts alone show that two texts are not similar: what
     one has more of, and what it has less of, are each at most the number of edits."""
@@ -304,18 +319,20 @@ def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc_id, th (hash of the text), at (place of the line), h, keys (empty where an equal
-    line near by has them); of the lines that hold a letter or number."""
+    line of the task has them); of the lines that hold a letter or number."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        hasher = Hasher()
+        hasher, known = Hasher(), set()
         for batch in batches:
             texts, held, size = batch.column(2), [], 0
+            if len(known) > SEGMENT:
+                known.clear()
             for i in range(batch.num_rows):
                 held.append(texts[i].as_py() or "")
                 size += len(held[-1])
                 if size >= CHUNK or i + 1 == batch.num_rows:
-                    at, place, h, owner, key = line_facts(held, hasher)
+                    at, place, h, owner, key = line_facts(held, hasher, known)
                     rows = pa.array(at + (i + 1 - len(held)))
                     ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(h))))).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(key))], ["doc_id", "th", "at", "h", "keys"])
@@ -324,20 +341,90 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, keys array<long>")
 
 
+def met(part: int, key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the keys of one part: (a, b) of the lines that share a bucket of at most SMALL and
+    are of like length; and (key, line, hub) of the larger buckets."""
+    order = np.argsort(key)
+    key, line = key[order], line[order]
+    same = np.concatenate(([False], key[1:] == key[:-1], [False]))
+    key, line = key[same[1:] | same[:-1]], line[same[1:] | same[:-1]]
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    new = np.ones(len(key), bool)  # equal lines of several tasks meet here and are one again
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[new], line[new]
+    first = np.flatnonzero(np.concatenate((np.ones(len(key[:1]), bool), key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    a, b = [line[:0]], [line[:0]]
+    for n in range(2, SMALL + 1):
+        at, (i, j) = first[size == n][:, None], np.triu_indices(n, 1)
+        x, y = line[at + i].ravel(), line[at + j].ravel()
+        like = np.abs((x & SIZES) - (y & SIZES)) <= APART
+        a.append(x[like])
+        b.append(y[like])
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    large = np.repeat(size > SMALL, size)
+    return a[new], b[new], (key[large].astype(np.int64) | part << 32), line[large], np.repeat(line[first], size)[large]
+
+
 def buckets(seen: DataFrame) -> DataFrame:
-    """(key, id, hub) of the keys that several lines have; hub is the smallest of them.
+    """(key, a, b) of the keys that several lines have: without a key the pairs of small
+    buckets, with it the lines b of a large one and its hub a, the smallest of them.
 
-    Equal lines of different batches meet here and are one id again. The keys are dealt by
-    their value into passes, each of which frees its shuffle before the next one begins.
+    The keys are dealt by their value into parts that grow in number with the keys. 32 bits
+    and the part tell keys apart: two that fall together make pairs that are no links.
     """
-    keys = seen.select(F.col("h").alias("id"), F.explode("keys").alias("key")).select("key", "id")
-    bucket, parts = Window.partitionBy("key"), []
-    for i in range(PASSES):
-        met = keys.where(F.pmod("key", F.lit(PASSES)) == i).select("key", "id", F.min("id").over(bucket).alias("hub"), F.max("id").over(bucket).alias("top"))
-        parts.append(cut(met.where("hub <> top").select("key", "id", "hub").dropDuplicates(["key", "id"]), "pass"))
-    out = cut(reduce(DataFrame.union, parts), "buckets")
-    drop(*parts)
-    return out
+    total = seen.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(PARTS, -(-total // PART))
+
+    def deal(batches):
+        held, size = [], 0
+
+        def packed():
+            line, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            key = key.view(np.uint64)
+            part = (key >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            key, line = key[order].astype(np.uint32), line[order]
+            some = np.flatnonzero(np.diff(ends))
+            cells = [(key[ends[p] : ends[p + 1]].tobytes(), line[ends[p] : ends[p + 1]].tobytes()) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["part", "keys", "lines"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            own = np.diff(lists.offsets.to_numpy())
+            held.append((np.repeat(batch.column(0).to_numpy(), own), lists.flatten().to_numpy()))
+            size += len(held[-1][0])
+            if size >= SEGMENT:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    def meet(batches):
+        def found():
+            a, b, key, line, hub = met(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            keys = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key)])
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate((a, hub))), pa.array(np.concatenate((b, line)))], ["key", "a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for part, keys, lines in zip(*batch.columns, strict=True):
+                if held and part.as_py() != now:
+                    yield found()
+                    held = []
+                now = part.as_py()
+                held.append((np.frombuffer(keys.as_buffer(), np.uint32), np.frombuffer(lines.as_buffer(), np.int64)))
+        if held:
+            yield found()
+
+    dealt = seen.where(F.size("keys") > 0).select("h", "keys").mapInArrow(deal, "part long, keys binary, lines binary")
+    return cut(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
 def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,60 +437,52 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
     def plain(batches):
         for batch in batches:
             norm = [normalised(x) for x in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(map(len, norm), pa.int32()), pa.array(map(letter_counts, norm), pa.binary()), pa.array(norm, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "counts", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(letter_counts, norm), pa.binary()), pa.array(norm, pa.string())], ["id", "counts", "norm"])
 
     def check(pairs):
         if not texts:  # of the lines that have any neighbour
-            ids = shared.select("id").distinct()
+            ids = shared.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             places = distinct.join(ids, F.col("h") == F.col("id"), "left_semi").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "h")).alias("ask"))
             held = _told(docs, id_col, text).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).withColumn("parts", F.split("text", "\n", -1))
             lines = held.select("parts", F.explode("ask").alias("a")).select(F.col("a.h").alias("id"), F.get("parts", F.col("a.at")).alias("line"))
             once = lines.dropDuplicates(["id"])  # repeated rows ask twice
-            texts.append(cut(once.mapInArrow(plain, "id long, n int, counts binary, norm string"), "texts"))
-        told = lambda x, *columns: texts[0].select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-
-        def near(batches):
-            bags = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 64)
-            for batch in filter(len, batches):
-                ok = within((batch.column(2).to_numpy(), batch.column(3).to_numpy()), (bags(batch.column(4)), bags(batch.column(5))))
-                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            texts.append(cut(once.mapInArrow(plain, "id long, counts binary, norm string"), "texts"))
+        told = lambda x: texts[0].select(F.col("id").alias(x), F.col("counts").alias(f"counts_{x}"), F.col("norm").alias(f"norm_{x}"))
 
         def run(batches):
-            for batch in batches:
-                ok = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            for batch in filter(len, batches):
+                norm = [batch.column(i).to_pylist() for i in (4, 5)]
+                may = within(tuple(np.array(list(map(len, x))) for x in norm), (_bags(batch.column(2).to_pylist()), _bags(batch.column(3).to_pylist())))
+                ok = [bool(m) and similar(x, y) for m, x, y in zip(may, *norm, strict=True)]
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        sized = pairs.join(told("a", "n", "counts"), "a").join(told("b", "n", "counts"), "b").where(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
-        left = sized.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(near, "a long, b long")
-        return left.join(told("a", "norm"), "a").join(told("b", "norm"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(run, "a long, b long")
+        size = lambda x: F.col(x).bitwiseAND(F.lit(SIZES))
+        like = pairs.where(F.abs(size("a") - size("b")) <= APART)
+        return like.join(told("a"), "a").join(told("b"), "b").select("a", "b", "counts_a", "counts_b", "norm_a", "norm_b").mapInArrow(run, "a long, b long")
 
-    def compare(c, keys, n, counts, norm):
+    def compare(c, keys, counts, norm):
         c = np.unique(np.array(c), return_inverse=True)[1]
         common = np.bincount(c).argmax()  # two rows of the largest component need no test
-        size, bags = np.array(n), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, 64)
-        flat = np.concatenate([np.array(k, np.int64) for k in keys])
-        name = np.unique(flat, return_inverse=True)[1]
-        row = np.repeat(np.arange(len(c)), [len(k) for k in keys])
-        held, first = row[np.argsort(name, kind="stable")], np.searchsorted(np.sort(name), np.arange(name.max() + 2))
-        own = np.split(name, np.cumsum([len(k) for k in keys])[:-1])
-        lead = c == common
+        size, bags = np.array(list(map(len, norm))), _bags(counts)
+        bucket, own = keys[0][0], [set(k[1:]) for k in keys]
+        lead, at = c == common, np.arange(len(c))
         for i in np.flatnonzero(~lead):
-            near = np.unique(np.concatenate([held[first[k] : first[k + 1]] for k in own[i]]))
-            near = near[(lead[near] | (near > i)) & (c[near] != c[i])]
+            near = np.flatnonzero((lead | (at > i)) & (c != c[i]))
             for j in near[within((size[near], size[i]), (bags[near], bags[i]))]:
-                if c[j] != c[i] and similar(norm[i], norm[j]):
+                # A pair is compared in the first of the buckets that it shares.
+                if c[j] != c[i] and min(own[i] & own[j]) == bucket and similar(norm[i], norm[j]):
                     c[c == c[i]] = c[j]
                     yield i, j
 
     def rest(members):
-        # Lengths of a link differ by a tenth at most, so by one class: two classes meet in
-        # the group of the upper one, and a large cluster falls into many groups.
-        step = F.floor(F.log("n") / (math.log(1 / SIMILAR) + 1e-6))
-        classed = members.join(texts[0].select("id", "n"), "id").withColumn("class", F.explode(F.array(step, step + 1)))
-        return block_links(classed.select(F.xxhash64("key", "class").alias("key"), "id", "c", "keys"), texts[0], ["n", "counts", "norm"], compare)
-
-    label = settle(shared, check, rest)
+        # Lengths of a link differ by APART classes at most, so by one step of as many and one:
+        # two steps meet in the group of the upper one.
+        step = F.floor(F.col("id").bitwiseAND(F.lit(SIZES)) / (APART + 1))
+        classed = members.withColumn("step", F.explode(F.array(step, step + 1)))
+        return block_links(classed.select(F.xxhash64("key", "step").alias("key"), "id", "c", F.concat(F.array("key"), "keys").alias("keys")), texts[0], ["counts", "norm"], compare)
+
+    large = shared.where("key is not null").select("key", F.col("b").alias("id"), F.col("a").alias("hub"))
+    label = settle(large, check, rest, shared.where("key is null").select("a", "b"), clustered=False)
     grouped = distinct.join(label, F.col("h") == F.col("id"), "left").select("h", "first", "n", F.coalesce("component_id", "h").alias("g"))
     total = grouped.groupBy("g").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("g", "first")
     found = cut(grouped.select("h", "g").join(total, "g").select("h", "first"), "groups")
@@ -421,8 +500,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     is that of (doc_id, th, place), a null id first; rows that repeat id and text are one
     row and keep the same lines. Other columns are ignored.
 
-    Scale: a line is a hash and 24 keys, a short one about 40; texts move once, and only lines that share
-    a key are stored. Long buckets are settled as groups.py says.
+    Scale: a line is a hash and 24 keys of 12 bytes, a short one about 40 keys; texts move
+    once, and only lines that share a key and are of like length are stored. Buckets of more than
+    SMALL lines are settled as groups.py says.
     """
     keyed = cut(occurrences(docs, id_col, text), "occurrences")
     seen, shared = cut(keyed.drop("keys"), "places"), buckets(keyed)
@@ -443,8 +523,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the removed lines, comma-joined)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
-    out = _joined(docs, "doc_id", "text", "gone")
-    return out.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
+    places = repeated_lines(docs).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone")
+    out = docs.select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_lines")).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter, util
+from quillspark.llm import ann, groups, line_dedup, near_dedup, packing, pii, quality, repeats, sharding, tokens, url_filter, util
 
 WORDS = ["thea", "onre", "ingha", "tion", "erst", "whand", "lyesha", "ouble", "shin", "ored", "é", "naïve,"]
 
@@ -469,6 +469,40 @@ def test_line_recall(spark):
     assert got <= gone and len(gone) > 150 and len(got) >= 0.98 * len(gone)
 
 
+def test_line_buckets(spark, monkeypatch):
+    """Buckets of two are paired at once and larger ones settled; the groups are those of all pairs."""
+    rng = random.Random(17)
+    bases, lines = [prose(rng, 30) for _ in range(3)], []
+    for _ in range(150):
+        w = rng.choice(bases).split(" ")
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + rng.choice(WORDS)
+        lines.append(" ".join(w))
+    names = [line_dedup.normalised(x) for x in lines]
+    want = grouped(range(len(names)), [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if line_dedup.similar(names[i], names[j])])
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    found = line_dedup.buckets(util.cut(line_dedup.occurrences(docs, "doc_id", "text"), "test"))
+    assert found.where("key is null").count() > 0 and found.where("key is not null").count() > 0
+    got = {r.doc_id for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == {i for i, g in want.items() if i != g}
+
+
+def test_settle_chain(spark):
+    """Buckets that chain up are taken one by one: no group of all of them, whose blocks grow
+    with its square."""
+    rows = [(k, i, 2 * k) for k in range(200) for i in (2 * k, 2 * k + 1, 2 * k + 2)]
+    sizes = []
+
+    def rest(members):
+        sizes.extend(r["count"] for r in members.groupBy("key").count().collect())
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+    check = lambda pairs: pairs.where("a = 0 and b = 2")
+    label = groups.settle(spark.createDataFrame(rows, "key long, id long, hub long"), check, rest, spark.createDataFrame([(0, 2)], "a long, b long"), clustered=False)
+    assert {tuple(r) for r in label.collect()} == {(0, 0), (2, 0)} and len(sizes) == 200 and max(sizes) == 3
+
+
 @pytest.mark.parametrize("share, least", [(0.03, 0.95), (0.05, 0.9), (0.08, 0.4)])
 @pytest.mark.parametrize("n", [20, 40, 70, 80, 120, 300, 1000])
 def test_line_scattered(n, share, least):
