@@ -84,7 +84,12 @@ class Codec:
         self.plain = re.compile("[\t\n\r\x20-\x7e\xa0-±´-¸º»¿-ɏ]*")
         self.long = re.compile(rf"(?<!\S)\S{{{leaf}}}|(?<!\s)\s{{{leaf}}}")
         ranks = {b: i for i, b in enumerate(self.bytes) if i not in self.special.values()}
-        self.fast = Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        coder = lambda pattern: Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.fast = coder(public_tokenizers.PATTERN)
+        # Where no two spaces meet, the look ahead at the end of a run of them decides nothing,
+        # and a pattern without it is matched faster.
+        self.quick = coder(public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
+        self.space, self.spaces = re.compile(r"\s"), re.compile(r"\s\s")
         self.gap = re.compile(r"(?<=\S) (?=\S)")
         self.mapped: dict[str, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -136,6 +141,15 @@ class Codec:
             at = m.start()
         yield text[at:] if at else text
 
+    def library(self, text: str) -> Encoding | None:
+        """The faster library's encoder of a text, or None where it may not take it."""
+        if not self.plain.fullmatch(text):
+            return None
+        half = max(1, self.leaf // 2)  # a long piece holds a whole one of these stretches
+        if not self.spaces.search(text) and all(self.space.search(text, i, i + half) for i in range(0, len(text) - half + 1, half)):
+            return self.quick
+        return None if self.long.search(text) else self.fast
+
     def encode(self, text: str) -> list[int]:
         if len(self.mapped) > CACHED:
             self.mapped.clear()
@@ -147,8 +161,8 @@ class Codec:
                 out.append(self.special[part])
                 continue
             for chunk in self.chunks(part):
-                if self.plain.fullmatch(chunk) and not self.long.search(chunk):
-                    out.extend(self.fast.encode_ordinary(chunk))
+                if library := self.library(chunk):
+                    out.extend(library.encode_ordinary(chunk))
                 else:
                     pieces = [p for p, _ in self.split(chunk)]
                     self.learn({p for p in pieces if p not in self.mapped})
@@ -207,8 +221,8 @@ class Codec:
         return out
 
     def encode_array(self, text: str) -> np.ndarray:
-        if len(text) <= CHUNK and self.plain.fullmatch(text) and not self.long.search(text) and not (self.special_at and self.special_at.search(text)):
-            return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        if len(text) <= CHUNK and not (self.special_at and self.special_at.search(text)) and (library := self.library(text)):
+            return library.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
         return np.array(self.encode(text), np.uint32)
 
     def decode(self, ids: list[int]) -> str:

@@ -577,6 +577,24 @@ def test_pii_disguised(spark):
     assert got[50] == ""
 
 
+def test_libraries():
+    """The pattern without look ahead is taken where no spaces meet and no piece is long, and
+    gives the ids of the whole tokenizer."""
+    from tokenizers import Tokenizer
+
+    rng, coder, whole = random.Random(21), tokens.Codec(tokens.vocabulary(), leaf=16), Tokenizer.from_file(tokens.vocabulary())
+    taken = Counter()
+    for _ in range(600):
+        t = "".join(rng.choice(["a", "lye", "é", "7", "42", ",", "'s", "'", " ", " ", "\n", "\xa0", "x" * rng.randint(1, 20), "  "][: rng.choice([12, 13, 14])]) for _ in range(rng.randint(0, 40)))
+        found = coder.library(t)
+        long = max(map(len, re.findall(r"\S+|\s+", t)), default=0) >= 16
+        assert (found is None) == long or not long and found is coder.fast
+        assert found is not coder.quick or not re.search(r"\s\s", t)
+        assert coder.encode_array(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+        taken["quick" if found is coder.quick else "fast" if found else "none"] += 1
+    assert all(taken[k] > 20 for k in ("quick", "fast", "none"))
+
+
 def test_packing_order():
     """All terms and all neighbours count: one window, so the first document orders the rest."""
     rng = np.random.default_rng(5)
