@@ -9,7 +9,8 @@ one bucket have been compared or are connected.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from .util import components, cut, drop
 
 DRAWS = 2
 BLOCK = 512
+PAIRS = 1 << 13
 
 
 def shared_buckets(buckets: DataFrame, name: str) -> DataFrame:
@@ -76,37 +78,48 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
             found = cut(rest(asked), "links")
         drop(members)
         if not found.isEmpty():
-            links = links.union(found)
-            label = components(links)
+            # The stars of what is linked so far stand for its links.
+            stars = label.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+            label = components(stars.union(found.select("a", "b")))
     return label
 
 
-def block_links(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
+def block_links(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[..., Iterator[tuple[int, int]]], agreed: Callable[[list, list], Iterable[bool]] | None = None) -> DataFrame:
     """Links (a, b) between different components of one cluster.
 
     members: key, id, c, keys; facts: id and the columns. A cluster of more than BLOCK rows
     is dealt as pairs of blocks, so that no task gathers a whole one. compare(c, keys,
-    *columns) yields places (i, j) of linked rows with different c.
+    *columns) yields places (i, j) of linked rows with different c. Where agreed is given,
+    these pairs are candidates; it tells of several cells' pairs of rows at once which are links.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     rows = members.join(sizes, "key").join(facts.select("id", *columns), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
     y = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = rows.withColumn("y", y).select("key", F.least("x", "y").alias("x1"), F.greatest("x", "y").alias("x2"), "id", "c", "keys", *columns)
 
-    def cell(held):
-        ids = [r[3] for r in held]
-        found = [(ids[i], ids[j]) for i, j in compare(*zip(*(r[4:] for r in held), strict=True))]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def links(found):
+        if agreed and found:
+            found = list(compress(found, agreed(*zip(*found, strict=True))))
+        return pa.RecordBatch.from_arrays([pa.array([p[k][3] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         held: list = []
+        found: list = []
+
+        def cell():
+            found.extend((held[i], held[j]) for i, j in compare(*zip(*(r[4:] for r in held), strict=True)))
+
         for batch in batches:
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if held and held[0][:3] != row[:3]:
-                    yield cell(held)
+                    cell()
                     held = []
+                    if len(found) >= PAIRS:
+                        yield links(found)
+                        found = []
                 held.append(row)
         if held:
-            yield cell(held)
+            cell()
+        yield links(found)
 
     return cells.repartition("key", "x1", "x2").sortWithinPartitions("key", "x1", "x2", "id").mapInArrow(run, "a long, b long").distinct()

@@ -13,10 +13,11 @@ instead parts of the line that an edit leaves whole:
 - of lines under GAP characters also a prefix with a suffix around one stretch of edits:
   any one stretch of up to a tenth of the line is found.
 
-Keys travel as packed numbers and meet in parts, so that a key costs 12 bytes of shuffle and
-no row. Lines of a small bucket are paired there; many pairs that share a band are no links,
-and their lengths, which are a part of a line's hash, rule half of them out before any text
-moves, letter counts most of the others. Of each connected group the first occurrence stays.
+Keys travel as packed numbers and meet in parts, so that a key costs 6 bytes of storage, 12
+of shuffle and no row. Lines of a small bucket are paired there; many pairs that share a band
+are no links, and their lengths, which are a part of a line's hash, rule half of them out
+before any text moves, letter counts most of the others. What is left is compared in batches.
+Of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -41,7 +42,11 @@ CHUNK = 1 << 16  # characters at a time: their arrays stay in the processor's ca
 SIMILAR = 0.9
 SYNC = 8
 SEGMENT = 1 << 20  # keys packed at once
-PARTS, PART = 256, 1 << 20  # parts of the keys at least, and keys in one at most (about)
+PARTS = 1 << 12  # parts of the keys
+WAVE = 1 << 12  # pairs of a large bucket compared at once
+LANES, CELLS = 512, 1 << 19  # pairs side by side at most, and their letters
+FEW = 16  # fewer pairs are compared one by one
+FAR = 60_000  # more edits than counted
 SMALL = 16  # lines of a bucket that are all paired at once; larger ones are settled
 SIZES = 1023  # the bits of a line's hash that hold the class of its length
 STEP = math.log(1.016)  # between the classes
@@ -74,9 +79,11 @@ def _letters() -> np.ndarray:
 def _grams(letters: np.ndarray, width: int) -> np.ndarray:
     """A 32-bit hash of the `width` letters from each place on."""
     n = len(letters) - width + 1
-    out = letters[:n].astype(np.uint32)
+    low = letters.astype(np.uint32)
+    out = low[:n].copy()
     for i in range(1, width):
-        out = out * np.uint32(0x9E3779B1) + letters[i : n + i].astype(np.uint32)
+        out *= np.uint32(0x9E3779B1)
+        out += low[i : n + i]
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x85EBCA6B)
     out ^= out >> np.uint32(13)
@@ -84,8 +91,9 @@ def _grams(letters: np.ndarray, width: int) -> np.ndarray:
     return out ^ out >> np.uint32(16)
 
 
-def normalised(line: str) -> str:
-    return " ".join(_codes(line).tobytes().decode("utf-32-le").split())
+def normalised(text: str) -> str:
+    """Each line of a text for itself."""
+    return "\n".join(" ".join(x.split()) for x in _codes(text).tobytes().decode("utf-32-le").split("\n"))
 
 
 def _classes() -> list[int]:
@@ -128,7 +136,10 @@ _TIMES = mix(np.arange(1, max(SHORT[1], LONG[1]) * ROWS + 1, dtype=np.uint64)).a
 
 
 def _least(grams: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
-    return np.stack([np.minimum.reduceat(grams * m, first) for m in _TIMES[: bands * ROWS]])
+    out, held = np.empty((bands * ROWS, len(first)), np.uint32), np.empty_like(grams)
+    for row, m in zip(out, _TIMES, strict=False):
+        np.minimum.reduceat(np.multiply(grams, m, out=held), first, out=row)
+    return out
 
 
 def _bands(least: np.ndarray, salt: int) -> np.ndarray:
@@ -160,7 +171,7 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
     letter = raw > 32
     edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    of_word = np.searchsorted(np.flatnonzero(raw == 10), start)  # the line of each word
+    of_word = np.cumsum(raw == 10, dtype=np.int32)[start]  # the line of each word
     first = np.flatnonzero(np.diff(of_word, prepend=-1))
     if not len(first):
         none = np.zeros(0, np.int64)
@@ -205,8 +216,8 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
             continue
         n = size[found] - width + 1
         lead = np.cumsum(n) - n
-        at = np.arange(n.sum()) + np.repeat(a[found] - lead, n)
-        grams = _grams(letters, width)[at]
+        grams = _grams(letters, width)
+        grams = np.concatenate([grams[x : x + k] for x, k in zip(a[found].tolist(), n.tolist(), strict=True)])
         least = _least(grams, lead, bands)
         add(found, _bands(least, salt))
         distinct = len(least) / np.maximum(least.sum(0, dtype=np.float64) / 2.0**32, 1e-12)
@@ -288,17 +299,119 @@ def few_edits(a: str, b: str, most: int) -> bool:
     return False
 
 
+def _most(n: int) -> int:
+    """Edits between two linked lines, the longer one of n characters, at most."""
+    return int((1 - SIMILAR) * n + 1e-9)
+
+
 def similar(a: str, b: str) -> bool:
     longest = max(len(a), len(b))
-    most = int((1 - SIMILAR) * longest + 1e-9)
+    most = _most(longest)
     return min(len(a), len(b)) >= SIMILAR * longest and (few_edits(a, b, most) or edits(a, b, most) <= most)
 
 
+def _side_by_side(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b), a not the shorter, have at most `most` edits.
+
+    Diagonal after diagonal of equal i + j, all pairs at once. A way of at most `most` edits
+    keeps i - j within (difference of the lengths +- most) / 2; other cells are left out. Pairs
+    without a way that is left go as soon as they are half of those that are counted.
+    """
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    low, high = int(((n - m - most) // 2).min()), int(((n - m + most + 1) // 2).max())
+    long, short = int(n.max()), int(m.max())
+    a, b = np.full((long, len(n)), 0x110000, np.uint32), np.full((short, len(n)), 0x110001, np.uint32)
+    for k, (x, y) in enumerate(pairs):
+        a[: n[k], k] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+        b[short - m[k] :, k] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1]
+    last, now, left = (np.full((long + 3, len(n)), FAR, np.uint16) for _ in range(3))
+    out, of = np.zeros(len(n), bool), np.arange(len(n))
+    ends: dict[int, list[int]] = {}
+    for k, s in enumerate((n + m).tolist()):
+        ends.setdefault(s, []).append(k)
+    for s in range(int((n + m).max()) + 1):
+        begin, end = max(0, s - short, (s + low + 1) // 2), min(long, s, (s + high) // 2)
+        new, i, j = left, max(begin, 1), min(end, s - 1) + 1
+        # Row i + 2 of an array is i letters of a; the rows before `begin` are of earlier diagonals.
+        new[max(begin - 1, 0) : begin + 2] = FAR
+        if i < j:
+            step = new[i + 2 : j + 2]
+            np.not_equal(a[i - 1 : j - 1], b[short - s + i : short - s + j], out=step, casting="unsafe")
+            step += last[i + 1 : j + 1]
+            np.minimum(step, np.minimum(now[i + 1 : j + 1], now[i + 2 : j + 2]) + np.uint16(1), out=step)
+        if begin == 0:
+            new[2] = s
+        if end == s:
+            new[s + 2] = s
+        if s in ends:
+            here = {k: at for at, k in enumerate(of.tolist())}
+            for k in ends[s]:
+                if k in here:
+                    out[k] = new[n[k] + 2, here[k]] <= most[k]
+        last, now, left = now, new, last
+        if s % 32 == 31:
+            alive = (np.minimum(now[begin + 2 : end + 3].min(0), last[begin + 1 : end + 3].min(0)) <= most[of]) & (n[of] + m[of] > s)
+            if not alive.any():
+                break
+            if 2 * alive.sum() < len(of):
+                of, a, b, last, now, left = of[alive], *(np.ascontiguousarray(x[:, alive]) for x in (a, b, last, now, left))
+    return out
+
+
+def all_similar(a: list[str], b: list[str], easy: bool = True) -> np.ndarray:
+    """similar() of each pair; easy: try few_edits() first."""
+    out, rest, pairs, most = np.zeros(len(a), bool), [], [], []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) < len(y):
+            x, y = y, x
+        top = _most(len(x))
+        if len(y) < SIMILAR * len(x):
+            continue
+        if easy and few_edits(x, y, top):
+            out[k] = True
+            continue
+        n = _common(x, y)
+        x, y = x[n:], y[n:]
+        n = _common(x[::-1], y[::-1])
+        x, y = x[: len(x) - n], y[: len(y) - n]
+        if len(x) + len(y) <= top:
+            out[k] = True
+        elif y:
+            rest.append(k)
+            pairs.append((x, y))
+            most.append(top)
+        else:
+            out[k] = len(x) <= top
+    if not rest:
+        return out
+    rest, most, n = np.array(rest), np.array(most), np.array([len(x) for x, _ in pairs])
+    order = np.lexsort((n - np.array([len(y) for _, y in pairs]), (np.log(n) * 8).astype(int)))
+    at = 0
+    while at < len(order):
+        lanes = max(1, min(LANES, CELLS // int(n[order[at : at + LANES]].max())))
+        some = order[at : at + lanes]
+        at += lanes
+        if len(some) < FEW or n[some].max() > FAR // 4:
+            out[rest[some]] = [edits(*pairs[k], int(most[k])) <= most[k] for k in some]
+        else:
+            out[rest[some]] = _side_by_side([pairs[k] for k in some], most[some])
+    return out
+
+
 def letter_counts(text: str) -> bytes:
     """How often the text has the letters of each of 64 classes, at most 255."""
     return np.minimum(np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def all_counts(lines: list[str]) -> list[bytes]:
+    """letter_counts() of each line."""
+    codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
+    end = codes == 10
+    cell = (np.cumsum(end) * 64 + codes % 64)[~end]
+    counts = np.minimum(np.bincount(cell, minlength=64 * len(lines)), 255).astype(np.uint8).tobytes()
+    return [counts[at : at + 64] for at in range(0, len(counts), 64)]
+
+
 def _bags(counts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, 64)
 
@@ -318,13 +431,24 @@ def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, th (hash of the text), at (place of the line), h, keys (empty where an equal
-    line of the task has them); of the lines that hold a letter or number."""
+    """doc_id, th (hash of the text), at (place of the line), h; of the lines that hold a
+    letter or number. Further rows, without these, hold the join keys of many lines: the
+    hashes of the lines, how many keys each has, and of each key its part and 32 bits. An
+    equal line of the same task has its keys once."""
     kind = docs.schema[id_col].dataType.simpleString()
+    packs = ["lines", "sizes", "parts", "keys"]
 
     def run(batches):
-        hasher, known = Hasher(), set()
+        hasher, known, packed, many = Hasher(), set(), [], 0
+
+        def pack():
+            lines, sizes, keys = (np.concatenate(x) for x in zip(*packed, strict=True))
+            keys = keys.view(np.uint64)
+            cells = (lines, sizes.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16) % np.uint16(PARTS), keys.astype(np.uint32))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], ["doc_id", "th", "at", "h", *packs])
+
         for batch in batches:
+            types = [batch.column(0).type, pa.int64(), pa.int32(), pa.int64()]
             texts, held, size = batch.column(2), [], 0
             if len(known) > SEGMENT:
                 known.clear()
@@ -334,11 +458,19 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 if size >= CHUNK or i + 1 == batch.num_rows:
                     at, place, h, owner, key = line_facts(held, hasher, known)
                     rows = pa.array(at + (i + 1 - len(held)))
-                    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(h))))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(key))], ["doc_id", "th", "at", "h", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(h), *[pa.nulls(len(h), pa.binary())] * 4], ["doc_id", "th", "at", "h", *packs])
+                    if len(key):
+                        own = np.bincount(owner, minlength=len(h))
+                        packed.append((h[own > 0], own[own > 0], key))
+                        many += len(key)
+                    if many >= SEGMENT:
+                        yield pack()
+                        packed, many = [], 0
                     held, size = [], 0
+        if packed:
+            yield pack()
 
-    return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, keys array<long>")
+    return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, lines binary, sizes binary, parts binary, keys binary")
 
 
 def met(part: int, key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -375,36 +507,20 @@ def buckets(seen: DataFrame) -> DataFrame:
     """(key, a, b) of the keys that several lines have: without a key the pairs of small
     buckets, with it the lines b of a large one and its hub a, the smallest of them.
 
-    The keys are dealt by their value into parts that grow in number with the keys. 32 bits
-    and the part tell keys apart: two that fall together make pairs that are no links.
+    The keys are dealt by their part. 32 bits and the part tell keys apart: two that fall
+    together make pairs that are no links.
     """
-    total = seen.agg(F.sum(F.size("keys"))).first()[0] or 0
-    parts = max(PARTS, -(-total // PART))
 
     def deal(batches):
-        held, size = [], 0
-
-        def packed():
-            line, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = key.view(np.uint64)
-            part = (key >> np.uint64(32)) % np.uint64(parts)
-            order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            key, line = key[order].astype(np.uint32), line[order]
-            some = np.flatnonzero(np.diff(ends))
-            cells = [(key[ends[p] : ends[p + 1]].tobytes(), line[ends[p] : ends[p + 1]].tobytes()) for p in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["part", "keys", "lines"])
-
         for batch in batches:
-            lists = batch.column(1)
-            own = np.diff(lists.offsets.to_numpy())
-            held.append((np.repeat(batch.column(0).to_numpy(), own), lists.flatten().to_numpy()))
-            size += len(held[-1][0])
-            if size >= SEGMENT:
-                yield packed()
-                held, size = [], 0
-        if size:
-            yield packed()
+            for row in zip(*batch.columns, strict=True):
+                lines, sizes, part, key = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.uint32, np.uint16, np.uint32), strict=True))
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(PARTS + 1))
+                key, line = key[order], np.repeat(lines, sizes)[order]
+                some = np.flatnonzero(np.diff(ends))
+                cells = [(key[ends[p] : ends[p + 1]].tobytes(), line[ends[p] : ends[p + 1]].tobytes()) for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["part", "keys", "lines"])
 
     def meet(batches):
         def found():
@@ -423,7 +539,7 @@ def buckets(seen: DataFrame) -> DataFrame:
         if held:
             yield found()
 
-    dealt = seen.where(F.size("keys") > 0).select("h", "keys").mapInArrow(deal, "part long, keys binary, lines binary")
+    dealt = seen.where("keys is not null").select("lines", "sizes", "parts", "keys").mapInArrow(deal, "part long, keys binary, lines binary")
     return cut(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
@@ -435,26 +551,34 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
     texts: list[DataFrame] = []
 
     def plain(batches):
+        before = None
         for batch in batches:
-            norm = [normalised(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(letter_counts, norm), pa.binary()), pa.array(norm, pa.string())], ["id", "counts", "norm"])
+            ids, lines = [], []
+            for d, t, line, ask in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (d, t) != before:  # the join has put repeated rows together
+                    parts = line.split("\n")
+                    ids += [a["h"] for a in ask]
+                    lines += [parts[a["at"]] for a in ask]
+                before = d, t
+            norm = normalised("\n".join(lines)).split("\n") if lines else []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(all_counts(norm), pa.binary()), pa.array(norm, pa.string())], ["id", "counts", "norm"])
 
     def check(pairs):
         if not texts:  # of the lines that have any neighbour
             ids = shared.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             places = distinct.join(ids, F.col("h") == F.col("id"), "left_semi").groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "h")).alias("ask"))
-            held = _told(docs, id_col, text).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).withColumn("parts", F.split("text", "\n", -1))
-            lines = held.select("parts", F.explode("ask").alias("a")).select(F.col("a.h").alias("id"), F.get("parts", F.col("a.at")).alias("line"))
-            once = lines.dropDuplicates(["id"])  # repeated rows ask twice
-            texts.append(cut(once.mapInArrow(plain, "id long, counts binary, norm string"), "texts"))
-        told = lambda x: texts[0].select(F.col("id").alias(x), F.col("counts").alias(f"counts_{x}"), F.col("norm").alias(f"norm_{x}"))
+            held = _told(docs, id_col, text).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+            texts.append(cut(held.select("doc_id", "th", "text", "ask").mapInArrow(plain, "id long, counts binary, norm string"), "texts"))
+        elif len(texts) == 1:  # only lines of large buckets are drawn
+            texts.append(cut(texts[0].join(large.select("id").distinct(), "id", "left_semi"), "texts"))
+        told = lambda x: texts[-1].select(F.col("id").alias(x), F.col("counts").alias(f"counts_{x}"), F.col("norm").alias(f"norm_{x}"))
 
         def run(batches):
             for batch in filter(len, batches):
                 norm = [batch.column(i).to_pylist() for i in (4, 5)]
-                may = within(tuple(np.array(list(map(len, x))) for x in norm), (_bags(batch.column(2).to_pylist()), _bags(batch.column(3).to_pylist())))
-                ok = [bool(m) and similar(x, y) for m, x, y in zip(may, *norm, strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+                may = np.flatnonzero(within(tuple(np.array(list(map(len, x))) for x in norm), (_bags(batch.column(2).to_pylist()), _bags(batch.column(3).to_pylist()))))
+                ok = may[all_similar(*([x[k] for k in may] for x in norm))]
+                yield batch.select([0, 1]).take(pa.array(ok))
 
         size = lambda x: F.col(x).bitwiseAND(F.lit(SIZES))
         like = pairs.where(F.abs(size("a") - size("b")) <= APART)
@@ -464,22 +588,40 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
         c = np.unique(np.array(c), return_inverse=True)[1]
         common = np.bincount(c).argmax()  # two rows of the largest component need no test
         size, bags = np.array(list(map(len, norm))), _bags(counts)
-        bucket, own = keys[0][0], [set(k[1:]) for k in keys]
+        bucket = keys[0][0]
         lead, at = c == common, np.arange(len(c))
-        for i in np.flatnonzero(~lead):
-            near = np.flatnonzero((lead | (at > i)) & (c != c[i]))
-            for j in near[within((size[near], size[i]), (bags[near], bags[i]))]:
-                # A pair is compared in the first of the buckets that it shares.
-                if c[j] != c[i] and min(own[i] & own[j]) == bucket and similar(norm[i], norm[j]):
+        held: list[tuple[int, int]] = []
+
+        def linked():
+            may = [(i, j) for i, j in held if c[i] != c[j]]
+            held.clear()
+            for (i, j), ok in zip(may, agreed(*([(norm[p[k]],) for p in may] for k in (0, 1))), strict=True):
+                if ok and c[i] != c[j]:
                     c[c == c[i]] = c[j]
                     yield i, j
 
+        alone = np.flatnonzero(~lead)
+        some = max(1, WAVE // len(c))
+        for begin in range(0, len(alone), some):
+            i = alone[begin : begin + some, None]
+            i, near = np.nonzero((lead | (at > i)) & (c != c[i]))
+            i = alone[begin + i]
+            ok = within((size[near], size[i]), (bags[near], bags[i]))
+            # A pair is compared in the first of the buckets that it shares.
+            held += [(i, j) for i, j in zip(i[ok].tolist(), near[ok].tolist(), strict=True) if min(set(keys[i][1:]).intersection(keys[j][1:])) == bucket]
+            if len(held) >= WAVE:
+                yield from linked()
+        yield from held
+
+    def agreed(x, y):
+        return all_similar([r[-1] for r in x], [r[-1] for r in y], easy=False)
+
     def rest(members):
         # Lengths of a link differ by APART classes at most, so by one step of as many and one:
         # two steps meet in the group of the upper one.
         step = F.floor(F.col("id").bitwiseAND(F.lit(SIZES)) / (APART + 1))
         classed = members.withColumn("step", F.explode(F.array(step, step + 1)))
-        return block_links(classed.select(F.xxhash64("key", "step").alias("key"), "id", "c", F.concat(F.array("key"), "keys").alias("keys")), texts[0], ["counts", "norm"], compare)
+        return block_links(classed.select(F.xxhash64("key", "step").alias("key"), "id", "c", F.concat(F.array("key"), "keys").alias("keys")), texts[-1], ["counts", "norm"], compare, agreed)
 
     large = shared.where("key is not null").select("key", F.col("b").alias("id"), F.col("a").alias("hub"))
     label = settle(large, check, rest, shared.where("key is null").select("a", "b"), clustered=False)
@@ -500,12 +642,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     is that of (doc_id, th, place), a null id first; rows that repeat id and text are one
     row and keep the same lines. Other columns are ignored.
 
-    Scale: a line is a hash and 24 keys of 12 bytes, a short one about 40 keys; texts move
-    once, and only lines that share a key and are of like length are stored. Buckets of more than
+    Scale: a line is a hash and 24 keys of 6 bytes, a short one about 40 keys, and of 12 bytes
+    while they meet; texts move once, and only lines that share a key and are of like length are stored. Buckets of more than
     SMALL lines are settled as groups.py says.
     """
     keyed = cut(occurrences(docs, id_col, text), "occurrences")
-    seen, shared = cut(keyed.drop("keys"), "places"), buckets(keyed)
+    seen, shared = cut(keyed.where("keys is null").select("doc_id", "th", "at", "h"), "places"), buckets(keyed)
     drop(keyed)
     found = seen.join(line_groups(docs, seen, shared, id_col, text), "h")
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.at") == F.col("at"))

@@ -488,6 +488,43 @@ def test_line_buckets(spark, monkeypatch):
     assert got == {i for i, g in want.items() if i != g}
 
 
+@pytest.mark.parametrize("easy", [True, False])
+def test_line_batches(easy, monkeypatch):
+    """Pairs compared side by side give what each gives alone: lengths mixed, edits around
+    the limit, letters beyond 16 bits; nearly all of them go through the batch."""
+    rng, pairs = random.Random(23), []
+    for signs in ("ab", "abcdefgh ", "abв😀x"):
+        for n in (16, 40, 90, 400):
+            for _ in range(60):
+                x = [rng.choice(signs) for _ in range(n + rng.randrange(9))]
+                y = list(x)
+                for _ in range(rng.randrange(len(x) // 5)):
+                    y[rng.randrange(len(y))] = rng.choice(["", rng.choice(signs), rng.choice(signs) * 2])
+                pairs.append(tuple(rng.sample(["".join(x), "".join(y)], 2)))
+    want = [line_dedup.similar(*p) for p in pairs]
+    alone, slow = [], line_dedup.edits
+    monkeypatch.setattr(line_dedup, "edits", lambda *x: alone.append(x) or slow(*x))
+    assert line_dedup.all_similar(*zip(*pairs, strict=True), easy=easy).tolist() == want
+    assert 100 < sum(want) < len(want) - 100 and len(alone) < len(pairs) // 10
+    assert line_dedup.all_similar([], []).tolist() == []
+
+
+def test_line_packs(spark):
+    """A line's keys are stored packed, 6 bytes each, and no row of their own."""
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 40)) for i in range(300)], "doc_id long, text string").repartition(3)
+    rows = line_dedup.occurrences(docs, "doc_id", "text").where("keys is not null").collect()
+    n = sum(np.frombuffer(r.sizes, np.uint32).sum() for r in rows)
+    assert len(rows) <= 3 and sum(len(r.lines) for r in rows) == 8 * 300
+    assert n >= 300 * line_dedup.LONG[1] and sum(len(r.parts) + len(r.keys) for r in rows) == 6 * n
+
+
+def test_line_lists():
+    lines = ["Ab  ΑΣ 12", "", "x" * 300 + "é", "ς – “q”"]
+    names = line_dedup.normalised("\n".join(lines)).split("\n")
+    assert names == [line_dedup.normalised(x) for x in lines]
+    assert line_dedup.all_counts(names) == [line_dedup.letter_counts(x) for x in names]
+
+
 def test_settle_chain(spark):
     """Buckets that chain up are taken one by one: no group of all of them, whose blocks grow
     with its square."""
