@@ -2,14 +2,15 @@
 
 Used by the operators on near duplicates. Members of a bucket are compared with one
 other member first and then with drawn ones, as long as the bucket holds several
-components; what is left - members of different components that still share a bucket -
-is compared in blocks of bounded size. Nothing is capped: at the end any two members of
-one bucket have been compared or are connected.
+components and a draw still links many; what is left - members of different components
+that still share a bucket - is compared in blocks of bounded size. Nothing is capped: at
+the end any two members of one bucket have been compared or are connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import compress
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .util import components, cut, drop
 
 DRAWS = 2
+FEW = 16  # a draw that links fewer than one of so many members is the last one
 BLOCK = 512
 PAIRS = 1 << 13
 
@@ -57,16 +59,20 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
         if members.isEmpty():
             drop(members)
             break
+        late: list[DataFrame] = []
         if draw <= DRAWS:
             drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)), "id", "c")).alias("d")).select("key", F.col("d.id").alias("to"), F.col("d.c").alias("to_c"))
             pairs = members.join(drawn, "key").where("c <> to_c").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
             pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
             tried = tried.union(pairs)
             found = cut(check(pairs), "links")
-        else:
-            more = members.where("size > 2")  # the pair of a bucket of two has been tried
-            if more.isEmpty():
-                break
+            if found.count() * FEW >= members.count():
+                drop(members)
+                label = joined(label, found)
+                continue
+            late.append(found)
+        more = members.where("size > 2")  # the pair of a bucket of two has been tried
+        if not more.isEmpty():
             met = more.groupBy("id", "c").agg(F.collect_set("key").alias("keys"))
             if clustered:
                 # Buckets that share members are one cluster: a pair meets once, not in each of them.
@@ -75,15 +81,25 @@ def settle(shared: DataFrame, check: Callable[[DataFrame], DataFrame], rest: Cal
                 asked = met.join(cluster, "id").select(F.col("component_id").alias("key"), "id", "c", "keys")
             else:
                 asked = met.select(F.explode("keys").alias("key"), "id", "c", "keys")
-            found = cut(rest(asked), "links")
+            late.append(cut(rest(asked), "links"))
         drop(members)
-        if not found.isEmpty():
-            # The stars of what is linked so far stand for its links.
-            stars = label.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            label = components(stars.union(found.select("a", "b")))
+        label = joined(label, reduce(DataFrame.union, late)) if late else label
+        break
     return label
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (id, component_id) with further links (a, b): only the components that they
+    connect are gone through again, not their members."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alone = ends.join(label, "id", "left_anti").select("id", F.col("id").alias("component_id"))
+    label = cut(label.union(alone), "label")
+    of = lambda x: label.select(F.col("id").alias(x), F.col("component_id").alias(f"c_{x}"))
+    new = components(links.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    new = new.select(F.col("id").alias("c"), F.col("component_id").alias("new"))
+    return label.join(new, F.col("component_id") == F.col("c"), "left").select("id", F.coalesce("new", "component_id").alias("component_id"))
+
+
 def block_links(members: DataFrame, facts: DataFrame, columns: list[str], compare: Callable[..., Iterator[tuple[int, int]]], agreed: Callable[[list, list], Iterable[bool]] | None = None) -> DataFrame:
     """Links (a, b) between different components of one cluster.
 

@@ -13,17 +13,20 @@ instead parts of the line that an edit leaves whole:
 - of lines under GAP characters also a prefix with a suffix around one stretch of edits:
   any one stretch of up to a tenth of the line is found.
 
-Keys travel as packed numbers and meet in parts, so that a key costs 6 bytes of storage, 12
-of shuffle and no row. Lines of a small bucket are paired there; many pairs that share a band
-are no links, and their lengths, which are a part of a line's hash, rule half of them out
-before any text moves, letter counts most of the others. What is left is compared in batches.
-Of each connected group the first occurrence stays.
+Keys travel as packed numbers and meet in parts, so that a key costs 8 bytes of storage, 14
+of shuffle and no row. Lines of a small bucket are paired there. Pairs that share a band by
+chance grow with the square of the lines, so they are ruled out before any text moves: by
+their lengths, which are a part of a line's hash, and by where the grams of the band lie in
+both lines, which a few edits move but a little. Letter counts rule out most of the other
+pairs that are no links. What is left is compared in batches. Of each connected group the
+first occurrence stays.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ ROWS = 4  # min-hashes of a band
 GAP = 72  # characters; lines below it differ in keys
 SHORT = (4, 16)  # letters of a gram and bands of lines under GAP and of their longest partners
 LONG = (6, 24)  # the same of lines from GAP on
-CHUNK = 1 << 16  # characters at a time: their arrays stay in the processor's cache
+CHUNK = 1 << 17  # characters at a time
 SIMILAR = 0.9
 SYNC = 8
 SEGMENT = 1 << 20  # keys packed at once
@@ -48,6 +51,8 @@ LANES, CELLS = 512, 1 << 19  # pairs side by side at most, and their letters
 FEW = 16  # fewer pairs are compared one by one
 FAR = 60_000  # more edits than counted
 SMALL = 16  # lines of a bucket that are all paired at once; larger ones are settled
+CHAINED = 1024  # lines of a bucket that is taken apart where no two may be linked
+SPOTS = 15  # stretches of a line, which tell where a gram lies; SPOTS itself: not told
 SIZES = 1023  # the bits of a line's hash that hold the class of its length
 STEP = math.log(1.016)  # between the classes
 APART = int(math.log(1 / SIMILAR) / STEP) + 1  # classes between linked lines at most
@@ -79,11 +84,10 @@ def _letters() -> np.ndarray:
 def _grams(letters: np.ndarray, width: int) -> np.ndarray:
     """A 32-bit hash of the `width` letters from each place on."""
     n = len(letters) - width + 1
-    low = letters.astype(np.uint32)
-    out = low[:n].copy()
+    out = letters[:n].copy()
     for i in range(1, width):
         out *= np.uint32(0x9E3779B1)
-        out += low[i : n + i]
+        out += letters[i : n + i]
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x85EBCA6B)
     out ^= out >> np.uint32(13)
@@ -132,23 +136,33 @@ def _all_gaps() -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     return kept
 
 
-_TIMES = mix(np.arange(1, max(SHORT[1], LONG[1]) * ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_TIMES = mix(np.arange(1, ROWS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
-def _least(grams: np.ndarray, first: np.ndarray, bands: int) -> np.ndarray:
-    out, held = np.empty((bands * ROWS, len(first)), np.uint32), np.empty_like(grams)
-    for row, m in zip(out, _TIMES, strict=False):
-        np.minimum.reduceat(np.multiply(grams, m, out=held), first, out=row)
+def _least(grams: np.ndarray, spot: np.ndarray, line: np.ndarray, lines: int, bands: int) -> np.ndarray:
+    """For each band, row and line the least gram in an order of its own: how far it lies
+    behind a starting point, in the low four bits its spot. A row's bands share the numbers of
+    the grams and start at points that are spread evenly over them."""
+    starts = np.array([-(-(band << 24) // bands) << 8 for band in range(bands)], np.uint32)[:, None]
+    out, none = np.empty((bands, ROWS, lines), np.uint32), np.uint32(0xFFFFFFFF)
+    for row, m in enumerate(_TIMES):
+        order = grams * m & np.uint32(~SPOTS & 0xFFFFFFFF) | spot
+        least = np.full((bands, lines), none)
+        np.minimum.at(least.ravel(), ((order >> np.uint32(8)) * np.uint32(bands) >> np.uint32(24)) * lines + line, order)
+        # Where no gram lies between two points, the first one behind the next point counts.
+        least = np.minimum.accumulate(least[::-1])[::-1]
+        out[:, row] = np.where(least == none, least[0], least) - starts
     return out
 
 
-def _bands(least: np.ndarray, salt: int) -> np.ndarray:
-    """A key for each line and band."""
-    bands = len(least) // ROWS
-    out = np.arange(bands, dtype=np.uint64)[:, None] + np.uint64(salt)
-    for row in least.reshape(bands, ROWS, -1).transpose(1, 0, 2).astype(np.uint64):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ row)
-    return out.T
+def _bands(least: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each line and band, and the spots of its grams."""
+    out = np.arange(len(least), dtype=np.uint64)[:, None] + np.uint64(salt)
+    spots = np.zeros(out.shape, np.uint16)
+    for k in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ (least[:, k] >> np.uint32(4)).astype(np.uint64))
+        spots = spots | (least[:, k] & np.uint32(SPOTS)).astype(np.uint16) << np.uint16(4 * k)
+    return out.T, spots.T
 
 
 def _numbered(grams: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -166,6 +180,11 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
     key): the join keys of line `of`, for the first of equal lines, in order of lines; not of
     the hashes in `known`, which takes up the others. The low bits of a hash are the class of
     the line's length."""
+    return line_keys(texts, hasher, known)[:5]
+
+
+def line_keys(texts: list[str], hasher: Hasher, known: set[int] | None = None) -> tuple[np.ndarray, ...]:
+    """line_facts(), and of each key the spots of its grams, four bits each."""
     counts = np.array([t.count("\n") + 1 for t in texts])
     raw = _codes("\n".join(texts))
     letter = raw > 32
@@ -175,7 +194,7 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
     first = np.flatnonzero(np.diff(of_word, prepend=-1))
     if not len(first):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none.astype(np.uint16)
     later = np.ones(len(start), bool)
     later[first] = False
     letter[start[later] - 1] = True  # one space before each further word
@@ -190,11 +209,12 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
     line = of_word[first]
     text = np.repeat(np.arange(len(texts)), counts)[line]
     place = line - np.concatenate(([0], np.cumsum(counts)[:-1]))[text]
-    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    owners, keys, spots = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
 
-    def add(of, found):
+    def add(of, found, at):
         owners.append(np.repeat(of, found.shape[1]))
         keys.append(found.ravel())
+        spots.append(at.ravel())
 
     names, once = np.unique(h, return_index=True)
     if known is not None:
@@ -211,25 +231,28 @@ def line_facts(texts: list[str], hasher: Hasher, known: set[int] | None = None)
         tail = mix((total[right] - total[right - behind[at]]) * hasher.down[right - behind[at]])
         owners.append(of[row])
         keys.append(mix(mix(head + name[at]) ^ tail))
+        spots.append(np.full(len(row), 0xFFFF, np.uint16))
+    low = letters.astype(np.uint32)
     for (width, bands), found, salt in ((SHORT, of, 1 << 22), (LONG, np.sort(once[size[once] >= GAP]), 1 << 20)):
         if not len(found):
             continue
         n = size[found] - width + 1
-        lead = np.cumsum(n) - n
-        grams = _grams(letters, width)
-        grams = np.concatenate([grams[x : x + k] for x, k in zip(a[found].tolist(), n.tolist(), strict=True)])
-        least = _least(grams, lead, bands)
-        add(found, _bands(least, salt))
-        distinct = len(least) / np.maximum(least.sum(0, dtype=np.float64) / 2.0**32, 1e-12)
+        grams = _grams(np.concatenate([low[x:y] for x, y in zip(a[found].tolist(), z[found].tolist(), strict=True)]), width)
+        inner = np.repeat(np.arange(len(found)), n)
+        part = np.arange(len(inner)) - np.repeat(np.cumsum(n) - n, n)
+        grams = grams[np.arange(len(inner)) + inner * (width - 1)]
+        spot = (part * np.repeat((SPOTS * (1 - 1e-6) / n).astype(np.float32), n)).astype(np.uint32)
+        least = _least(grams, spot, inner, len(found), bands)
+        add(found, *_bands(least, salt))
+        distinct = bands * ROWS / np.maximum(least.sum((0, 1), dtype=np.float64) / 2.0**32, 1e-12)
         often = np.flatnonzero(distinct < 0.6 * n)
         if len(often):
-            inner = np.repeat(np.isin(np.arange(len(found)), often), n)
-            lead = np.cumsum(n[often]) - n[often]
-            more = _numbered(grams[inner], np.repeat(np.arange(len(often)), n[often]))
-            add(found[often], _bands(_least(more, lead, bands), salt << 1))
+            line = np.repeat(np.arange(len(often)), n[often])
+            more = _numbered(grams[np.isin(inner, often)], line)
+            add(found[often], *_bands(_least(more, np.uint32(SPOTS), line, len(often), bands), salt << 1))
     owner, key = np.concatenate(owners), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
-    return text, place, h.view(np.int64), owner[order], key[order].view(np.int64)
+    return text, place, h.view(np.int64), owner[order], key[order].view(np.int64), np.concatenate(spots)[order]
 
 
 def _common(a: str, b: str) -> int:
@@ -358,6 +381,22 @@ def _side_by_side(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """So many edits at least, by the counts of three letters in a row in 1,024 classes: an
+    edit takes three away and adds three at most."""
+    n = len(pairs)
+    codes = np.frombuffer("\n".join([p[k] for k in (0, 1) for p in pairs]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < 3:
+        return np.zeros(n, np.int64)
+    end = codes == 10
+    of = np.cumsum(end)
+    gram = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA6B) + codes[2:] * np.uint32(0xC2B2AE35)
+    whole = (of[:-2] == of[2:]) & ~end[:-2]
+    counts = np.bincount(((of[:-2] << 10) + (gram >> np.uint32(22)))[whole], minlength=n << 11).reshape(2, n, 1024)
+    apart = counts[0] - counts[1]
+    return -(-np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) // 3)
+
+
 def all_similar(a: list[str], b: list[str], easy: bool = True) -> np.ndarray:
     """similar() of each pair; easy: try few_edits() first."""
     out, rest, pairs, most = np.zeros(len(a), bool), [], [], []
@@ -384,7 +423,10 @@ def all_similar(a: list[str], b: list[str], easy: bool = True) -> np.ndarray:
             out[k] = len(x) <= top
     if not rest:
         return out
-    rest, most, n = np.array(rest), np.array(most), np.array([len(x) for x, _ in pairs])
+    most = np.array(most)
+    may = np.concatenate([least_edits(pairs[i : i + LANES]) for i in range(0, len(pairs), LANES)]) <= most
+    rest, most, pairs = np.array(rest)[may], most[may], list(compress(pairs, may))
+    n = np.array([len(x) for x, _ in pairs])
     order = np.lexsort((n - np.array([len(y) for _, y in pairs]), (np.log(n) * 8).astype(int)))
     at = 0
     while at < len(order):
@@ -433,18 +475,18 @@ def _told(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc_id, th (hash of the text), at (place of the line), h; of the lines that hold a
     letter or number. Further rows, without these, hold the join keys of many lines: the
-    hashes of the lines, how many keys each has, and of each key its part and 32 bits. An
-    equal line of the same task has its keys once."""
+    hashes of the lines, how many keys each has, and of each key its part, 32 bits and the
+    spots of its grams. An equal line of the same task has its keys once."""
     kind = docs.schema[id_col].dataType.simpleString()
-    packs = ["lines", "sizes", "parts", "keys"]
+    packs = ["lines", "sizes", "parts", "keys", "spots"]
 
     def run(batches):
         hasher, known, packed, many = Hasher(), set(), [], 0
 
         def pack():
-            lines, sizes, keys = (np.concatenate(x) for x in zip(*packed, strict=True))
+            lines, sizes, keys, spots = (np.concatenate(x) for x in zip(*packed, strict=True))
             keys = keys.view(np.uint64)
-            cells = (lines, sizes.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16) % np.uint16(PARTS), keys.astype(np.uint32))
+            cells = (lines, sizes.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16) % np.uint16(PARTS), keys.astype(np.uint32), spots)
             return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], ["doc_id", "th", "at", "h", *packs])
 
         for batch in batches:
@@ -456,12 +498,12 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 held.append(texts[i].as_py() or "")
                 size += len(held[-1])
                 if size >= CHUNK or i + 1 == batch.num_rows:
-                    at, place, h, owner, key = line_facts(held, hasher, known)
+                    at, place, h, owner, key, spots = line_keys(held, hasher, known)
                     rows = pa.array(at + (i + 1 - len(held)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(h), *[pa.nulls(len(h), pa.binary())] * 4], ["doc_id", "th", "at", "h", *packs])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32)), pa.array(h), *[pa.nulls(len(h), pa.binary())] * len(packs)], ["doc_id", "th", "at", "h", *packs])
                     if len(key):
                         own = np.bincount(owner, minlength=len(h))
-                        packed.append((h[own > 0], own[own > 0], key))
+                        packed.append((h[own > 0], own[own > 0], key, spots))
                         many += len(key)
                     if many >= SEGMENT:
                         yield pack()
@@ -470,37 +512,81 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         if packed:
             yield pack()
 
-    return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, lines binary, sizes binary, parts binary, keys binary")
+    return _told(docs, id_col, text).mapInArrow(run, f"doc_id {kind}, th long, at int, h long, lines binary, sizes binary, parts binary, keys binary, spots binary")
 
 
-def met(part: int, key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+def near(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """False where lines of hashes x and y, that have the grams of a common key at the spots u
+    and v, are not linked by these grams.
+
+    If edits before a gram move it by s, and the lengths differ by d, there are at least
+    |s| + |d - s| edits. So the distance of the gram from the middle of its line changes by half
+    of the edits at most; a spot and a class of lengths add what they round off.
+    """
+    length = np.exp((np.arange(SIZES + 1) + 0.5) * STEP).astype(np.float32)
+    middle = ((np.arange(SPOTS + 1) + 0.5) / SPOTS - 0.5).astype(np.float32)
+    p, q = x & SIZES, y & SIZES
+    a, b = length[p], length[q]
+    wide = ((1 - SIMILAR) / 2 + 1 / SPOTS + 0.01) * np.maximum(a, b) + 2
+    ok = np.abs(p - q) <= APART
+    for k in range(0, 4 * ROWS, 4):
+        i, j = u >> k & SPOTS, v >> k & SPOTS
+        ok &= (i == SPOTS) | (j == SPOTS) | (p == SIZES) | (np.abs(middle[i] * a - middle[j] * b) <= wide)
+    return ok
+
+
+def _chains(line: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """A number for each line of a bucket; those that may be linked have the same."""
+    may, label = near(line[:, None], line, spots[:, None], spots), np.arange(len(line))
+    while True:
+        new = np.where(may, label, len(line)).min(1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def met(part: int, key: np.ndarray, line: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the keys of one part: (a, b) of the lines that share a bucket of at most SMALL and
-    are of like length; and (key, line, hub) of the larger buckets."""
+    may be linked, see near(); and (key, line, hub) of the larger buckets."""
     order = np.argsort(key)
-    key, line = key[order], line[order]
+    key, line, spots = key[order], line[order], spots[order]
     same = np.concatenate(([False], key[1:] == key[:-1], [False]))
-    key, line = key[same[1:] | same[:-1]], line[same[1:] | same[:-1]]
+    same = same[1:] | same[:-1]
+    key, line, spots = key[same], line[same], spots[same]
     order = np.lexsort((line, key))
-    key, line = key[order], line[order]
+    key, line, spots = key[order].astype(np.int64) | part << 32, line[order], spots[order]
     new = np.ones(len(key), bool)  # equal lines of several tasks meet here and are one again
     new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
-    first = np.flatnonzero(np.concatenate((np.ones(len(key[:1]), bool), key[1:] != key[:-1])))
-    size = np.diff(np.append(first, len(key)))
-    a, b = [line[:0]], [line[:0]]
+    key, line, spots = key[new], line[new], spots[new]
+
+    def bounds():
+        first = np.flatnonzero(np.concatenate((np.ones(len(key[:1]), bool), key[1:] != key[:-1])))
+        return first, np.diff(np.append(first, len(key)))
+
+    first, size = bounds()
+    some = (size > SMALL) & (size <= CHAINED)
+    for at, n in zip(first[some].tolist(), size[some].tolist(), strict=True):
+        key[at : at + n] |= _chains(line[at : at + n], spots[at : at + n]) << 44
+        order = at + np.argsort(key[at : at + n], kind="stable")
+        key[at : at + n], line[at : at + n], spots[at : at + n] = key[order], line[order], spots[order]
+    first, size = bounds()
+    a, b = [first[:0]], [first[:0]]
     for n in range(2, SMALL + 1):
         at, (i, j) = first[size == n][:, None], np.triu_indices(n, 1)
-        x, y = line[at + i].ravel(), line[at + j].ravel()
-        like = np.abs((x & SIZES) - (y & SIZES)) <= APART
-        a.append(x[like])
-        b.append(y[like])
+        a.append((at + i).ravel())
+        b.append((at + j).ravel())
     a, b = np.concatenate(a), np.concatenate(b)
+    like = np.abs((line[a] & SIZES) - (line[b] & SIZES)) <= APART
+    a, b = a[like], b[like]
+    like = near(line[a], line[b], spots[a], spots[b])
+    a, b = line[a[like]], line[b[like]]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     large = np.repeat(size > SMALL, size)
-    return a[new], b[new], (key[large].astype(np.int64) | part << 32), line[large], np.repeat(line[first], size)[large]
+    return a[new], b[new], key[large], line[large], np.repeat(line[first], size)[large]
 
 
 def buckets(seen: DataFrame) -> DataFrame:
@@ -514,13 +600,12 @@ def buckets(seen: DataFrame) -> DataFrame:
     def deal(batches):
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                lines, sizes, part, key = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.uint32, np.uint16, np.uint32), strict=True))
+                lines, sizes, part, key, spots = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int64, np.uint32, np.uint16, np.uint32, np.uint16), strict=True))
                 order = np.argsort(part, kind="stable")
                 ends = np.searchsorted(part[order], np.arange(PARTS + 1))
-                key, line = key[order], np.repeat(lines, sizes)[order]
+                columns = key[order], np.repeat(lines, sizes)[order], spots[order]
                 some = np.flatnonzero(np.diff(ends))
-                cells = [(key[ends[p] : ends[p + 1]].tobytes(), line[ends[p] : ends[p + 1]].tobytes()) for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([c[i] for c in cells], pa.binary()) for i in (0, 1))], ["part", "keys", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in some], pa.binary()) for x in columns)], ["part", "keys", "lines", "spots"])
 
     def meet(batches):
         def found():
@@ -530,16 +615,16 @@ def buckets(seen: DataFrame) -> DataFrame:
 
         now, held = None, []
         for batch in batches:
-            for part, keys, lines in zip(*batch.columns, strict=True):
+            for part, *cells in zip(*batch.columns, strict=True):
                 if held and part.as_py() != now:
                     yield found()
                     held = []
                 now = part.as_py()
-                held.append((np.frombuffer(keys.as_buffer(), np.uint32), np.frombuffer(lines.as_buffer(), np.int64)))
+                held.append(tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(cells, (np.uint32, np.int64, np.uint16), strict=True)))
         if held:
             yield found()
 
-    dealt = seen.where("keys is not null").select("lines", "sizes", "parts", "keys").mapInArrow(deal, "part long, keys binary, lines binary")
+    dealt = seen.where("keys is not null").select("lines", "sizes", "parts", "keys", "spots").mapInArrow(deal, "part long, keys binary, lines binary, spots binary")
     return cut(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, a long, b long"), "buckets")
 
 
@@ -588,7 +673,8 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
         c = np.unique(np.array(c), return_inverse=True)[1]
         common = np.bincount(c).argmax()  # two rows of the largest component need no test
         size, bags = np.array(list(map(len, norm))), _bags(counts)
-        bucket = keys[0][0]
+        bucket, own = keys[0][0], np.array([bool(k[1]) for k in keys])
+        own_keys = [frozenset(k[2:]) for k in keys]
         lead, at = c == common, np.arange(len(c))
         held: list[tuple[int, int]] = []
 
@@ -604,11 +690,11 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
         some = max(1, WAVE // len(c))
         for begin in range(0, len(alone), some):
             i = alone[begin : begin + some, None]
-            i, near = np.nonzero((lead | (at > i)) & (c != c[i]))
+            i, to = np.nonzero((lead | (at > i)) & (c != c[i]) & (own | own[i]))
             i = alone[begin + i]
-            ok = within((size[near], size[i]), (bags[near], bags[i]))
+            ok = within((size[to], size[i]), (bags[to], bags[i]))
             # A pair is compared in the first of the buckets that it shares.
-            held += [(i, j) for i, j in zip(i[ok].tolist(), near[ok].tolist(), strict=True) if min(set(keys[i][1:]).intersection(keys[j][1:])) == bucket]
+            held += [(i, j) for i, j in zip(i[ok].tolist(), to[ok].tolist(), strict=True) if min(own_keys[i] & own_keys[j]) == bucket]
             if len(held) >= WAVE:
                 yield from linked()
         yield from held
@@ -618,10 +704,10 @@ def line_groups(docs: DataFrame, seen: DataFrame, shared: DataFrame, id_col: str
 
     def rest(members):
         # Lengths of a link differ by APART classes at most, so by one step of as many and one:
-        # two steps meet in the group of the upper one.
+        # two steps meet in the group of the upper one, whose own lines come first in their keys.
         step = F.floor(F.col("id").bitwiseAND(F.lit(SIZES)) / (APART + 1))
         classed = members.withColumn("step", F.explode(F.array(step, step + 1)))
-        return block_links(classed.select(F.xxhash64("key", "step").alias("key"), "id", "c", F.concat(F.array("key"), "keys").alias("keys")), texts[-1], ["counts", "norm"], compare, agreed)
+        return block_links(classed.select(F.xxhash64("key", "step").alias("key"), "id", "c", F.concat(F.array(F.col("key"), (F.col("step") == step).cast("long")), "keys").alias("keys")), texts[-1], ["counts", "norm"], compare, agreed)
 
     large = shared.where("key is not null").select("key", F.col("b").alias("id"), F.col("a").alias("hub"))
     label = settle(large, check, rest, shared.where("key is null").select("a", "b"), clustered=False)
@@ -642,9 +728,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     is that of (doc_id, th, place), a null id first; rows that repeat id and text are one
     row and keep the same lines. Other columns are ignored.
 
-    Scale: a line is a hash and 24 keys of 6 bytes, a short one about 40 keys, and of 12 bytes
-    while they meet; texts move once, and only lines that share a key and are of like length are stored. Buckets of more than
-    SMALL lines are settled as groups.py says.
+    Scale: a line is a hash and 24 keys of 8 bytes, a short one about 40 keys, and of 14 bytes
+    while they meet; texts move once, and only lines that share a key and may be linked, see
+    near(), are stored. Buckets of more than SMALL lines are settled as groups.py says.
     """
     keyed = cut(occurrences(docs, id_col, text), "occurrences")
     seen, shared = cut(keyed.where("keys is null").select("doc_id", "th", "at", "h"), "places"), buckets(keyed)
@@ -664,7 +750,7 @@ def _joined(docs: DataFrame, id_col: str, text: str, gone: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of the removed lines, comma-joined)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long")
+    n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     places = repeated_lines(docs).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "gone")
     out = docs.select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_lines")).join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))

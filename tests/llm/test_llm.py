@@ -657,3 +657,42 @@ def test_line_stage(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(spark, now, "").collect()}
     unique = rows[1][1].split("\n")[-1]
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (unique, len(unique)), 4: (None, None), 6: ("ok", 2)}
+
+
+def test_line_chance(spark):
+    """Lines that quote one passage at other places share keys, but are no pairs; pairs of a
+    few edits stay pairs."""
+    rng, lines = random.Random(31), []
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    for _ in range(40):
+        passage, rest = words(30), [words(20) for _ in range(4)]
+        lines += [f"{passage} {rest[0]}", f"{rest[1]} {passage}"]
+        x = list(f"{rest[2]} {passage} {rest[3]}")
+        lines.append("".join(x))
+        x[rng.randrange(len(x))] = x[rng.randrange(len(x))] = "k"
+        lines.append("".join(x))
+    names = dict(zip(*(line_dedup.line_facts(lines, line_dedup.Hasher())[i].tolist() for i in (2, 0)), strict=True))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    pairs = {tuple(sorted((names[r.a], names[r.b]))) for r in line_dedup.buckets(util.cut(line_dedup.occurrences(docs, "doc_id", "text"), "test")).collect()}
+    assert pairs == {(i + 2, i + 3) for i in range(0, len(lines), 4)}
+
+
+def test_least_edits():
+    rng = random.Random(8)
+    for n in (1, 2, 3, 20, 200):
+        pairs = []
+        for _ in range(40):
+            x = [rng.choice("abc 😀") for _ in range(n)]
+            y = [rng.choice(["", c, c, c, c + "b", "c"]) for c in x]
+            pairs.append(("".join(x), "".join(y)))
+        assert all(k <= line_dedup.edits(*p) for k, p in zip(line_dedup.least_edits(pairs), pairs, strict=True))
+    assert line_dedup.least_edits([("abcd" * 30, "efgh" * 30)])[0] >= 35
+
+
+def test_joined(spark):
+    """Further links join components without another run over the old links."""
+    rng = random.Random(2)
+    old, new = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 12))
+    frame = lambda links: spark.createDataFrame([p for p in links if p[0] != p[1]], "a long, b long")
+    got = {r.id: r.component_id for r in groups.joined(util.components(frame(old)), frame(new)).collect()}
+    assert got == {r.id: r.component_id for r in util.components(frame(old + new)).collect()}
